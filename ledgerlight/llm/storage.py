@@ -1,0 +1,67 @@
+"""Tables written to the folder that the driver and all executors share.
+
+A written table cuts lineage: a lost executor costs a re-read of Parquet files,
+never a recomputation of the stages before it.
+"""
+
+from __future__ import annotations
+
+import os
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows and bytes of one Arrow batch handed to a Python worker. Texts may be
+#: long, so a batch is bounded by bytes as well as by rows.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Unset is accepted on a local master alone, where one machine holds
+    everything; a cluster must name its shared folder.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local[") and master != "local":
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return f"file:///tmp/checkpoints/{os.getuid()}"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small; whole texts of any length pass through them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+class Workspace:
+    """Intermediate tables of one operator call, under one unique folder."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.n = 0
+
+    def path(self, name: str) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n:03d}-{name}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and return it as a scan of what was written."""
+        path = self.path(name)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._ledgerlight_path = path
+        return back
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table made by :meth:`put` that no later plan reads."""
+        path = getattr(df, "_ledgerlight_path", None)
+        if path:
+            jvm = self.spark._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
