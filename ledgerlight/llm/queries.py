@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, pieces, tokenstore
+from .storage import shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public tokenizers keeps a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Shingling(width=3, num=85))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/op3-{uuid.uuid4().hex[:12]}"
+    tokenstore.write_store(_table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
+    return tokenstore.read_summary(spark, path)
+
+
+def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    digests = ("n_tokens", "ids_sha256", "decoded_sha256")
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), digests).drop("text")
+
+
 QUERIES = {
+    "op3_token_store": op3_token_store,
+    "op7_sentencepiece_codec": op7_sentencepiece_codec,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
