@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, pieces, tokenstore
+from . import minhash, pieces, quality, secrets, tokenstore, toxicity
 from .storage import shared_folder
 
 
@@ -25,6 +25,20 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Shingling(width=3, num=85))
 
 
+def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op6_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/op3-{uuid.uuid4().hex[:12]}"
     tokenstore.write_store(_table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
@@ -38,7 +52,10 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_discriminant": op2_quality_discriminant,
     "op3_token_store": op3_token_store,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity_machine": op6_toxicity_machine,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
