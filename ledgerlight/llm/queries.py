@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, pieces, quality, secrets, tokenstore, toxicity
+from . import html_text, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules
 from .storage import shared_folder
 
 
@@ -51,12 +51,26 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), digests).drop("text")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+
+
+def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op2_quality_discriminant": op2_quality_discriminant,
     "op3_token_store": op3_token_store,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity_machine": op6_toxicity_machine,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_url_association_rules": op10_url_association_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
 }
 
