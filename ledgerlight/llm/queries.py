@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules
+from . import decontaminate, html_text, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules
 from .storage import shared_folder
 
 
@@ -51,6 +51,10 @@ def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), digests).drop("text")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity_machine": op6_toxicity_machine,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_association_rules": op10_url_association_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
