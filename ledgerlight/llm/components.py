@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from .storage import Workspace
 
+#: Edges that one task takes.
+TASK_EDGES = 500_000
+
 
 def _signature(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -28,15 +31,18 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     now = work.put(pairs.distinct(), "edges")
     seen = _signature(now)
+    # no later table has more than twice as many rows
+    tasks = max(8, seen[0] // TASK_EDGES)
+    put = lambda df, name: work.put(df.coalesce(tasks), name)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = work.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
+        lowest = put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "lowest")
         large = both.where("v > u").join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        grown = work.put(large.distinct(), "large")
-        lowest_of_smaller = work.put(grown.groupBy("u").agg(F.min("v").alias("m")), "smaller")
+        grown = put(large.distinct(), "large")
+        lowest_of_smaller = put(grown.groupBy("u").agg(F.min("v").alias("m")), "smaller")
         small = grown.join(lowest_of_smaller, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = lowest_of_smaller.select("u", F.col("m").alias("v"))
-        after = work.put(small.unionByName(links).distinct(), "edges")
+        after = put(small.unionByName(links).distinct(), "edges")
         for old in (now, lowest, grown, lowest_of_smaller):
             work.drop(old)
         now, last = after, seen

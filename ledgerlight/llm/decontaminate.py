@@ -151,3 +151,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     return out.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of an item, with all their columns."""
+    work = Workspace(docs.sparkSession, "decontaminate")
+    index = build_index(docs.select("text"), items, width, work)
+    keys = work.put(phrase_matches(index, work).select(F.col("key").alias("__key")).distinct(), "keys")
+    return docs.withColumn("__key", _digest(F.coalesce("text", F.lit("")))).join(keys, "__key", "left_anti").drop("__key")

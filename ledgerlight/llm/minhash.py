@@ -13,11 +13,19 @@ ones has a probability below 1e-7. That gives:
 * *exact check*: Jaccard of the full sets, for every pair that is left.
 
 A list isn't expanded into pairs. Its most central member (largest mean list
-length, i.e. the likely original) is compared with the others; what links is one
-component and needs no more comparing. Later rounds compare only documents of one
-list that are still in different components and that the triangle inequality of
-the Jaccard distance doesn't rule out. The last round compares all such pairs, so
-no link between components is lost.
+length, i.e. the likely original) is compared with the others, and all that link
+with it are settled among themselves. What is left is found in two ways, which
+together miss no link:
+
+* *Rare shingles.* Counted over all sets still in question, a linked pair shares
+  one of the rarest ``n - ceil(s * n) + 1`` shingles of either full set. Those that
+  at most ``RARE`` sets have give pairs at once.
+* *Common shingles only.* A pair without a rare shingle in common has no more in
+  common than the shorter count of its common shingles, which bounds its
+  similarity. Edited copies of one original have rare shingles from each edit, so
+  in a large group of them few members pass. These meet the members of their
+  pivot's group, one side always a member that the pivot doesn't link with, unless
+  the sizes or the triangle inequality of the Jaccard distance rule a link out.
 
 Copies (equal sets) are one class from the start.
 """
@@ -37,8 +45,10 @@ from .components import components
 from .storage import Workspace, bound_batches
 from .wordhash import NON_SPACE, mix, slices, words
 
-#: Rounds with one pivot a list, before all remaining pairs are compared.
-PIVOT_ROUNDS = 2
+#: Sets that share a rare shingle at most.
+RARE = 16
+#: Rows that a task of a small table takes; the tables' row counts are known when they are dealt.
+TASK_ROWS = 200_000
 
 
 class Shingling(NamedTuple):
@@ -178,17 +188,32 @@ def _listed(profiles: DataFrame, shape: Shingling, work: Workspace) -> DataFrame
     return work.put(kept, "lists")
 
 
-def _pairs_checked(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, shape: Shingling, work: Workspace) -> DataFrame:
+def _pairs_checked(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, shape: Shingling, work: Workspace, tasks: int) -> DataFrame:
     """``a, b, common, total`` of the distinct pairs that the union sketch lets through."""
+    pairs = work.put(pairs.coalesce(tasks), "pairs")
     sketch = profiles.select("rep", "sketch")
     both = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = work.put(both.mapInArrow(_estimated(shape), "a long, b long"), "likely")
+    likely = work.put(both.coalesce(2 * tasks).mapInArrow(_estimated(shape), "a long, b long"), "likely")
     held = likely.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
-    return work.put(held.mapInArrow(_jaccard, "a long, b long, common long, total long"), "checked")
+    return work.put(held.coalesce(2 * tasks).mapInArrow(_jaccard, "a long, b long, common long, total long"), "checked")
 
 
-def _similar_size(shape: Shingling) -> Column:
-    return F.least("n", "n2") * shape.den >= F.greatest("n", "n2") * shape.num
+def _similar_size(shape: Shingling, n: str, m: str) -> Column:
+    return F.least(n, m) * shape.den >= F.greatest(n, m) * shape.num
+
+
+def _shared_shingles(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """``h, f, rep, n`` of the shingles that more than one set of ``members`` (``rep, n``) has."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_hashes(x).view(np.int64) for x in batch.column("members").to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(held)), [len(x) for x in held]))
+            flat = np.concatenate(held) if held else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("rep").take(take), batch.column("n").take(take)], names=["h", "rep", "n"])
+
+    rows = sets.join(members, "rep").select("rep", "n", "members").mapInArrow(hashes, "h long, rep long, n long")
+    return rows.join(rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")
 
 
 def near_duplicates(docs: DataFrame, shape: Shingling = Shingling(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,41 +248,75 @@ def near_duplicates(docs: DataFrame, shape: Shingling = Shingling(), id_col: str
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, shape: Shingling = Shingling()) -> DataFrame:
+    """``docs`` with one document of each component (the smallest id), all columns kept.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
+    work = Workspace(docs.sparkSession, "minhash-kept")
+    found = near_duplicates(docs, shape)
+    found = work.put(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "found")
+    gone, repeated = found.where("not kept or n > 1").select("doc_id"), found.where("kept and n > 1").select("doc_id")
+    single = docs.join(gone, "doc_id", "left_anti")
+    chosen = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(chosen).select(*docs.columns)
+
+
 def _links(profiles: DataFrame, texts: DataFrame, shape: Shingling, work: Workspace) -> DataFrame:
     """``u, v``: links that connect all that is connected; not all pairs of a group."""
-    state = _listed(profiles, shape, work)
-    wanted = work.put(state.select("rep").distinct(), "wanted")
+    lists = _listed(profiles, shape, work)
+    tasks = max(8, lists.count() // TASK_ROWS)
+    wanted = work.put(lists.select("rep").distinct().coalesce(tasks), "wanted")
     bodies = texts.join(wanted, texts.doc_id == wanted.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text")
     sets = work.put(bodies.mapInArrow(_sets(shape), "rep long, members binary"), "sets")
 
-    def linked(checked: DataFrame) -> DataFrame:
-        return checked.where(F.col("common") * shape.den >= F.col("total") * shape.num).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    edges = profiles.select(F.col("rep").alias("u"), F.col("rep").alias("v")).limit(0)
-    state = state.withColumn("comp", F.col("rep"))
-    for turn in range(PIVOT_ROUNDS):
-        best = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n", "comp")).alias("p")
-        parts = state.groupBy("v").agg(best, F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-        pivots = work.put(parts.select("v", (-F.col("p.minus")).alias("pivot"), F.col("p.n").alias("n2"), F.col("p.comp").alias("comp2")), "pivots")
-        near = state.join(pivots, "v").where((F.col("comp") != F.col("comp2")) & _similar_size(shape))
-        pairs = near.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).where("a <> b").distinct()
-        checked = _pairs_checked(pairs, profiles, sets, shape, work)
-        edges = edges.unionByName(linked(checked))
-        grouped = work.put(components(edges, work), "components")
-        # a list goes on without its pivot, which was compared with all others, and with distances to it
-        gap = (1 - F.col("common") / F.col("total")).alias(f"gap{turn}")
-        gaps = checked.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), gap).unionByName(checked.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), gap))
-        gaps = work.put(gaps.groupBy("rep", "pivot").agg(F.min(f"gap{turn}").alias(f"gap{turn}")), "gaps")
-        rest = state.drop("comp").join(grouped.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        rest = work.put(rest.join(pivots.select("v", "pivot"), "v").where("rep <> pivot").join(gaps, ["rep", "pivot"], "left").drop("pivot"), "rest")
-        mixed = rest.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v")
-        state = work.put(rest.join(mixed, "v", "left_semi"), "state")
-        if state.isEmpty():
-            return edges
-    other = state.select("v", *[F.col(c).alias(f"{c}2") for c in state.columns if c not in ("v", "weight")])
-    meet = state.join(other, "v").where((F.col("rep") > F.col("rep2")) & (F.col("comp") != F.col("comp2")) & _similar_size(shape))
-    for turn in range(PIVOT_ROUNDS):
-        apart = F.abs(F.col(f"gap{turn}") - F.col(f"gap{turn}2")) > 1 - shape.num / shape.den + 1e-9
-        meet = meet.where(~F.coalesce(apart, F.lit(False)))
-    pairs = meet.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
-    return edges.unionByName(linked(_pairs_checked(pairs, profiles, sets, shape, work)))
+    best = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("p")
+    parts = lists.groupBy("v").agg(best, F.count("*").alias("f")).where("f > 1")
+    pivots = parts.select("v", (-F.col("p.minus")).alias("pivot"), F.col("p.weight").alias("pivot_weight"), F.col("p.n").alias("pivot_n"))
+    pivots = work.put(pivots.coalesce(tasks), "pivots")
+    near = lists.join(pivots, "v").where((F.col("rep") != F.col("pivot")) & _similar_size(shape, "n", "pivot_n"))
+    pairs = near.select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct()
+    checked = _pairs_checked(pairs, profiles, sets, shape, work, tasks)
+    link = F.col("common") * shape.den >= F.col("total") * shape.num
+    first = checked.where(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+    # a member is settled in a list if it and the pivot link with one and the same set, be it the pivot
+    both = checked.select("a", "b", "common", "total").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", "total"))
+    both = both.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (1 - F.col("common") / F.col("total")).alias("gap"), link.alias("linked"))
+    gaps = work.put(both.groupBy("rep", "pivot").agg(F.min("gap").alias("gap"), F.bool_or("linked").alias("linked")).coalesce(tasks), "gaps")
+    weights = lists.groupBy("rep").agg(F.max("weight").alias("weight"))
+    hubs = gaps.where("linked").select("rep", "pivot").join(weights.withColumnRenamed("rep", "pivot"), "pivot").select("rep", "weight", (-F.col("pivot")).alias("minus"))
+    own = weights.select("rep", "weight", (-F.col("rep")).alias("minus")).unionByName(hubs).groupBy("rep").agg(F.max(F.struct("weight", "minus")).alias("h"))
+    labels = work.put(own.select("rep", (-F.col("h.minus")).alias("label")).coalesce(tasks), "labels")
+
+    # what stands in lists of one pivot is one group from here on
+    rest = lists.join(pivots.select("v", "pivot"), "v").where("rep <> pivot").select("pivot", "rep", "n").distinct().join(labels, "rep")
+    rest = rest.join(labels.withColumnsRenamed({"rep": "pivot", "label": "pivot_label"}), "pivot").join(gaps.select("rep", "pivot", "gap"), ["rep", "pivot"], "left")
+    rest = work.put(rest.select("pivot", "rep", "n", "label", (F.col("label") != F.col("pivot_label")).alias("open"), "gap").coalesce(tasks), "rest")
+    mixed = rest.groupBy("pivot").agg(F.bool_or("open").alias("open"), F.count("*").alias("f")).where("open and f > 1").select("pivot")
+    state = work.put(rest.join(mixed, "pivot").coalesce(tasks), "state")
+
+    members = work.put(state.select("rep", "n", "label").distinct().coalesce(tasks), "members")
+    per = Window.partitionBy("rep")
+    shared = _shared_shingles(sets, members.select("rep", "n")).withColumn("shared", F.count("*").over(per))
+    shared = shared.withColumn("common", F.count_if(F.col("f") > RARE).over(per)).withColumn("place", F.row_number().over(per.orderBy("f", "h")))
+    need = F.ceil(F.col("n") * shape.num / shape.den)
+    rare = (F.col("f") <= RARE) & (F.col("place") <= F.col("shared") - need + 1)
+    marked = work.put(shared.where(rare | (F.col("place") == 1)).select("h", rare.alias("rare"), "rep", "common").coalesce(4 * tasks), "marked")
+    rows = marked.where("rare").select("h", "rep").join(members, "rep")
+    other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label")])
+    alike = rows.join(other, "h").where((F.col("rep") > F.col("rep2")) & (F.col("label") != F.col("label2")) & _similar_size(shape, "n", "n2"))
+    pairs = alike.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+
+    # a row of each set whose shingles are common enough
+    common = marked.select("rep", "common").distinct().join(members.select("rep", "n"), "rep").where(F.col("common") >= need).select("rep", "common")
+    able = state.join(common, "rep")
+    other = able.select("pivot", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "gap", "common")])
+    apart = F.abs(F.col("gap") - F.col("gap2")) > 1 - shape.num / shape.den + 1e-9
+    enough = F.least("common", "common2") * (shape.num + shape.den) >= (F.col("n") + F.col("n2")) * shape.num
+    meet = able.where("open").join(other, "pivot").where(
+        (F.col("rep") != F.col("rep2")) & (F.col("label") != F.col("label2")) & _similar_size(shape, "n", "n2") & enough & ~F.coalesce(apart, F.lit(False))
+    )
+    pairs = pairs.unionByName(meet.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))).distinct()
+    last = _pairs_checked(pairs, profiles, sets, shape, work, tasks)
+    return first.unionByName(last.where(link).select(F.col("a").alias("u"), F.col("b").alias("v")))

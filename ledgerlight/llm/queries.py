@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules
+from . import decontaminate, html_text, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules, vectors
 from .storage import shared_folder
 
 
@@ -25,6 +25,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Shingling(width=3, num=85))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.classify(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -68,6 +72,7 @@ def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_discriminant": op2_quality_discriminant,
     "op3_token_store": op3_token_store,
     "op5_secret_scan": op5_secret_scan,
