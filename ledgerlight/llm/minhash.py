@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import Workspace, bound_batches
+from .storage import Workspace, bound_batches, lean
 from .wordhash import NON_SPACE, mix, slices, words
 
 #: Sets that share a rare shingle at most.
@@ -171,7 +171,7 @@ def _listed(profiles: DataFrame, shape: Shingling, work: Workspace) -> DataFrame
                 [pa.array(flat), batch.column("rep").take(take), batch.column("n").take(take), pa.array(np.repeat(np.array(sizes, np.int32), sizes))], names=["v", "rep", "n", "m"]
             )
 
-    rows = profiles.select("rep", F.col("n_shingles").alias("n"), "sketch").mapInArrow(values, "v long, rep long, n long, m int")
+    rows = profiles.select("rep", F.col("n_shingles").alias("n"), "sketch").mapInArrow(lean(values), "v long, rep long, n long, m int")
     lengths = work.put(rows.groupBy("v").agg(F.count("*").alias("f")).where("f > 1"), "lengths")
     full = F.ceil(F.col("m") * shape.num / shape.den)
     # a sketch that may stand beside a longer set's sketch answers for the common hashes of that one
@@ -193,9 +193,9 @@ def _pairs_checked(pairs: DataFrame, profiles: DataFrame, sets: DataFrame, shape
     pairs = work.put(pairs.coalesce(tasks), "pairs")
     sketch = profiles.select("rep", "sketch")
     both = pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    likely = work.put(both.coalesce(2 * tasks).mapInArrow(_estimated(shape), "a long, b long"), "likely")
+    likely = work.put(both.coalesce(2 * tasks).mapInArrow(lean(_estimated(shape)), "a long, b long"), "likely")
     held = likely.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
-    return work.put(held.coalesce(2 * tasks).mapInArrow(_jaccard, "a long, b long, common long, total long"), "checked")
+    return work.put(held.coalesce(2 * tasks).mapInArrow(lean(_jaccard), "a long, b long, common long, total long"), "checked")
 
 
 def _similar_size(shape: Shingling, n: str, m: str) -> Column:
@@ -212,7 +212,7 @@ def _shared_shingles(sets: DataFrame, members: DataFrame) -> DataFrame:
             flat = np.concatenate(held) if held else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("rep").take(take), batch.column("n").take(take)], names=["h", "rep", "n"])
 
-    rows = sets.join(members, "rep").select("rep", "n", "members").mapInArrow(hashes, "h long, rep long, n long")
+    rows = sets.join(members, "rep").select("rep", "n", "members").mapInArrow(lean(hashes), "h long, rep long, n long")
     return rows.join(rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "h")
 
 
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, shape: Shingling = Shingling(), id_col: str
     bound_batches(spark)
     work = Workspace(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = work.put(texts.mapInArrow(_profile(shape, "doc_id", "text"), "doc_id long, n_shingles long, digest binary, sketch binary"), "profiles")
+    made = work.put(texts.mapInArrow(lean(_profile(shape, "doc_id", "text")), "doc_id long, n_shingles long, digest binary, sketch binary"), "profiles")
 
     # classes of equal sets; the smallest id stands for each
     some = made.where("digest is not null and doc_id is not null")
@@ -268,7 +268,7 @@ def _links(profiles: DataFrame, texts: DataFrame, shape: Shingling, work: Worksp
     tasks = max(8, lists.count() // TASK_ROWS)
     wanted = work.put(lists.select("rep").distinct().coalesce(tasks), "wanted")
     bodies = texts.join(wanted, texts.doc_id == wanted.rep, "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = work.put(bodies.mapInArrow(_sets(shape), "rep long, members binary"), "sets")
+    sets = work.put(bodies.mapInArrow(lean(_sets(shape)), "rep long, members binary"), "sets")
 
     best = F.max(F.struct("weight", (-F.col("rep")).alias("minus"), "n")).alias("p")
     parts = lists.groupBy("v").agg(best, F.count("*").alias("f")).where("f > 1")

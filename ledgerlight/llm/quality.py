@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import remainder, sample
-from .storage import bound_batches
+from .storage import bound_batches, lean
 from .wordhash import NON_SPACE, byte_class, slices, words
 
 FEATURES = (
@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int =
     chosen = sample(labels, "quality", divisor, held_out, rows)
     # bounded by ``rows``, so every task can hold the sample's ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    got = texts.mapInArrow(_statistic_rows, "label int, x array<double>").toArrow()
+    got = texts.mapInArrow(lean(_statistic_rows), "label int, x array<double>").toArrow()
     x = got.column("x").combine_chunks().values.to_numpy().reshape(-1, len(FEATURES))
     return fit(x, got.column("label").to_numpy())
 
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = 0.7, text_col
             made = [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=[*keep, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, divisor: int = 4, held_out: int = 2) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .storage import bound_batches
+from .storage import bound_batches, lean
 
 #: Kinds in the order that ties of a start follow; the last three are linked parts.
 KINDS = ("assign", "access", "hex", "identifier", "token", "endpoint")
@@ -160,4 +160,4 @@ def scan(docs: DataFrame, outputs: tuple[str, ...] = ("n_assign", "n_access", "n
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=[*keep, *outputs])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .storage import Workspace, bound_batches
+from .storage import Workspace, bound_batches, lean
 from .wordcache import WordCache
 from .wordhash import byte_class, mix
 
@@ -260,11 +260,11 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
     bound_batches(spark)
     work = Workspace(spark, "tokenstore")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    staged = work.put(source.mapInArrow(_encoded(tokenizer_path, end_id), _ENCODED), "encoded")
+    staged = work.put(source.mapInArrow(lean(_encoded(tokenizer_path, end_id)), _ENCODED), "encoded")
     chunks = staged.select(F.explode(F.arrays_zip("addresses", "sizes", "datas")).alias("c")).select(F.col("c.addresses").alias("address"), F.col("c.sizes").alias("n"), F.col("c.datas").alias("data"))
     chunks.groupBy("address").agg(F.first("n").alias("n"), F.first("data").alias("data")).write.parquet(f"{path}/chunks")
     ordered = staged.drop("datas").repartitionByRange(F.asc_nulls_first("doc_id"), "root").sortWithinPartitions(F.asc_nulls_first("doc_id"), "root")
-    ordered.mapInArrow(_placed, _RECIPE).write.parquet(f"{path}/recipes")
+    ordered.mapInArrow(lean(_placed), _RECIPE).write.parquet(f"{path}/recipes")
     work.drop(staged)
     # one row for each part, so the window over all of them stays small
     parts = _parts(spark.read.parquet(f"{path}/recipes"))
@@ -341,12 +341,12 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
     address, its root is that of its recipe, and the sizes add up.
     """
     bound_batches(spark)
-    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(_stored, "address binary, crc long, good boolean")
+    chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(lean(_stored), "address binary, crc long, good boolean")
     lists = "part int, place long, doc_id long, start long, n_tokens long, address binary, n long, after long, listed boolean"
-    used = spark.read.parquet(f"{path}/recipes").mapInArrow(_listed_chunks, lists).join(chunks, "address", "left")
+    used = spark.read.parquet(f"{path}/recipes").mapInArrow(lean(_listed_chunks), lists).join(chunks, "address", "left")
     used = used.withColumn("ok", F.col("listed") & (F.coalesce("good", F.lit(False)) | F.col("address").isNull()))
     added = used.select("part", "place", "doc_id", "start", "n_tokens", "n", "ok", "crc", "after").mapInArrow(
-        _added, "part int, place long, doc_id long, start long, n_tokens long, n long, ok boolean, crc long"
+        lean(_added), "part int, place long, doc_id long, start long, n_tokens long, n long, ok boolean, crc long"
     )
     docs = added.groupBy("part", "place", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"), F.bool_and("ok").alias("ok"))
     bases = F.broadcast(spark.read.parquet(f"{path}/manifest").select("part", "base"))  # a row for each partition of the recipes
@@ -367,7 +367,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
             ids = [np.concatenate([unpack(d) for d in x if d is not None] or [np.zeros(0, "<u4")]) for x in batch.column("datas").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], names=["doc_id", "start", "ids"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, ids array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, start long, ids array<long>")
 
 
 def verify(spark: SparkSession, path: str) -> bool:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import remainder, sample
-from .storage import bound_batches
+from .storage import bound_batches, lean
 from .wordhash import ALPHANUMERIC, slices, words
 
 #: Hash buckets; labelled rows that the fit takes at most.
@@ -127,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int =
     chosen = sample(labels, "toxic", divisor, held_out, rows)
     # bounded by ``rows``, so every task can hold the sample's ids
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
-    got = texts.mapInArrow(_bucket_lists, "label int, buckets array<int>").toArrow()
+    got = texts.mapInArrow(lean(_bucket_lists), "label int, buckets array<int>").toArrow()
     flat = got.column("buckets").combine_chunks()
     offsets, values = flat.offsets.to_numpy(), flat.values.to_numpy()
     return fit([values[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], got.column("label").to_numpy())
@@ -155,7 +155,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.5, text_col: s
             made = [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + made, names=[*keep, "score", "predicted"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0) -> DataFrame:

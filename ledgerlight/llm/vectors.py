@@ -13,9 +13,12 @@ farther than d plus the code's own error can't be linked either. So the probes a
 sufficient, both tests lose nothing, and what passes is compared by its exact
 cosine in double precision.
 
-Equal vectors are one entry with a count. Lists and queries travel as blocks of at
-most ``BLOCK`` vectors, a large list as many blocks, and only link counts and a
-spanning set of links come back, never the pairs of a group.
+Equal vectors are one entry with a count. A list is cut into blocks of about
+``BLOCK`` vectors, which travel once for each pair of blocks that a probe joins. A
+pair of blocks is compared once, for both directions, and gives back link counts and
+a spanning set of links, never the pairs of a group. Where the vectors have no
+clusters, the exact bound probes most lists; the work is then that of all block
+pairs, each a task of its own.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import Workspace, bound_batches
+from .storage import Workspace, bound_batches, lean
 
 #: Vectors that the codebooks are fitted on at most, and rounds of k-means.
 SAMPLE_ROWS, ROUNDS = 8192, 12
 #: Codewords of a subspace, and dimensions that share one.
 CODEWORDS, SUBSPACE = 256, 8
-#: Lists are the square root of the vectors, at most so many.
-MOST_LISTS = 4096
-BLOCK = 1024
+#: Vectors of a block; a list for every half block of vectors, at most so many lists.
+BLOCK, MOST_LISTS = 4096, 4096
+#: Queries that are looked up at once.
+QUERIES = 512
 #: Slack of the distance bounds for rounding; the cosine itself is exact.
 SLACK = 1e-6
 
@@ -113,18 +117,21 @@ def probes(books: Books, x: np.ndarray) -> np.ndarray:
 def links(books: Books, queries: np.ndarray, centre: np.ndarray, vectors: np.ndarray, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Linked (query, vector) positions: table lookups first, then exact cosines."""
     subspaces, _, step = books.words.shape
-    rest = queries - centre
-    # asymmetric distances, a table of a query's distances to all codewords for each subspace
-    far = np.zeros((len(queries), len(vectors)), np.float32)
-    for i in range(subspaces):
-        table = _squares(rest[:, i * step : (i + 1) * step], books.words[i]).astype(np.float32)
-        far += table[:, codes[:, i]]
-    q, v = np.nonzero(far <= ((books.reach + error) ** 2 + 1e-4).astype(np.float32))
-    keep = np.zeros(len(q), bool)
-    for at in range(0, len(q), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        keep[part] = np.einsum("ij,ij->i", queries[q[part]], vectors[v[part]]) >= books.cosine
-    return q[keep], v[keep]
+    most = ((books.reach + error) ** 2 + 1e-4).astype(np.float32)
+    out = []
+    for first in range(0, len(queries), QUERIES):
+        x = queries[first : first + QUERIES]
+        rest = x - centre
+        # asymmetric distances, a table of a query's distances to all codewords for each subspace
+        far = np.zeros((len(vectors), len(x)), np.float32)
+        for i in range(subspaces):
+            far += _squares(books.words[i], rest[:, i * step : (i + 1) * step]).astype(np.float32)[codes[:, i]]
+        v, q = np.nonzero(far <= most[:, None])
+        for at in range(0, len(q), 1 << 15):
+            a, b = q[at : at + (1 << 15)], v[at : at + (1 << 15)]
+            keep = np.einsum("ij,ij->i", x[a], vectors[b]) >= books.cosine
+            out.append((a[keep] + first, b[keep]))
+    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
 def _spanning(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray) -> list[tuple[int, int]]:
@@ -144,19 +151,23 @@ def _spanning(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray) ->
     return [(int(ids[i]), int(ids[k])) for i, k in enumerate(label.tolist()) if i != k]
 
 
-def _unit(embedding: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Unit vectors of a batch as lists of their size, and which rows have one."""
-    good, rows = [], []
-    for x in embedding.to_pylist():
-        v = np.array([np.nan if y is None else y for y in x], float) if x else np.zeros(0)
-        size = float(np.sqrt((v * v).sum())) if len(v) and np.isfinite(v).all() else 0.0
-        top = float(np.abs(v).max()) if size == 0 and len(v) and np.isfinite(v).all() else 0.0
-        if top > 0 or not np.isfinite(size):  # tiny or huge components: scale first
-            v = v / np.abs(v).max()
-            size = float(np.sqrt((v * v).sum()))
-        good.append(size > 0 and np.isfinite(size))
-        rows.append(v / size if good[-1] else v)
-    return np.array(good, bool), rows
+def _packed(x: list | None) -> bytes | None:
+    """A usable vector's numbers, in four bytes each if that loses nothing; None for any other."""
+    if not x or any(y is None for y in x):
+        return None
+    v = np.array(x, "<f8")
+    if not np.isfinite(v).all() or not v.any():
+        return None
+    with np.errstate(over="ignore", under="ignore"):
+        small = v.astype("<f4")
+    return small.tobytes() if np.array_equal(small.astype("<f8"), v) else v.tobytes()
+
+
+def _units(packed: list[bytes], dims: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    v = np.array([np.frombuffer(p, "<f4" if len(p) == 4 * dims else "<f8") for p in packed], float).reshape(-1, dims)
+    v = v / np.abs(v).max(1, keepdims=True)  # so that no square is lost to the range of a double
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
 def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -175,17 +186,18 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
     work = Workspace(spark, "vectors")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good, units = _unit(batch.column("x"))
-            packed = [u.astype("<f8").tobytes() if g else None for g, u in zip(good, units, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(packed, pa.binary())], names=["vec_id", "unit"])
-
-    made = work.put(rows.mapInArrow(unit, "vec_id long, unit binary"), "units")
-    # equal vectors are one entry, known by a digest of the vector
-    some = made.where("unit is not null").withColumn("key", F.unhex(F.md5("unit")))
-    entries = some.groupBy("key").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("unit").alias("unit"))
-    entries = work.put(entries.withColumn("node", F.xxhash64("key")).withColumn("dims", F.length("unit") / 8), "entries")
+            values = batch.column("x").to_pylist()
+            packed = [_packed(x) for x in values]
+            dims = [len(x) if p else None for x, p in zip(values, packed, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(packed, pa.binary()), pa.array(dims, pa.int32())], names=["vec_id", "raw", "dims"])
+
+    made = work.put(rows.mapInArrow(lean(pack), "vec_id long, raw binary, dims int"), "packed")
+    # equal vectors are one entry, known by a digest of their numbers
+    some = made.where("raw is not null").withColumn("key", F.unhex(F.md5("raw")))
+    entries = some.groupBy("key", "dims").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("raw").alias("raw"))
+    entries = work.put(entries.withColumn("node", F.xxhash64("key", "dims")), "entries")
     totals = {int(r["dims"]): int(r["n"]) for r in entries.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # a row for each length of vector
     found = None
     for dims, n in sorted(totals.items()):
@@ -195,17 +207,17 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
         found = spark.createDataFrame([], "node long, copies_linked long, other long")
     found = work.put(found, "found")
     counts = found.where("other is null").groupBy("node").agg(F.sum("copies_linked").alias("linked"))
-    ids = entries.select("key", "node", "least", "copies")
+    ids = entries.select("key", "dims", "node", "least", "copies")
     pairs = found.where("other is not null").select("node", "other")
     # links between entries as links between ids; an entry whose rows all lack an id goes by a negative stand-in
     stand = ids.select("node", F.coalesce("least", F.lit(-1) - F.abs(F.col("node") % (1 << 62)) - (1 << 61)).alias("id"))
     edges = pairs.join(stand, "node").withColumnRenamed("id", "u").drop("node").join(stand.withColumnRenamed("node", "other"), "other").select("u", F.col("id").alias("v"))
     several = some.groupBy("vec_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("vec_id")
-    repeats = some.join(several, "vec_id", "left_semi").join(ids, "key").select(F.col("vec_id").alias("u"), F.col("least").alias("v"))
+    repeats = some.join(several, "vec_id", "left_semi").join(ids, ["key", "dims"]).select(F.col("vec_id").alias("u"), F.col("least").alias("v"))
     grouped = work.put(components(edges.unionByName(repeats), work), "components")
     joined = ids.join(counts, "node", "left").join(grouped.withColumnRenamed("node", "least"), "least", "left")
-    about = work.put(joined.select("key", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component")), "about")
-    out = made.withColumn("key", F.unhex(F.md5("unit"))).drop("unit").join(about, "key", "left")
+    about = work.put(joined.select("key", "dims", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "least").alias("component")), "about")
+    out = made.withColumn("key", F.unhex(F.md5("raw"))).drop("raw").join(about, ["key", "dims"], "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
@@ -213,52 +225,52 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
 def _linked(entries: DataFrame, dims: int, n: int, cosine: float, work: Workspace) -> DataFrame:
     """``node, copies_linked`` sums, and ``node, other`` links that span the components."""
     spark = entries.sparkSession
-    sample = entries.orderBy("node").limit(SAMPLE_ROWS).select("unit").toArrow().column("unit")
-    drawn = np.array([np.frombuffer(x, "<f8") for x in sample.to_pylist()]).reshape(-1, dims)
-    shared = spark.sparkContext.broadcast(fit(drawn, int(min(MOST_LISTS, max(1, n**0.5))), cosine))
+    sample = entries.orderBy("node").limit(SAMPLE_ROWS).select("raw").toArrow().column("raw").to_pylist()
+    shared = spark.sparkContext.broadcast(fit(_units(sample, dims), min(MOST_LISTS, max(1, 2 * n // BLOCK)), cosine))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         for batch in batches:
             if batch.num_rows:
-                x = np.array([np.frombuffer(u, "<f8") for u in batch.column("unit").to_pylist()])
+                x = _units(batch.column("raw").to_pylist(), dims)
                 near, codes, error = encode(books, x)
-                asked = probes(books, x)
-                own = [batch.column(c) for c in ("node", "copies", "unit")]
-                lists = [np.flatnonzero(r).astype(np.int32) for r in asked]
+                lists = [np.flatnonzero(r).astype(np.int32) for r in probes(books, x)]
+                own = [batch.column(c) for c in ("node", "copies", "raw")]
                 made = [pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(lists, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*own, *made], names=["node", "copies", "unit", "list", "code", "error", "asks"])
-
-    index = work.put(entries.select("node", "copies", "unit").mapInArrow(placed, "node long, copies long, unit binary, list int, code binary, error double, asks array<int>"), f"index{dims}")
-    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # at most a row for each list
-    stored = index.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    stored = stored.groupBy("list", "block").agg(F.collect_list(F.struct("node", "copies", "unit", "code", "error")).alias("held"))
-    asks = index.select("node", "unit", F.explode("asks").alias("list"))
-    asked = asks.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # at most a row for each list
-    asks = asks.join(F.broadcast(asked), "list").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"))
-    asks = asks.groupBy("list", "part").agg(F.collect_list(F.struct("node", "unit")).alias("queries"))
-    # each block of queries meets each block of its list
-    asks = asks.join(F.broadcast(sizes), "list").select("list", "queries", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+                yield pa.RecordBatch.from_arrays([*own, *made], names=["node", "copies", "raw", "list", "code", "error", "asks"])
+
+    fields = "node long, copies long, raw binary, list int, code binary, error double, asks array<int>"
+    index = work.put(entries.select("node", "copies", "raw").mapInArrow(lean(placed), fields), f"index{dims}")
+    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # at most a row for each list
+    stored = index.join(F.broadcast(sizes), "list").withColumn("block", F.col("list") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks")))
+    blocks = work.put(stored.groupBy("block", "list").agg(F.collect_list(F.struct("node", "copies", "raw", "code", "error")).alias("held")), f"blocks{dims}")
+    asked = stored.select("block", F.explode("asks").alias("list")).distinct()
+    met = asked.join(blocks.select("list", F.col("block").alias("other")), "list").select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).distinct()
+    met = work.put(met, f"pairs{dims}")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                held, queries = batch.column("held")[k].values, batch.column("queries")[k].values
-                vectors = np.frombuffer(b"".join(held.field("unit").to_pylist()), "<f8").reshape(-1, dims)
-                x = np.frombuffer(b"".join(queries.field("unit").to_pylist()), "<f8").reshape(-1, dims)
-                codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(vectors), -1)
-                vid, qid = held.field("node").to_numpy(), queries.field("node").to_numpy()
-                q, v = links(books, x, books.centres[batch.column("list")[k].as_py()], vectors, codes, held.field("error").to_numpy())
-                other = qid[q] != vid[v]
+                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
+                ours, theirs = batch.column("ours")[k].values, batch.column("theirs")[k].values
+                x = _units(ours.field("raw").to_pylist(), dims)
+                y = x if same else _units(theirs.field("raw").to_pylist(), dims)
+                codes = np.frombuffer(b"".join(theirs.field("code").to_pylist()), np.uint8).reshape(len(y), -1)
+                xid, yid = ours.field("node").to_numpy(), theirs.field("node").to_numpy()
+                q, v = links(books, x, books.centres[batch.column("list")[k].as_py()], y, codes, theirs.field("error").to_numpy())
+                other = xid[q] != yid[v]
                 q, v = q[other], v[other]
-                sums = np.bincount(q, held.field("copies").to_numpy()[v], len(qid)).astype(np.int64)
-                some = np.flatnonzero(sums)
-                spans = _spanning(q, v, qid, vid)
-                nodes = np.concatenate([qid[some], np.array([s for s, _ in spans], np.int64)])
-                counted = pa.array([*sums[some].tolist(), *[None] * len(spans)], pa.int64())
-                linked = pa.array([*[None] * len(some), *[t for _, t in spans]], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), counted, linked], names=["node", "copies_linked", "other"])
-
-    met = asks.join(stored, ["list", "block"]).select("list", "queries", "held")
-    return met.mapInArrow(searched, "node long, copies_linked long, other long")
+                sums = [(xid, np.bincount(q, theirs.field("copies").to_numpy()[v], len(xid)))]
+                if not same:  # a block beside itself has each link in both directions already
+                    sums.append((yid, np.bincount(v, ours.field("copies").to_numpy()[q], len(yid))))
+                spans = _spanning(q, v, xid, yid)
+                nodes = np.concatenate([*[i[c > 0] for i, c in sums], np.array([s for s, _ in spans], np.int64)])
+                counted = np.concatenate([c[c > 0] for _, c in sums]).astype(np.int64).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes), pa.array([*counted, *[None] * len(spans)], pa.int64()), pa.array([*[None] * len(counted), *[t for _, t in spans]], pa.int64())],
+                    names=["node", "copies_linked", "other"],
+                )
+
+    sides = met.join(blocks.select(F.col("block").alias("a"), F.col("held").alias("ours")), "a").join(blocks.select(F.col("block").alias("b"), "list", F.col("held").alias("theirs")), "b")
+    return sides.select("a", "b", "list", "ours", "theirs").mapInArrow(lean(searched), "node long, copies_linked long, other long")

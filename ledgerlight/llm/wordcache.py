@@ -18,9 +18,9 @@ import pyarrow as pa
 from .wordhash import Slice, raw_codes, slices
 
 #: Bytes of text that are cut and gathered together.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Distinct chunks kept in a worker; beyond it the store starts anew.
-KEPT_CHUNKS = 900_000
+KEPT_CHUNKS = 500_000
 
 
 class Block(NamedTuple):

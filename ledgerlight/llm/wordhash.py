@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Texts are joined up to so many bytes before they are hashed together.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -56,7 +56,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
         row = np.full(size, base, np.uint64)
         row[0] = 1
         made.append(np.multiply.accumulate(row))
-    if size <= 4 * SLICE_BYTES:
+    if size <= 8 * SLICE_BYTES:
         _powers, _inverses = made
     return made[0], made[1]
 
