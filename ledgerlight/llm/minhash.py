@@ -256,7 +256,9 @@ def one_of_each(docs: DataFrame, shape: Shingling = Shingling()) -> DataFrame:
     work = Workspace(docs.sparkSession, "minhash-kept")
     found = near_duplicates(docs, shape)
     found = work.put(found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n")), "found")
-    gone, repeated = found.where("not kept or n > 1").select("doc_id"), found.where("kept and n > 1").select("doc_id")
+    # written first, so that Spark knows their sizes and moves the texts only for lists too long to broadcast
+    gone = work.put(found.where("not kept or n > 1").select("doc_id"), "gone")
+    repeated = work.put(found.where("kept and n > 1").select("doc_id"), "repeated")
     single = docs.join(gone, "doc_id", "left_anti")
     chosen = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(chosen).select(*docs.columns)
