@@ -43,9 +43,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and a digest of what they decode to."""
-    coded = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), ("n_tokens", "ids", "decoded_sha256"))
-    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256")
+    """Ids of every document with the byte span of each, and a digest of what they decode to."""
+    coded = pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), ("n_tokens", "ids", "starts", "ends", "decoded_sha256"))
+    return coded.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "starts", "ends", "decoded_sha256")
 
 
 STAGES = [

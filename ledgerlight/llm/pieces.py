@@ -185,6 +185,8 @@ class Codec:
         spec = self.normalizer.spec
         plain = not spec.charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces
         crossing = any(MARK in p.lstrip(MARK) for i, p in enumerate(pieces) if not (self.library.is_control(i) or self.library.is_unknown(i)))
+        #: Normalisation only marks spaces: without a character map no prefix is ever replaced.
+        self.plain, self.sizes = plain, np.array(self.widths, np.int64)
         #: Words can be encoded one by one: normalisation only marks spaces, and no piece goes on after a word's end.
         self.by_word = plain and not crossing and self.mark_id != self.library.unk_id()
         self.spelled = [str(i) for i in range(n)]
@@ -236,6 +238,54 @@ class Codec:
             ends.append(norm.origin[at])
         return Encoded(list(ids), starts, ends)
 
+    def block_spans(self, texts: list[str], block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`spans` of a block's texts, one after another; pieces that leave a gap raise.
+
+        A model without a character map has its alignment made for the whole block;
+        otherwise, or where a piece is unknown, each text is walked by the longest prefix.
+        """
+        bounds = block.bounds
+        if self.plain and not (block.ids == self.library.unk_id()).any():
+            data = [t.encode("utf-8", "surrogatepass") for t in texts]
+            sizes = np.fromiter(map(len, data), np.int64, len(data))
+            starts, ends = self._aligned(np.frombuffer(b"".join(data), np.uint8), sizes, block)
+            has = np.flatnonzero(sizes)
+            whole = not starts[bounds[has]].any() and np.array_equal(ends[bounds[has + 1] - 1], sizes[has])
+        else:
+            rows = [self.spans(t, block.ids[a:b].tolist()) for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            starts, ends = (np.fromiter(itertools.chain.from_iterable(r[k] for r in rows), np.int64, len(block.ids)) for k in (1, 2))
+            whole = True  # a character map may drop what stands before and behind the pieces
+        follows = np.ones(len(starts), bool)
+        follows[bounds[:-1][np.diff(bounds) > 0]] = False
+        follows = np.flatnonzero(follows)
+        if not whole or not np.array_equal(starts[follows], ends[follows - 1]) or (starts > ends).any():
+            raise ValueError("the spans of the pieces don't cover the text")
+        return starts, ends
+
+    def _aligned(self, data: np.ndarray, sizes: np.ndarray, block: Block) -> tuple[np.ndarray, np.ndarray]:
+        """Spans by the origins that :class:`Normalized` has: of the first mark, each byte (a space becomes a mark) and the end."""
+        mark, offsets = len(self.normalizer.space), np.concatenate([[0], np.cumsum(sizes)])
+        has = np.flatnonzero(sizes)
+        character = np.maximum.accumulate(np.where((data & 0xC0) == 0x80, 0, np.arange(len(data)))) - np.repeat(offsets[:-1], sizes)
+        # a text's end stands before the next one's first mark
+        where = np.concatenate([offsets[has + 1], offsets[has]])
+        origin = np.insert(character, where, np.concatenate([sizes[has], np.zeros(len(has), np.int64)]))
+        wide = np.insert(np.where(data == 0x20, mark, 1), where, np.repeat([1, mark], len(has)))
+        before = np.concatenate([[0], np.cumsum(wide)])
+        place = np.zeros(len(sizes), np.int64)
+        length = np.zeros(len(sizes), np.int64)
+        rank = 2 * np.arange(len(has))
+        place[has] = before[offsets[has] + rank]
+        length[has] = before[offsets[has + 1] + rank + 1] - place[has]
+        widths = self.sizes[block.ids]
+        sums = np.concatenate([[0], np.cumsum(widths)])
+        first, counts = sums[block.bounds[:-1]], np.diff(block.bounds)
+        if not np.array_equal(sums[block.bounds[1:]] - first, length):
+            raise ValueError("the pieces are not as long as the normalised text")
+        at = sums[:-1] + np.repeat(place - first, counts)
+        origin = np.repeat(origin, wide)
+        return origin[at], origin[at + widths]
+
     def encode_with_spans(self, texts: Iterable[str]) -> list[Encoded]:
         texts = list(texts)
         return [self.spans(t, ids) for t, ids in zip(texts, self.encode(texts), strict=True)]
@@ -263,41 +313,48 @@ OUTPUTS: dict[str, T.DataType] = {
     "n_tokens": T.LongType(),
     "ids_sha256": T.StringType(),
     "decoded_sha256": T.StringType(),
+    "spans_sha256": T.StringType(),
 }
 
 
 def _columns(c: Codec, outputs: tuple[str, ...], texts: list[str], block: Block) -> list[pa.Array]:
     """The outputs of one block's texts, as Arrow arrays."""
     ids, bounds = block.ids, block.bounds
-    made: dict[str, list] = {o: [] for o in outputs if o not in ("ids", "n_tokens")}
+    made: dict[str, list] = {o: [] for o in outputs if o in ("decoded", "ids_sha256", "decoded_sha256")}
+    starts, ends = c.block_spans(texts, block) if {"starts", "ends", "spans_sha256"} & set(outputs) else (None, None)
     if made:
         spelled, decode = c.spelled, "decoded" in made or "decoded_sha256" in made
-        for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             own = ids[a:b].tolist()
             decoded = c.decode(own) if decode else ""
-            span = c.spans(text, own) if "starts" in made or "ends" in made else None
             for o in made:
                 if o == "ids_sha256":
                     made[o].append(hashlib.sha256(",".join([spelled[i] for i in own]).encode()).hexdigest())
                 elif o == "decoded_sha256":
                     made[o].append(hashlib.sha256(decoded.encode()).hexdigest())
                 else:
-                    made[o].append(decoded if o == "decoded" else span.starts if o == "starts" else span.ends)
+                    made[o].append(decoded)
     out = []
     for o in outputs:
         if o == "ids":
             out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
         elif o == "n_tokens":
             out.append(pa.array(np.diff(bounds), pa.int64()))
+        elif o in ("starts", "ends"):
+            out.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(starts if o == "starts" else ends, pa.int64())))
+        elif o == "spans_sha256":
+            pairs = np.stack([starts, ends], 1).astype("<i8")
+            out.append(pa.array([hashlib.sha256(pairs[a:b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string()))
         else:
-            out.append(pa.array(made[o], pa.list_(pa.int64()) if o in ("starts", "ends") else pa.string()))
+            out.append(pa.array(made[o], pa.string()))
     return out
 
 
 def encode(docs: DataFrame, model_path: str, outputs: tuple[str, ...] = ("ids", "starts", "ends"), text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with the columns named in ``outputs`` (see :data:`OUTPUTS`), their names after ``prefix``.
 
-    A null or empty text has no ids and decodes to the empty string. All columns and
+    A null or empty text has no ids and decodes to the empty string. ``spans_sha256``
+    is of the pairs (start, end) as little-endian 64-bit integers. All columns and
     rows of ``docs`` stay as they are, repeated rows too; an output whose name
     (with ``prefix``) ``docs`` already has replaces that column. No shuffle.
     """

@@ -51,7 +51,7 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    digests = ("n_tokens", "ids_sha256", "decoded_sha256")
+    digests = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
     return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"), digests).drop("text")
 
 

@@ -299,6 +299,28 @@ def test_longest_prefix_in_a_character_map():
     assert norm.text.decode() == "YZ▁e" and norm.origin[:2] == [2, 2] and norm.origin[-2:] == [5, 7]
 
 
+def test_every_row_of_the_query_and_the_stage_has_its_spans(spark, data):
+    import corpus_pipeline
+
+    library = pieces.codec(queries.tokenizer_file("piece_bpe_32k.model")).library
+    texts = ["", " ", "  a  b ", "▁x ▁ y▁", "é中 😀\n\x00", "", "the end"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, None])], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    docs = docs.unionByName(spark.read.parquet(f"{data}/documents.parquet").select(*docs.columns).withColumn("doc_id", F.col("doc_id") + 1000))
+    want = {r.doc_id: [(p.begin, p.end) for p in library.encode(r.text or "", return_type="proto").pieces] for r in docs.collect()}
+    got = corpus_pipeline.encode(spark, docs, data).collect()
+    assert {r.doc_id: list(zip(r.starts, r.ends, strict=True)) for r in got} == want and len(got) == len(want)
+    digests = {r.doc_id + 1000: r.spans_sha256 for r in queries.op7_sentencepiece_codec(spark, data).collect()}
+    assert digests == {i: hashlib.sha256(np.array(x, "<i8").tobytes()).hexdigest() for i, x in want.items() if i >= 1000}
+
+
+def test_spans_that_leave_a_gap_raise():
+    c = pieces.codec(queries.tokenizer_file("piece_bpe_32k.model"))
+    ids = c.library.encode("the cat sat")
+    block = pieces.Block(0, 1, np.array(ids[:-1], np.int32), np.array([0, len(ids) - 1]))
+    with pytest.raises(ValueError):
+        c.block_spans(["the cat sat"], block)
+
+
 # --- 8 -----------------------------------------------------------------------
 
 
