@@ -2,9 +2,9 @@
 
 URLs that a stated rule decides are the labelled set. Spark's FP-growth finds the
 token combinations (of host labels, their hyphenated parts, path words and query
-keys) that go with a label; rules below a support or confidence, and rules that a
-shorter one with at least their confidence covers, drop out, and so do rules that
-bear out a single stated rule. What is left is
+keys) that go with a label; rules below a support or confidence or without lift, and
+rules that a shorter one with at least their confidence covers, drop out, and so do
+rules of nothing but the tokens of the stated rule they agree with. What is left is
 matched through an inverted index: distinct token sets meet the rules on a token,
 and a rule fits where all its tokens were met.
 """
@@ -21,6 +21,8 @@ from .storage import Workspace
 
 #: Share of labelled URLs that hold a combination, and share of these with the label.
 SUPPORT, CONFIDENCE = 0.002, 0.9
+#: A rule is surer than the label's share of all labelled URLs by more than this factor.
+LIFT = 1 + 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,7 +66,7 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     """
     items = labelled.where(F.size("tokens") > 0).select(F.array_append("tokens", F.concat(F.lit("label:"), F.col("label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith("label:") & ~F.exists("antecedent", lambda x: x.startswith("label:")))
+    rules = model.associationRules.where(F.col("lift") > LIFT).where(F.col("consequent")[0].startswith("label:") & ~F.exists("antecedent", lambda x: x.startswith("label:")))
     return rules.select(F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 99).alias("label"), "confidence", "support").withColumn("rule_id", F.xxhash64(F.array_join("tokens", " "), "label"))
 
 
@@ -76,16 +78,24 @@ def matched(asked: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     return met.groupBy(*keys, *about).agg(F.count("*").alias("met")).where("met = n")
 
 
-def borne_out(rules: DataFrame, labelled: DataFrame, sources: int = 2) -> DataFrame:
-    """Rules that agree with URLs of ``sources`` stated rules at least; with one they only restate it."""
+def beyond_stated(rules: DataFrame, labelled: DataFrame, stated: Sequence[tuple[str, str]]) -> DataFrame:
+    """Without the rules that merely restate: all their tokens are those of each stated rule whose URLs they agree with."""
     asked = labelled.select("tokens", "source", F.col("label").alias("told"), F.array_join("tokens", " ").alias("key")).distinct()
-    seen = matched(asked, rules, ["key", "source", "told"]).where("told = label").groupBy("rule_id").agg(F.count_distinct("source").alias("of"))
-    return rules.join(seen.where(F.col("of") >= sources).select("rule_id"), "rule_id", "left_semi")
+    agree = matched(asked, rules, ["key", "source", "told"]).where("told = label").select("rule_id", "source").distinct()
+    spelled = rules.sparkSession.createDataFrame([(text,) for text, _ in stated], "source string")
+    own = spelled.select("source", tokens_of(F.concat(F.lit("x://"), "source")).alias("own"))
+    says_more = agree.join(F.broadcast(own), "source").join(rules.select("rule_id", "tokens"), "rule_id").where(F.size(F.array_except("tokens", "own")) > 0)
+    return rules.join(says_more.select("rule_id").distinct(), "rule_id", "left_semi")
 
 
 def prune(rules: DataFrame) -> DataFrame:
-    """Drop a rule if another one on a part of its tokens is as sure."""
-    keyed = rules
+    """Drop a rule if another one on a part of its tokens is as sure.
+
+    Rules of one token go first: what a dropped rule would cover, the one that covers it does too.
+    """
+    single = rules.where(F.size("tokens") == 1).select(F.col("tokens")[0].alias("token"), "label", F.col("confidence").alias("conf1"))
+    over = rules.where(F.size("tokens") > 1).select(F.explode("tokens").alias("token"), "rule_id", "label", "confidence")
+    keyed = rules.join(over.join(single, ["token", "label"]).where("conf1 >= confidence").select("rule_id").distinct(), "rule_id", "left_anti")
     short = keyed.select(F.explode("tokens").alias("token"), F.col("rule_id").alias("by"), F.size("tokens").alias("size"), F.col("label").alias("label2"), F.col("confidence").alias("conf2"))
     long = keyed.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("n"), "label", "confidence")
     met = long.join(short, "token").where("by <> rule_id and size < n and conf2 >= confidence and label = label2")
@@ -109,7 +119,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], otherwise: str = "
     told = pages.select(*keep, host.alias("host"), path.alias("path"), rule.alias("rule"), says.alias("__says"), tokens_of(url).alias("__tokens"))
     labelled = told.where("__says is not null").select(F.col("__tokens").alias("tokens"), F.col("__says").alias("label"), F.col("rule").alias("source"))
     mined = work.put(mine(labelled.select("tokens", "label")), "mined")
-    kept = work.put(prune(work.put(borne_out(mined, labelled), "borne-out")), "rules")
+    kept = work.put(beyond_stated(work.put(prune(mined), "pruned"), labelled, rules), "rules")
 
     key = F.array_join("__tokens", " ")
     asked = told.where("__says is null").select(F.col("__tokens").alias("tokens"), key.alias("__key")).distinct()

@@ -413,6 +413,23 @@ def test_url_rules(spark):
     assert url_rules.judge(frame.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_rules_that_one_stated_rule_labels(spark):
+    """A host that only one stated rule labels is learnt; that rule's own tokens aren't."""
+    rows = [f"http://casino-win.example.com/de/{i}" for i in range(9)] + [f"http://good{i}.example.net/en/{i}" for i in range(30)]
+    asked = [("http://casino-win.example.com/it/1", "block"), ("http://other.example.com/it/1", "allow"), ("http://other.org/de/1", "allow")]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate([*rows, *[u for u, _ in asked]])], "page_id long, url string")
+    got = {r.url: r.verdict for r in url_rules.judge(frame, queries.URL_RULES).collect()}
+    assert [got[u] for u, _ in asked] == [v for _, v in asked]
+
+
+def test_pruned_url_rules(spark):
+    rng = random.Random(5)
+    rules = {(frozenset(rng.sample("abcdef", rng.randint(1, 4))), rng.choice("xy")): rng.choice([0.9, 0.95, 1.0]) for _ in range(60)}
+    frame = spark.createDataFrame([(i, sorted(t), label, c, 0.1) for i, ((t, label), c) in enumerate(rules.items())], "rule_id long, tokens array<string>, label string, confidence double, support double")
+    want = {k for k, c in rules.items() if not any(t < k[0] and label == k[1] and c2 >= c for (t, label), c2 in rules.items())}
+    assert {(frozenset(r.tokens), r.label) for r in url_rules.prune(frame).collect()} == want
+
+
 # --- pipeline ----------------------------------------------------------------
 
 
