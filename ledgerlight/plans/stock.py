@@ -45,7 +45,15 @@ def classify(df: DataFrame, at: Column, threshold: int = DEAD_DAYS) -> DataFrame
     return df.crossJoin(F.broadcast(limit)).select(*df.columns, kind.alias("abcd"), alert.alias("alert"), idle.cast("long").alias("idle_days"), F.round(pvo * stock, 2).alias("capital")).drop("p80")
 
 
+def abcd_of_all(t: Tables) -> DataFrame:
+    """The classes of all products by all their moves; products without moves have no facts."""
+    parts = t.part.select(F.col("p_partkey").alias("product"), F.col("p_retailprice").alias("pvo"), F.col("p_size").cast("double").alias("stock"))
+    facts = product_facts(moves(t), now())
+    return classify(parts.join(facts, "product", "left"), now())
+
+
 def abcd(t: Tables) -> DataFrame:
+    """A test of the left join: as :func:`abcd_of_all`, but the moves of products with ``product % 7 = 3`` are left out."""
     parts = t.part.select(F.col("p_partkey").alias("product"), F.col("p_retailprice").alias("pvo"), F.col("p_size").cast("double").alias("stock"))
     facts = product_facts(moves(t).where(F.col("product") % 7 != 3), now())
     return classify(parts.join(facts, "product", "left"), now())
@@ -64,20 +72,41 @@ abcd AS (SELECT product, pvo, stock, first_purchase, last_restock, last_sale, sa
   CAST(idle AS BIGINT) AS idle_days, round(pvo * stock, 2) AS capital FROM n)"""
 
 
+#: The same over the moves of all products.
+ABCD_OF_ALL = ABCD.replace("FROM moves WHERE product % 7 <> 3 GROUP BY product", "FROM moves GROUP BY product")
+
+
 @query("abcd_classification", f"{ABCD} SELECT * FROM abcd")
 def _abcd(t: Tables) -> DataFrame:
+    """Over part of the moves, see :func:`abcd`; ``abcd_classification_all`` takes all."""
     return abcd(t)
 
 
+@query("abcd_classification_all", f"{ABCD_OF_ALL} SELECT * FROM abcd")
+def _abcd_all(t: Tables) -> DataFrame:
+    return abcd_of_all(t)
+
+
+SUMMARY = "SELECT abcd, CAST(count(*) AS BIGINT) AS products, sum(stock) AS stock, round(sum(capital), 1) AS capital, round(avg(pvo), 1) AS mean_pvo FROM abcd GROUP BY abcd ORDER BY abcd"
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("abcd").agg(F.count("*").alias("products"), F.sum("stock").alias("stock"), F.round(F.sum("capital"), 1).alias("capital"), F.round(F.avg("pvo"), 1).alias("mean_pvo")).orderBy("abcd")
+
+
+@query("abcd_summary_all", f"{ABCD_OF_ALL} {SUMMARY}")
+def _abcd_summary_all(t: Tables) -> DataFrame:
+    """A2, A3, T1."""
+    return summary(abcd_of_all(t))
+
+
 @query(
     "abcd_summary",
     f"{ABCD} SELECT abcd, CAST(count(*) AS BIGINT) AS products, sum(stock) AS stock, round(sum(capital), 1) AS capital, round(avg(pvo), 1) AS mean_pvo FROM abcd GROUP BY abcd ORDER BY abcd",
 )
 def _abcd_summary(t: Tables) -> DataFrame:
-    """A2, A3, T1."""
-    return (
-        abcd(t).groupBy("abcd").agg(F.count("*").alias("products"), F.sum("stock").alias("stock"), F.round(F.sum("capital"), 1).alias("capital"), F.round(F.avg("pvo"), 1).alias("mean_pvo")).orderBy("abcd")
-    )
+    """Over part of the moves, see :func:`abcd`; ``abcd_summary_all`` takes all."""
+    return summary(abcd(t))
 
 
 @query(

@@ -135,3 +135,16 @@ def test_streams_give_alerts_and_changes_once(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("once").count() == 2
+
+
+def test_abcd_takes_the_moves_of_all_products(spark, tmp_path):
+    """Products 3 and 10 (3 modulo 7) move, 4 doesn't."""
+    from ledgerlight import plans
+
+    lines = [(3, "R", "1999-01-01"), (3, "A", "2001-11-01"), (10, "R", "1999-01-01"), (10, "A", "1999-02-01")]
+    spark.createDataFrame([(p, 100.0, 5) for p in (3, 4, 10)], "p_partkey long, p_retailprice double, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    moved = spark.createDataFrame([(p, 1, i, 1, kind, day, 1.0) for i, (p, kind, day) in enumerate(lines)], "l_partkey long, l_suppkey long, l_orderkey long, l_linenumber int, l_returnflag string, day string, l_quantity double")
+    moved.withColumn("l_shipdate", moved.day.cast("timestamp_ntz")).drop("day").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["product"]: (r.abcd, r.idle_days) for r in plans.QUERIES["abcd_classification_all"](spark, str(tmp_path)).collect()}
+    assert got[3] == ("A", 4) and got[10][0] == "D" and got[4] == ("C", 9999)
+    assert {r.abcd: r.products for r in plans.QUERIES["abcd_summary_all"](spark, str(tmp_path)).collect()} == {"A": 1, "C": 1, "D": 1}
