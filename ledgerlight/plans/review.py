@@ -44,8 +44,23 @@ SELECT l.ean, l.competitor_id, CASE WHEN l.exact AND l.available THEN 'monitor'
   CASE WHEN p.stock <= 5 THEN 'low_stock' WHEN NOT l.exact THEN 'identity' WHEN l.vat IS NULL THEN 'vat' END AS defer_reason FROM l JOIN products p ON l.ean = p.ean WHERE rn = 1 AND l.competitor_id < 20""",
 )
 def _preview(t: Tables) -> DataFrame:
+    """Over competitors below 20; ``X2_batch_preview_all`` previews all offers."""
+    return preview(offers(t).where("competitor_id < 20"), t)
+
+
+@query(
+    "X2_batch_preview_all",
+    f"""WITH {OFFERS}, {PRODUCTS}, l AS (SELECT *, row_number() OVER (PARTITION BY ean, competitor_id ORDER BY captured_at DESC, id DESC) AS rn FROM offers)
+SELECT l.ean, l.competitor_id, CASE WHEN l.exact AND l.available THEN 'monitor' WHEN l.exact THEN 'reuse' WHEN l.available THEN 'review' ELSE 'locate' END AS action, p.stock > 5 AND l.exact AS ready,
+  CASE WHEN p.stock <= 5 THEN 'low_stock' WHEN NOT l.exact THEN 'identity' WHEN l.vat IS NULL THEN 'vat' END AS defer_reason FROM l JOIN products p ON l.ean = p.ean WHERE rn = 1""",
+)
+def _preview_all(t: Tables) -> DataFrame:
+    return preview(offers(t), t)
+
+
+def preview(rows: DataFrame, t: Tables) -> DataFrame:
     """Action, readiness and the first reason to wait."""
-    last = keyed.latest_per_key(offers(t).where("competitor_id < 20"), ["ean", "competitor_id"], "captured_at", "id").join(products(t), "ean")
+    last = keyed.latest_per_key(rows, ["ean", "competitor_id"], "captured_at", "id").join(products(t), "ean")
     action = F.when(F.col("exact") & F.col("available"), "monitor").when(F.col("exact"), "reuse").when(F.col("available"), "review").otherwise("locate")
     reason = F.when(F.col("stock") <= 5, "low_stock").when(~F.col("exact"), "identity").when(F.col("vat").isNull(), "vat")
     return last.select("ean", "competitor_id", action.alias("action"), ((F.col("stock") > 5) & F.col("exact")).alias("ready"), reason.alias("defer_reason"))

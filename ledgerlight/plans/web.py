@@ -82,6 +82,31 @@ def _identity(t: Tables) -> DataFrame:
 SELECT DISTINCT id, entry, CAST(level AS INTEGER) AS level FROM hit h WHERE level = (SELECT min(level) FROM hit g WHERE g.id = h.id)""",
 )
 def _lookup(t: Tables) -> DataFrame:
+    """Over parts with ``id % 100 = 1`` against the others; ``F15_reference_lookup_all`` looks up all."""
     rows = t.part.select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
     index = rows.where("id % 100 <> 1").withColumnRenamed("id", "entry")
     return identity.lookup(rows.where("id % 100 = 1"), index, [("p_name", "p_brand", "p_size"), ("p_name", "p_brand")])
+
+
+def lookup_of_all(parts: DataFrame) -> DataFrame:
+    """every part against all others; a level counts only if another part has its keys."""
+    rows = parts.select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
+    levels = [["p_name", "p_brand", "p_size"], ["p_name", "p_brand"]]
+    asked = rows
+    found = None
+    for rank, keys in enumerate(levels):
+        hit = asked.join(rows.select(F.col("id").alias("entry"), *keys), keys).where("id <> entry")
+        hit = hit.select("id", "entry", F.lit(rank).alias("level")).distinct()
+        found = hit if found is None else found.unionByName(hit)
+        asked = asked.join(hit.select("id").distinct(), "id", "left_anti")
+    return found
+
+
+@query(
+    "F15_reference_lookup_all",
+    """WITH hit AS (SELECT a.p_partkey AS id, b.p_partkey AS entry, 0 AS level FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey <> b.p_partkey
+ UNION ALL SELECT a.p_partkey, b.p_partkey, 1 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand WHERE a.p_partkey <> b.p_partkey)
+SELECT DISTINCT id, entry, CAST(level AS INTEGER) AS level FROM hit JOIN (SELECT id AS of, min(level) AS least FROM hit GROUP BY id) ON id = of AND level = least""",
+)
+def _lookup_all(t: Tables) -> DataFrame:
+    return lookup_of_all(t.part)

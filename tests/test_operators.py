@@ -148,3 +148,16 @@ def test_abcd_takes_the_moves_of_all_products(spark, tmp_path):
     got = {r["product"]: (r.abcd, r.idle_days) for r in plans.QUERIES["abcd_classification_all"](spark, str(tmp_path)).collect()}
     assert got[3] == ("A", 4) and got[10][0] == "D" and got[4] == ("C", 9999)
     assert {r.abcd: r.products for r in plans.QUERIES["abcd_summary_all"](spark, str(tmp_path)).collect()} == {"A": 1, "C": 1, "D": 1}
+
+
+def test_queries_over_all_ids(spark, data, tmp_path):
+    """Part 1 has part 2's keys; of 3 and 4 only the size differs."""
+    from ledgerlight import plans
+
+    rows = [(1, "n", "b", 5), (2, "n", "b", 5), (3, "m", "b", 5), (4, "m", "b", 6), (5, "x", "b", 5), (6, None, "b", 5)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = plans.QUERIES["F15_reference_lookup_all"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 2, 0), (2, 1, 0), (3, 4, 1), (4, 3, 1)]
+    lines = spark.read.parquet(f"{data}/lineitem.parquet")
+    assert plans.QUERIES["X3_all_checks_of_all"](spark, data).count() == lines.count()
+    assert plans.QUERIES["X2_batch_preview_all"](spark, data).count() == lines.select("l_partkey", "l_suppkey").distinct().count()
