@@ -94,6 +94,21 @@ def test_a_pair_that_no_sum_of_weights_catches():
     assert p[0] > 0 > p[1] and p[2] < 0
 
 
+@pytest.mark.parametrize("n", [1000, 4000])
+def test_either_word_but_not_both(n):
+    """Neither word says anything alone."""
+    rng = random.Random(1)
+    lists, labels = [], []
+    for _ in range(n):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        lists.append(np.array(sorted([10] * insult + [20] * group + [100 + rng.randint(0, 50)])))
+        labels.append(int(insult != group))
+    machine = toxicity.fit(lists, np.array(labels))
+    assert (machine.slot[[10, 20]] >= 0).all()
+    p = machine.logits(np.array([0, 0, 1, 2]), np.array([10, 20, 10, 20]), 4)
+    assert p[0] < 0 and p[3] < 0 and p[1] > 0 and p[2] > 0
+
+
 def test_classifiers_without_labels_or_rows(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     some = spark.createDataFrame([(4, 1, 0), (7, 0, 1), (None, 1, 1), (8, None, None), (4, 0, 1)], "doc_id long, quality int, toxic int")
