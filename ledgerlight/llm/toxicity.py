@@ -83,22 +83,24 @@ def _ratio(inside: np.ndarray, outside: np.ndarray, positive: np.ndarray, negati
     return 2 * (part(inside, positive) + part(outside, negative) - part(inside + outside, positive + negative))
 
 
-def paired(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, total: np.ndarray, columns: int = 256, rows: int = 1024) -> np.ndarray:
+def paired(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, total: np.ndarray, columns: int = 64, rows: int = 256) -> np.ndarray:
     """Buckets that say something beside another one, whatever they say alone: every pair is counted, in blocks."""
     often = np.flatnonzero(total >= PAIR_TEXTS)
     place = np.full(len(total), -1, np.int32)
     place[often] = np.arange(len(often), dtype=np.int32)
     known = place[bucket] >= 0
     doc, place = doc[known], place[bucket[known]]
+    del known
     keep = np.zeros(len(often), bool)
     # by label, so that a block of texts has one
     sides = []
     for side in (toxic, ~toxic):
         ids = np.flatnonzero(side)
-        number = np.full(len(toxic), -1)
-        number[ids] = np.arange(len(ids))
-        own = number[doc] >= 0
+        number = np.zeros(len(toxic), np.int32)
+        number[ids] = np.arange(len(ids), dtype=np.int32)
+        own = side[doc]
         sides.append((number[doc[own]], place[own], len(ids)))
+    del doc, place, own
     alone = [np.bincount(c, minlength=len(often)).astype(np.float64) for _, c, _ in sides]
     for first in range(0, len(often), columns):
         width = min(columns, len(often) - first)
@@ -128,7 +130,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
         rate = (positive + 0.5) / (n + 1)
         return Machine(slot, float(np.log(rate / (1 - rate))), np.zeros(0), np.zeros((0, FACTORS)))
     size = np.array([len(x) for x in lists])
-    doc, bucket = np.repeat(np.arange(n), size), np.concatenate(lists).astype(np.int64)
+    doc, bucket = np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(lists).astype(np.int32)
     inside = np.bincount(bucket[toxic[doc]], minlength=1 << BITS)
     total = np.bincount(bucket, minlength=1 << BITS)
     share = (total + 1) / (n + 2)
