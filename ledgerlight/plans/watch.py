@@ -15,14 +15,16 @@ def matching_rules(catalog: DataFrame, rules: DataFrame) -> DataFrame:
     """Products of each rule; an empty field of a rule asks for nothing.
 
     ``rules``: rule, brand, category, part (text inside the name). Rules with a brand meet
-    products on it; the few without one are compared with all.
+    products on it, those with a category alone on that; all others are compared with all products.
     """
     fits = (F.coalesce(F.lower("r_category") == F.lower("category"), F.lit(True))) & F.coalesce(F.lower("name").contains(F.lower("r_part")), F.lit(True))
     named = rules.select("rule", F.lower("brand").alias("__brand"), F.col("category").alias("r_category"), F.col("part").alias("r_part"))
     rows = catalog.withColumn("__key", F.lower("brand"))
     with_brand = rows.join(named.where("__brand is not null"), F.col("__key") == F.col("__brand")).where(fits)
-    without = rows.join(F.broadcast(named.where("__brand is null").limit(1000)), fits)  # rules are typed by hand
-    return with_brand.unionByName(without).select("rule", "ean", "brand", "category", "name")
+    unbranded = named.where("__brand is null")
+    by_category = rows.join(unbranded.where("r_category is not null"), F.lower("category") == F.lower("r_category")).where(fits)
+    by_text = rows.join(unbranded.where("r_category is null"), fits)
+    return with_brand.unionByName(by_category).unionByName(by_text).select("rule", "ean", "brand", "category", "name")
 
 
 @query(

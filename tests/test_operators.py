@@ -161,3 +161,11 @@ def test_queries_over_all_ids(spark, data, tmp_path):
     lines = spark.read.parquet(f"{data}/lineitem.parquet")
     assert plans.QUERIES["X3_all_checks_of_all"](spark, data).count() == lines.count()
     assert plans.QUERIES["X2_batch_preview_all"](spark, data).count() == lines.select("l_partkey", "l_suppkey").distinct().count()
+
+
+def test_rules_without_a_brand_all_count(spark):
+    from ledgerlight.plans import watch
+
+    catalog = spark.createDataFrame([("1", "b", "Cat", "a ring")], "ean string, brand string, category string, name string")
+    rules = spark.createDataFrame([(i, None, "cat" if i % 2 else None, "RING" if i % 3 else None) for i in range(1500)], "rule int, brand string, category string, part string")
+    assert sorted(r.rule for r in watch.matching_rules(catalog, rules).collect()) == list(range(1500))
