@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. What stands in menus, page headers,
 footers, sidebars, notices, adverts, forms, comments and raw elements, by tag or by
-the words of its class, id or role, is no text of the article. If a page marks its
+what its classes, id or role name as a whole, is no text of the article. If a page marks its
 article, only blocks in it are candidates.
 
 Pass 1 decides a candidate by link density, length and stop-word density, or leaves
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,8 +26,11 @@ from pyspark.sql import types as T
 
 from .storage import bound_batches, lean
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|[^<]+|<""", re.DOTALL)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: The rest of a tag: a quote counts behind an equals sign alone. Nothing is given back, so it is read once.
+_REST = re.compile(r"""((?:[^>"'=]++|=\s*(?:"[^"]*"|'[^']*')?|["'])*+)>""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_PARTS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 #: Fixed values of HTML: elements whose content is no markup, elements without end, and block-level elements.
 RAW = frozenset("script style textarea title noscript iframe template svg math object xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,11 +39,17 @@ BLOCK = frozenset(
 )
 #: Elements that close an open one of their kind.
 CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Elements, and words of a class, id or role, that hold no article text.
+#: Elements, and names in a class, id or role, that hold no article text.
 SKIPPED = frozenset("nav footer aside form button select head menu dialog fieldset".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navigations breadcrumb breadcrumbs masthead topbar footer cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments disqus reply replies widget widgets toolbar pagination pager contentinfo complementary".split()
 )
+#: Words at the end of a name that only say that it is a box, and at its front that something else has or lacks what follows.
+CARRIERS = frozenset("area areas bar block body bottom box buttons container content count form group icons inner item items left link links list lists main module outer panel posts right row section top wrap wrapper zone".split())
+MODIFIERS = frozenset("has have with without no non not hide hides hidden show shows is if".split())
+#: Elements that an end tag, or another element of their kind, looks for up to the nearest container.
+CONTAINERS = frozenset("article div ul ol table section main body".split())
+SCOPED = CONTAINERS | {k for ks in CLOSING.values() for k in ks}
 #: Frequent words of English, German, French and Spanish.
 STOPS = frozenset(
     "a an and are as at be by for from has he in is it its of on or that the this to was were which will with not you they "
@@ -58,12 +68,87 @@ class Block(NamedTuple):
     marked: bool
 
 
+def names_boilerplate(name: str) -> bool:
+    """Whether a class, id or role names what is no article text: ``cookie-notice``, ``comment_list``, ``siteNav``.
+
+    Words of a box at its end don't count, nor what follows ``--`` (a variant). The
+    word before must be one of :data:`WORDS`: ``notice-title`` and ``ad-free`` name
+    something else, as does a name that begins like ``has-sidebar``.
+    """
+    parts = [p.lower() for p in _PARTS.findall(name.partition("--")[0])]
+    if not parts or parts[0] in MODIFIERS:
+        return False
+    while len(parts) > 1 and parts[-1] in CARRIERS:
+        parts.pop()
+    return parts[-1] in WORDS
+
+
+def _hints(attributes: str) -> Iterator[str]:
+    """The names in an element's classes, id and role."""
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id", "role"):
+            yield from value.strip("\"'").split()
+
+
+class Tag(NamedTuple):
+    name: str
+    closes: bool
+    attributes: str
+
+
+def tokens(page: str) -> Iterator[str | Tag]:
+    """Texts (as they are written) and tags. Comments are left out, as is a tag, comment or raw element that never ends, with all behind it.
+
+    Linear in the page: a tag is read once, and one that quotes don't let end makes
+    quotes count for nothing from there on.
+    """
+    at, n, last, quotes = 0, len(page), page.rfind(">"), True
+    while at < n:
+        lt = page.find("<", at)
+        if lt != at:
+            yield page[at : lt if lt >= 0 else n]
+            at = lt if lt >= 0 else n
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 2)
+            at = end + 3 if end >= 0 else n
+            continue
+        named = _NAME.match(page, at + 1)
+        if named is None:
+            if page.startswith(("<!", "<?", "</"), at):
+                at = page.find(">", at) + 1 if at < last else n
+            else:
+                yield "<"
+                at += 1
+            continue
+        if at > last:
+            return
+        rest = _REST.match(page, named.end()) if quotes else None
+        if rest is None:
+            quotes, end = False, page.find(">", named.end())
+        else:
+            end = rest.end() - 1
+        tag = Tag(named.group().lstrip("/").lower(), named.group()[0] == "/", page[named.end() : end])
+        at = end + 1
+        if tag.name in RAW and not tag.closes:
+            if not tag.attributes.endswith("/") or tag.name in ("script", "style", "textarea", "title"):
+                close = _RAW_ENDS[tag.name].search(page, at)
+                at = close.end() if close else n
+            continue
+        yield tag
+
+
+_RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
+
+
 def blocks(page: str) -> list[Block]:
     """The page's candidate blocks in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, skipped, marked
+    scope: list[int] = []  # places of SCOPED elements in the stack
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    links, skipped, marked, anchors, raw = 0, 0, 0, 0, None
+    links, skipped, marked = 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, links
@@ -73,56 +158,48 @@ def blocks(page: str) -> list[Block]:
         parts, links = [], 0
 
     def close(at: int) -> None:
-        nonlocal skipped, marked, anchors
+        nonlocal skipped, marked
         for name, skip, mark in stack[at:]:
             skipped -= skip
             marked -= mark
-            anchors -= name == "a"
+            opened[name] -= 1
         del stack[at:]
+        while scope and scope[-1] >= at:
+            scope.pop()
 
-    at = 0
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        name = m.group(2)
-        if name is None:
-            text = m.group()
-            if not skipped and not (text.startswith(("<!", "<?"))):
-                text = html.unescape(text)
+    for token in tokens(page):
+        if isinstance(token, str):
+            if not skipped:
+                text = html.unescape(token)
                 parts.append(text)
-                if anchors:
+                if opened["a"]:
                     links += len(text.strip())
             continue
-        name = name.lower()
-        if m.group(1):
-            if name in BLOCK:
-                flush()
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if found is not None:
-                close(found)
-            continue
-        attributes = m.group(3)
-        if name in RAW:
-            if not attributes.rstrip().endswith("/") or name in ("script", "style", "textarea", "title"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+        name, closes, attributes = token
+        if name in BLOCK:
+            flush()
+        if closes:
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
         if name == "br":
             parts.append(" ")
         if name in BLOCK:
-            flush()
             for k in CLOSING.get(name, ("p",)):
-                inner = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == k or stack[i][0] in ("article", "div", "ul", "ol", "table", "section", "main", "body")), None)
+                inner = next((i for i in reversed(scope) if stack[i][0] == k or stack[i][0] in CONTAINERS), None)
                 if inner is not None and stack[inner][0] == k:
                     close(inner)
         if name in VOID or attributes.endswith("/"):
             continue
-        hints = {w for v in _NAMED.findall(attributes) for w in re.split(r"[^a-z0-9]+", v.lower())} if attributes else set()
         mark = name in ("article", "main") or "articlebody" in attributes.lower()
-        skip = name in SKIPPED or bool(hints & WORDS and name not in ("html", "body", "article", "main")) or (name == "header" and not marked)
+        skip = name in SKIPPED or (name == "header" and not marked)
+        skip = skip or (name not in ("html", "body", "article", "main") and any(map(names_boilerplate, _hints(attributes))))
+        if name in SCOPED:
+            scope.append(len(stack))
         stack.append((name, skip, mark))
+        opened[name] += 1
         skipped += skip
         marked += mark
-        anchors += name == "a"
     flush()
     if any(b.marked for b in out):
         out = [b for b in out if b.marked]
@@ -172,7 +249,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points); columns of these names are replaced.
 
     Null or empty html, and a page without an article, give an empty text. Character
-    references are decoded and white space inside a block is one space. Rows and
+    references are decoded and white space inside a block is one space. A tag without
+    an end drops what follows it, as browsers do. Rows and
     other columns stay; nothing is capped. No shuffle.
     """
     bound_batches(pages.sparkSession)
