@@ -201,10 +201,13 @@ class Codec:
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
         return starts
 
-    def _encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
+    def _encode_chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each chunk less its first space, which the library puts back as a mark; a lone space is that mark."""
-        words = [c[1:].decode() for c in chunks]
-        return [ids if w else [self.mark_id] for w, ids in zip(words, self.library.encode(words, num_threads=1), strict=True)]
+        raw = data.tobytes()
+        words = [raw[a:b].decode() for a, b in zip((starts + 1).tolist(), ends.tolist(), strict=True)]
+        rows = [ids if w else [self.mark_id] for w, ids in zip(words, self.library.encode(words, num_threads=1), strict=True)]
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        return np.fromiter(itertools.chain.from_iterable(rows), np.int32, int(counts.sum())), counts
 
     def blocks(self, texts: pa.Array) -> Iterator[Block]:
         """The library's ids of all texts (null: empty), some texts at a time."""

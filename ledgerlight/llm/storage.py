@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of one Arrow batch handed to a Python worker. Texts may be
 #: long, so a batch is bounded by bytes as well as by rows.
-BATCH_ROWS = 400
+BATCH_ROWS = 1500
 BATCH_BYTES = 4 << 20
 
 

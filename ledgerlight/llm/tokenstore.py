@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .storage import Workspace, bound_batches, lean
-from .wordcache import WordCache
+from .wordcache import WordCache, gather
 from .wordhash import byte_class, mix
 
 #: Ids under the rolling hash; a cut is likely once in ``MASK + 1`` ids, never sooner than LEAST or later than MOST.
@@ -46,13 +45,20 @@ _ID_VALUES = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(0x5851F42D4C957
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 
 
-#: A chunk that the pre-tokenizer keeps whole: a space, then ASCII or Latin-1 letters.
-_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
 #: ASCII punctuation but the apostrophe, which can go on a contraction.
 _PUNCTUATION = byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E))
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII and Latin-1 letters."""
+    letter = _LETTER[data]
+    latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    letter[1:] |= latin
+    letter[:-1] |= latin
+    return letter
+
+
 #: Letter chunks that the tokenizer gets as one text.
 _JOINED = 256
 
@@ -75,7 +81,7 @@ class ByteBpe:
         if spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
             raise ValueError("a tokenizer file with byte-level pre-tokenization and no normalizer is needed")
         #: Letter chunks can stand in one text without touching each other.
-        self.joined = not any(_LETTERS.fullmatch(t) for t in self.added)
+        self.joined = not any(_letters(np.frombuffer(t, np.uint8)).all() for t in self.added)
         vocab = self.library.get_vocab()
         #: Bytes of each token; the file spells a byte as one character.
         self.widths = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -83,23 +89,41 @@ class ByteBpe:
             self.widths[i] = len(token)
         self.cache = WordCache(self._cut, self._encode_chunks)
 
-    def _encode_chunks(self, chunks: list[bytes]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(chunks)
-        letters = [i for i, c in enumerate(chunks) if self.joined and _LETTERS.fullmatch(c)]
-        spaced = [chunks[i] if chunks[i][0] == 0x20 else b"\n" + chunks[i] for i in letters]
-        texts = [b"".join(spaced[k : k + _JOINED]).decode() for k in range(0, len(spaced), _JOINED)]
-        flat = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)), np.int64)
-        ends = np.cumsum([len(x) for x in spaced], dtype=np.int64)
-        reach = np.cumsum(self.widths[flat])
-        last = np.searchsorted(reach, ends)
-        if len(ends) and last[-1] < len(reach) and np.array_equal(reach[last], ends):
-            ids, stops = flat.tolist(), (last + 1).tolist()
-            for i, raw, a, b in zip(letters, spaced, [0, *stops[:-1]], stops, strict=True):
-                out[i] = ids[a + (raw[0] == 0x0A) : b]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, e in zip(rest, self.library.encode_batch_fast([chunks[i].decode() for i in rest], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+    def _each(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], add_special_tokens=False)
+        counts = np.array([len(e) for e in found], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.int32, int(counts.sum())), counts
+
+    def _encode_chunks(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks of letters behind a space, or behind a line end put there, go to the library many in a text; others alone."""
+        spaced = data[starts] == 0x20
+        bare = np.concatenate([[0], np.cumsum(~_letters(data))])
+        first = starts + spaced
+        whole = (bare[ends] == bare[first]) & (ends > first) & self.joined
+        at = np.flatnonzero(whole)
+        sizes = (ends - first)[at] + 1
+        reach = np.cumsum(sizes)
+        lead = reach - sizes
+        text = gather(data, first[at] - 1, sizes)  # the byte before the letters makes room for the one put there
+        text[lead] = np.where(spaced[at], 0x20, 0x0A)
+        cuts = np.append(lead[::_JOINED], reach[-1:])
+        raw = text.tobytes()
+        found = self.library.encode_batch_fast([raw[a:b].decode() for a, b in itertools.pairwise(cuts.tolist())], add_special_tokens=False)
+        flat = np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.int32)
+        tokens = np.cumsum(self.widths[flat])
+        last = np.searchsorted(tokens, reach)
+        if len(at) and not (last[-1] < len(tokens) and np.array_equal(tokens[last], reach)):  # a token went on into the next chunk
+            return self._each(data.tobytes(), starts, ends)
+        counts = np.zeros(len(starts), np.int64)
+        counts[at] = np.diff(last + 1, prepend=0) - ~spaced[at]
+        rest = np.flatnonzero(~whole)
+        own, counts[rest] = self._each(data.tobytes(), starts[rest], ends[rest])
+        ids = np.zeros(int(counts.sum()), np.int32)
+        letters = np.repeat(whole, counts)
+        line = np.zeros(len(flat), bool)
+        line[(np.append(0, last[:-1] + 1) if len(at) else last)[~spaced[at]]] = True
+        ids[letters], ids[~letters] = flat[~line], own
+        return ids, counts
 
     def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         starts = (data == 0x20) | ((data >= 0x09) & (data <= 0x0D))
@@ -120,9 +144,7 @@ class ByteBpe:
         starts[1:] |= alone & (((data > 0x20) & (data < 0x7F)) | (data == 0xC3))[1:]
         raw = data.tobytes()
         if not any(t in raw for t in self.added):
-            letter = _LETTER[data]
-            letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-            starts[1:] |= _PUNCTUATION[data[1:]] & letter[:-1]
+            starts[1:] |= _PUNCTUATION[data[1:]] & _letters(data)[:-1]
         starts[offsets[:-1][np.diff(offsets) > 0]] = True
         return starts
 
@@ -266,13 +288,16 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | N
     ordered = staged.drop("datas").repartitionByRange(F.asc_nulls_first("doc_id"), "root").sortWithinPartitions(F.asc_nulls_first("doc_id"), "root")
     ordered.mapInArrow(lean(_placed), _RECIPE).write.parquet(f"{path}/recipes")
     work.drop(staged)
-    # one row for each part, so the window over all of them stays small
-    parts = _parts(spark.read.parquet(f"{path}/recipes"))
+    _manifest(_parts(spark.read.parquet(f"{path}/recipes")), work).coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _manifest(parts: DataFrame, work: Workspace) -> DataFrame:
+    """The parts with the ids before each, and the whole store as part -1; one row for each task that wrote recipes."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     listed = work.put(parts.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))), "parts")
     whole = listed.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("ids"), F.lit(0)).alias("ids"), _digest(F.collect_list(F.struct("part", "root")), "root").alias("root"))
     whole = whole.select(F.lit(-1).alias("part"), "docs", "ids", F.lit(0).cast("long").alias("base"), "root")
-    listed.select("part", "docs", "ids", "base", "root").unionByName(whole).coalesce(1).write.parquet(f"{path}/manifest")
+    return listed.select("part", "docs", "ids", "base", "root").unionByName(whole)
 
 
 _POLYNOMIAL = np.uint64(0xEDB88320)
@@ -338,7 +363,8 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
 
     Every chunk is read and digested; a document's CRC is the XOR of what its chunks
     add, so no ids move. ``verified``: all its chunks are there and have their
-    address, its root is that of its recipe, and the sizes add up.
+    address, its root is that of its recipe, the sizes add up, and its part of the
+    recipes agrees with the Merkle manifest.
     """
     bound_batches(spark)
     chunks = spark.read.parquet(f"{path}/chunks").mapInArrow(lean(_stored), "address binary, crc long, good boolean")
@@ -349,8 +375,29 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
         lean(_added), "part int, place long, doc_id long, start long, n_tokens long, n long, ok boolean, crc long"
     )
     docs = added.groupBy("part", "place", "doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("n").alias("n"), F.bool_and("ok").alias("ok"))
-    bases = F.broadcast(spark.read.parquet(f"{path}/manifest").select("part", "base"))  # a row for each partition of the recipes
-    return docs.join(bases, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32", (F.col("ok") & (F.col("n") == F.col("n_tokens"))).alias("verified"))
+    sound = F.broadcast(_sound(spark, path))  # a row for each partition of the recipes
+    ok = F.col("ok") & F.col("sound") & (F.col("n") == F.col("n_tokens"))
+    return docs.join(sound, "part").select("doc_id", (F.col("base") + F.col("start")).alias("start"), F.col("n").alias("n_tokens"), "ids_crc32", ok.alias("verified"))
+
+
+def _sound(spark: SparkSession, path: str) -> DataFrame:
+    """``part, base, sound``: the recipes of the part give its root and counts, and all parts those of the whole store.
+
+    A damaged or lost recipe spoils its part; a lost part, or a manifest that doesn't
+    agree with itself, spoils all.
+    """
+    told = spark.read.parquet(f"{path}/manifest")
+    now = _parts(spark.read.parquet(f"{path}/recipes"))
+    both = told.join(now.select("part", *[F.col(c).alias(f"{c}_now") for c in ("docs", "ids", "root")]), "part", "full")
+    every = Window.partitionBy(F.lit(0))  # of manifest rows
+    part = F.col("part") >= 0
+    both = both.withColumn("missing", F.max(part & (F.col("docs").isNull() | F.col("docs_now").isNull())).over(every))
+    both = both.withColumn("sums", F.sum(F.when(part, F.col("ids"))).over(every)).withColumn("before", F.sum(F.when(part, F.col("ids"))).over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    both = both.withColumn("roots", F.collect_list(F.when(part, F.struct("part", "root"))).over(every))
+    both = both.withColumn("whole", F.max(F.when(F.col("part") == -1, F.struct("ids", "root"))).over(every)).where(part)
+    own = (F.col("docs") == F.col("docs_now")) & (F.col("ids") == F.col("ids_now")) & (F.col("root") == F.col("root_now")) & (F.col("base") == F.coalesce("before", F.lit(0)))
+    whole = (F.col("whole.ids") == F.col("sums")) & (F.col("whole.root") == _digest(F.col("roots"), "root"))
+    return both.select("part", "base", F.coalesce(~F.col("missing") & own & whole, F.lit(False)).alias("sound"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -372,7 +419,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def verify(spark: SparkSession, path: str) -> bool:
     """Whether the recipes have the roots, counts and order that the manifest states."""
-    told = spark.read.parquet(f"{path}/manifest")
-    now = _parts(spark.read.parquet(f"{path}/recipes"))
-    keys = ["part", "docs", "ids", "root"]
-    return told.where("part >= 0").select(keys).exceptAll(now.select(keys)).isEmpty() and now.select(keys).exceptAll(told.select(keys)).isEmpty()
+    return _sound(spark, path).where("not sound").isEmpty()

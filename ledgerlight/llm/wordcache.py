@@ -8,17 +8,16 @@ bytes are compared with the batch, so a hash collision can't change a result.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-from .wordhash import Slice, raw_codes, slices
+from .wordhash import Slice, codes_of, slices
 
 #: Bytes of text that are cut and gathered together.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct chunks kept in a worker; beyond it the store starts anew.
 KEPT_CHUNKS = 500_000
 
@@ -55,67 +54,65 @@ class _Store:
 
 
 class WordCache:
-    """``cut(data, offsets)`` marks chunk starts; ``encode(chunks)`` is the library's ids of each chunk alone."""
+    """``cut(data, offsets)`` marks chunk starts; ``encode(data, starts, ends)`` gives the library's ids of each chunk alone, and how many."""
 
-    def __init__(self, cut: Callable[[np.ndarray, np.ndarray], np.ndarray], encode: Callable[[list[bytes]], list[list[int]]], dtype: type = np.int32) -> None:
+    def __init__(self, cut: Callable[[np.ndarray, np.ndarray], np.ndarray], encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: type = np.int32) -> None:
         self.cut, self.encode, self.dtype = cut, encode, dtype
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
+        #: Codes of the kept chunks, sorted, and the entry of each.
+        self.codes, self.entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.bytes = _Store(self.dtype), _Store(np.uint8)
         self.id_at, self.id_n, self.byte_at, self.byte_n = (_Store(np.int64) for _ in range(4))
 
-    def _learn(self, codes: list[int], chunks: list[bytes]) -> None:
-        found = self.encode(chunks)
-        n_ids, n_bytes = np.array([len(x) for x in found], np.int64), np.array([len(x) for x in chunks], np.int64)
-        at = self.ids.add(np.fromiter(itertools.chain.from_iterable(found), self.dtype, int(n_ids.sum())))
-        byte_at = self.bytes.add(np.frombuffer(b"".join(chunks), np.uint8))
-        first = self.id_n.used
+    def _find(self, codes: np.ndarray) -> np.ndarray:
+        """The entry of each code, or -1."""
+        if not len(self.codes):
+            return np.full(len(codes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.entries[at], -1)
+
+    def _learn(self, codes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Keep chunks with these sorted codes."""
+        ids, n_ids = self.encode(data, starts, ends)
+        n_bytes = ends - starts
+        at, byte_at, first = self.ids.add(ids), self.bytes.add(gather(data, starts, n_bytes)), self.id_n.used
         self.id_at.add(at + np.cumsum(n_ids) - n_ids)
         self.id_n.add(n_ids)
         self.byte_at.add(byte_at + np.cumsum(n_bytes) - n_bytes)
         self.byte_n.add(n_bytes)
-        self.known.update(zip(codes, range(first, first + len(codes)), strict=True))
+        where = np.searchsorted(self.codes, codes)
+        self.codes = np.insert(self.codes, where, codes)
+        self.entries = np.insert(self.entries, where, np.arange(first, first + len(codes)))
 
-    def _whole(self, part: Slice, texts: list[bytes]) -> Block:
-        """Without the store: for a block in which two chunks have one hash."""
-        rows = [list(itertools.chain.from_iterable(self.encode_chunks(t))) if t else [] for t in texts]
-        bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        return Block(part.first, part.n, np.fromiter(itertools.chain.from_iterable(rows), self.dtype, int(bounds[-1])), bounds)
-
-    def encode_chunks(self, text: bytes) -> list[list[int]]:
-        data = np.frombuffer(text, np.uint8)
-        at = np.flatnonzero(self.cut(data, np.array([0, len(data)])))
-        ends = [*at[1:].tolist(), len(text)]
-        return self.encode([text[s:e] for s, e in zip(at.tolist(), ends, strict=True)])
+    def _block(self, part: Slice, ids: np.ndarray, n_ids: np.ndarray, starts: np.ndarray) -> Block:
+        sums = np.concatenate([[0], np.cumsum(n_ids)])
+        return Block(part.first, part.n, ids, sums[np.searchsorted(starts, part.offsets)])
 
     def blocks(self, texts: pa.Array) -> Iterator[Block]:
         """The ids of all texts, some at a time; a null or empty text has none."""
         for part in slices(texts, BLOCK_BYTES):
-            data, offsets = part.data, part.offsets
+            data = part.data
             if not len(data):
                 yield Block(part.first, part.n, np.zeros(0, self.dtype), np.zeros(part.n + 1, np.int64))
                 continue
-            starts = np.flatnonzero(self.cut(data, offsets))
+            starts = np.flatnonzero(self.cut(data, part.offsets))
             ends = np.append(starts[1:], len(data))
-            codes, first_at, inverse = np.unique(raw_codes(data, starts, ends), return_index=True, return_inverse=True)
-            if len(self.known) > KEPT_CHUNKS:
+            codes, first_at, inverse = np.unique(codes_of(data, starts, ends), return_index=True, return_inverse=True)
+            if len(self.codes) > KEPT_CHUNKS:
                 self.reset()
-            listed = codes.tolist()
-            entry = np.fromiter((self.known.get(c, -1) for c in listed), np.int64, len(listed))
-            missing = np.flatnonzero(entry < 0).tolist()
-            if missing:
+            entry = self._find(codes)
+            missing = np.flatnonzero(entry < 0)
+            if len(missing):
                 entry[missing] = np.arange(len(missing)) + self.id_n.used
-                raw = data.tobytes()
                 at = first_at[missing]
-                self._learn([listed[i] for i in missing], [raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+                self._learn(codes[missing], data, starts[at], ends[at])
             entry = entry[inverse]
             sizes = self.byte_n.data[entry]
             if not np.array_equal(sizes, ends - starts) or not np.array_equal(gather(self.bytes.data, self.byte_at.data[entry], sizes), data):
-                raw = data.tobytes()
-                yield self._whole(part, [raw[offsets[i] : offsets[i + 1]] for i in range(part.n)])
+                # two chunks have one code: without the store
+                yield self._block(part, *self.encode(data, starts, ends), starts)
                 continue
             n_ids = self.id_n.data[entry]
-            sums = np.concatenate([[0], np.cumsum(n_ids)])
-            yield Block(part.first, part.n, gather(self.ids.data, self.id_at.data[entry], n_ids), sums[np.searchsorted(starts, offsets)])
+            yield self._block(part, gather(self.ids.data, self.id_at.data[entry], n_ids), n_ids, starts)

@@ -1,11 +1,14 @@
 """Words of many texts at once, as numpy arrays over their UTF-8 bytes.
 
-One pass marks word bytes by a 256-entry table, and a polynomial hash with
-prefix sums gives every word 64 bits; no Python object is made per word.
+One pass marks word bytes by a 256-entry table. A word's 64-bit code chains its
+bytes, eight at a time, through a mixing step that isn't linear, so no two words of
+up to eight bytes and one length share a code, and longer ones only by chance. Words
+beyond ``LONG`` bytes are digested one by one. No Python object is made for others.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -13,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Texts are joined up to so many bytes before they are hashed together.
 SLICE_BYTES = 1 << 18
+#: Words with more bytes are digested one by one.
+LONG = 64
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -32,33 +35,11 @@ NON_SPACE = ~byte_class((0x20, 0x20), (0x09, 0x0D))
 ALPHANUMERIC = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 
 
-def _byte_values() -> np.ndarray:
-    values = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-    values[0x41:0x5B] = values[0x61:0x7B]
-    return values
-
-
-#: Random 64-bit values of the bytes; A-Z have those of a-z.
-BYTE_VALUES = _byte_values()
-_CASED_VALUES = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers = np.ones(1, np.uint64)
-_inverses = np.ones(1, np.uint64)
-
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the usual sizes."""
-    global _powers, _inverses
-    if len(_powers) >= n:
-        return _powers, _inverses
-    size = 1 << max(12, int(n - 1).bit_length())
-    made = []
-    for base in (_BASE, _INVERSE):
-        row = np.full(size, base, np.uint64)
-        row[0] = 1
-        made.append(np.multiply.accumulate(row))
-    if size <= 8 * SLICE_BYTES:
-        _powers, _inverses = made
-    return made[0], made[1]
+#: Bytes with A-Z as a-z; masks of the first 0 to 8 bytes of a little-endian number.
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[0x41:0x5B] += 0x20
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -70,13 +51,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def raw_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit codes of stretches of bytes, upper and lower case apart."""
+def codes_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit codes of stretches of bytes."""
     n = len(data)
-    powers, inverses = _tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CASED_VALUES[data] * powers[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = data
+    eight = np.ndarray((n + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _LENGTH)
+    live, at, left = slice(None), starts, size
+    while len(left):
+        out[live] = mix(out[live] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (size[live] <= LONG))
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 class Slice(NamedTuple):
@@ -132,9 +123,5 @@ def words(part: Slice, is_word: np.ndarray) -> Words:
     after[:n] = inside[1:]
     after[offsets[1:] - 1] = False
     ends = np.flatnonzero((inside & ~after)[:n]) + 1
-    powers, inverses = _tables(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * powers[:n], out=sums[1:])
-    codes = (sums[ends] - sums[starts]) * inverses[starts]
-    codes = mix(codes ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    codes = codes_of(_LOWERED[data], starts, ends)
     return Words(starts, ends, codes, np.searchsorted(starts, offsets))
