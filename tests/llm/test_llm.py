@@ -1,8 +1,10 @@
 """The ten operators against brute force, library results, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import components, decontaminate, html_text, minhash, pieces, quality, queries, secrets, tokenstore, toxicity, url_rules, vectors
+from ledgerlight.llm import components, decontaminate, html_text, minhash, pieces, quality, queries, secrets, tokenstore, toxicity, url_rules, vectors, wordhash
 from ledgerlight.llm.storage import Workspace
 
 LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -155,6 +157,25 @@ def test_token_store_notices_damage(spark, tmp_path):
     assert {r.verified for r in tokenstore.read_summary(spark, f"file://{tmp_path}/b").collect()} == {True, False}
 
 
+def test_token_store_notices_lost_recipes_and_a_wrong_manifest(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(40)], "doc_id long, text string")
+    tokenstore.write_store(docs, f"file://{tmp_path}/a", queries.tokenizer_file("byte_bpe_50k.json"))
+    read = lambda part: spark.read.parquet(f"file://{tmp_path}/a/{part}")
+    swapped = F.when(F.col("doc_id") == 3, 4).when(F.col("doc_id") == 4, 3).otherwise(F.col("place"))
+    for n, (recipes, manifest) in enumerate([
+        (read("recipes").where("doc_id <> 3"), read("manifest")),
+        (read("recipes").withColumn("place", swapped.cast("long")), read("manifest")),
+        (read("recipes"), read("manifest").withColumn("root", F.when(F.col("part") == -1, F.unhex(F.lit("00" * 16))).otherwise(F.col("root")))),
+        (read("recipes"), read("manifest").withColumn("base", F.col("base") + 1)),
+    ]):
+        store = f"file://{tmp_path}/damaged{n}"
+        read("chunks").write.parquet(f"{store}/chunks")
+        recipes.write.parquet(f"{store}/recipes")
+        manifest.write.parquet(f"{store}/manifest")
+        assert not tokenstore.verify(spark, store)
+        assert False in {r.verified for r in tokenstore.read_summary(spark, store).collect()}
+
+
 def test_token_store_of_an_empty_table(spark, no_docs, tmp_path):
     tokenstore.write_store(no_docs, f"file://{tmp_path}/e", queries.tokenizer_file("byte_bpe_50k.json"))
     assert tokenstore.read_summary(spark, f"file://{tmp_path}/e").count() == 0
@@ -214,6 +235,23 @@ def test_minhash_against_brute_force(spark, odd_docs, data):
     check_near(documents(spark, data), queries.op4_minhash_near_dedup(spark, data).collect(), 3, 85, 100)
 
 
+def test_words_with_colliding_polynomials_stay_apart(spark):
+    """Two words of 2,048 letters whose polynomial hashes agree modulo 2^64 for any base."""
+    signs = ["ab"[bin(i).count("1") % 2] for i in range(2048)]
+    one, two = "".join(signs), "".join("ba"[x == "b"] for x in signs)
+    docs = [(1, one), (2, two), (3, f"{one} x y z"), (4, f"{two} x y z"), (5, one.upper())]
+    check_near(docs, minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), minhash.Shingling(width=3, num=85)).collect(), 3, 85, 100)
+
+
+@pytest.mark.parametrize("n", [1, 8, 9, 64, 65, 200])
+def test_codes_of_words(n):
+    data = np.frombuffer(b"".join(bytes([i % 7 + 97, i // 7 % 251, *[5] * (n - 2)])[:n] for i in range(500)), np.uint8)
+    starts = np.arange(500) * n
+    stretches = [data[s : s + n].tobytes() for s in starts]
+    codes = wordhash.codes_of(data, starts, starts + n)
+    assert len(set(codes.tolist())) == len(set(stretches)) and dict(zip(stretches, codes, strict=True)) == dict(zip(reversed(stretches), reversed(codes), strict=True))
+
+
 def test_minhash_in_a_large_group_of_edited_copies(spark):
     rng = random.Random(8)
     original = [f"w{rng.randint(0, 400)}" for _ in range(150)]
@@ -402,6 +440,52 @@ def test_main_text():
     assert html_text.main_text("") == html_text.main_text("<p>") == html_text.main_text("<!-- open") == ""
 
 
+SENTENCE = "The man was in the house of the king and he had a dog with him, which was not his own."
+WRAPPERS = [
+    '<div class="content with-sidebar">{}</div>', '<div id="page" class="has-sidebar wide">{}</div>', '<div class="post no-comments">{}</div>', '<section class="related-to-topic">{}</section>',
+    '<div class="ad-free">{}</div>', '<div class="layout--sidebar">{}</div>', "<div class='hasSidebar'>{}</div>", "<div data-id=menu data-role='banner'>{}</div>", '<div title="class=ad">{}</div>', "<article>{}</article>",
+    "<main><div><div>{}</div></div></main>", '<div itemprop="articleBody">{}</div>', "<table><tr><td>{}</table>", "<div><b><i>{}</div>", "<ul><li>{}<li></ul>", '<div class="ad"></div><div>{}</div>', "<form></form>{}", "<dl><dt>{}</dl>",
+    "<body class='menu sidebar'>{}", "<!-- <nav> --><div>{}</div>", "<a name=top></a><DIV>{}</DIV>", "<div onclick='if (a > b) go()'>{}</div>", "</p></i></div>{}", "<center>{}</center>", "<?php echo ?><![CDATA[ ]]><div>{}</div>", "<svg><title>x</title></svg><div>{}",
+]
+DROPPED = [
+    '<div class="cookie-notice">{}</div>', '<div class="comment_list">{}</div>', '<div class="x siteNav">{}</div>', "<aside>{}</aside>", "<nav><ul><li>{}</ul></nav>", '<div id="sidebar-left"><div><p>{}</div></div>', "<footer>{}</footer>",
+    '<div role="navigation">{}</div>', "<form><p>{}</form>", "<script>{}</script>", "<!-- {} -->", '<section class="related-posts">{}</section>', "<div class=ad>{}</div>", "<template>{}</template>", "<noscript>{}</noscript>",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_keep_the_article(wrapper):
+    inside = f'<h1 class="notice-title">{SENTENCE} One &lt; two</h1><p>{SENTENCE}\n  Two.<p>{SENTENCE}<br/>Three.'
+    assert html_text.main_text(wrapper.format(inside)) == f"{SENTENCE} One < two\n{SENTENCE} Two.\n{SENTENCE} Three."
+
+
+def test_pages_put_together_at_random():
+    """What was put in as article comes out, and nothing else."""
+    rng = random.Random(12)
+    for n in range(400):
+        page, want, marked = [], [], n % 2
+        for i in range(rng.randint(1, 8)):
+            if rng.random() < 0.5:
+                page.append(rng.choice(DROPPED).format(f"<p>{SENTENCE} Not {i}."))
+            else:
+                text = f"{SENTENCE} Number {i}."
+                spelled = text.replace(" ", rng.choice([" ", "\n", " \t ", "&#32;"])).replace("the", rng.choice(["the", "<b>the</b>", "<em>the</em>", "t&#104;e"]))
+                page.append(rng.choice(["<p>{}", "<p>{}</p>", "<div>{}</div>", "<blockquote><p>{}</blockquote>", "<h2>{}</h2>", *[w for w in WRAPPERS if "<article" not in w and "<main" not in w and "articleBody" not in w and w.count("<div") == w.count("</div")]]).format(spelled))
+                want.append(text)
+        body = "".join(page)
+        assert html_text.main_text(f"<article>{body}</article>" if marked else f"<body>{body}</body>") == "\n".join(want), body
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a x='", "<b>", "</i>", "<!", "<?", "<p>", "<svg/>", "<!--", "<", "<td>", "<li><b>", '<a b="', "<div class='", "&#", "<a b", "=\"'"])
+@pytest.mark.parametrize("tail", ["", ">", '">', "'>x", '=">"'])
+def test_odd_pages_take_linear_time(piece, tail):
+    began = time.process_time()
+    html_text.main_text(piece * (1_000_000 // len(piece)) + tail)
+    half = "<b>" * 150_000 + "</i>" * 150_000 + "<p>" * 100_000
+    html_text.main_text(half if piece == "<b>" else "")
+    assert time.process_time() - began < 6
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, None, "t"), (2, "", "t"), (3, PAGE, "t"), (3, PAGE, "t"), (None, "<article>" + "<p>x y" * 20_000, "t")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
@@ -437,12 +521,56 @@ def test_url_rules_that_one_stated_rule_labels(spark):
     assert [got[u] for u, _ in asked] == [v for _, v in asked]
 
 
+def rules_by_brute_force(rows, least, sure):
+    """Every combination of tokens with its label, then the rules that no shorter one covers."""
+    total, labels = len(rows), Counter(label for _, label in rows)
+    counts = Counter((c, label) for t, label in rows for n in range(1, len(t) + 1) for c in map(frozenset, itertools.combinations(sorted(t), n)))
+    both = Counter()
+    for (c, _), n in counts.items():
+        both[c] += n
+    good = {(c, label): n / both[c] for (c, label), n in counts.items() if n >= least * total and n / both[c] >= sure and n / both[c] > labels[label] / total * url_rules.LIFT}
+    return {k: conf for k, conf in good.items() if not any(t < k[0] and label == k[1] and c2 >= conf for (t, label), c2 in good.items())}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mined_url_rules_against_brute_force(spark, seed):
+    """What every pair of rule and set of tokens says is what all combinations say, though fewer are mined."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(150):
+        tokens = {t for t in "abcdef" if rng.random() < 0.4}
+        tokens |= {"g", "h", "i"} if "a" in tokens else set()  # always together
+        rows.append((tokens, "block" if ("a" in tokens) != (rng.random() < 0.05) or {"c", "d"} <= tokens else "allow"))
+    want = rules_by_brute_force(rows, 0.02, 0.9)
+    frame = spark.createDataFrame([(i, sorted(t), label, 1, "s") for i, (t, label) in enumerate(rows)], "key long, tokens array<string>, label string, copies long, source string")
+    words = url_rules.vocabulary(frame, 0.02).cache()
+    sets = frame.drop("tokens").join(url_rules.standing(frame, words, "key"), "key", "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    kept = url_rules.prune(url_rules.mine(sets, words, 0.02, 0.9), words).cache()
+    asked = [frozenset(t for t in "abcdefghi" if rng.random() < 0.5) for _ in range(80)]
+    got = defaultdict(set)
+    table = spark.createDataFrame([(i, sorted(t)) for i, t in enumerate(asked)], "k long, tokens array<string>")
+    for r in url_rules.matched(url_rules.standing(table, words, "k"), kept, words, ["k"]).collect():
+        got[r.k].add((r.label, round(r.confidence, 9)))
+    for i, t in enumerate(asked):
+        assert got[i] == {(label, round(c, 9)) for (need, label), c in want.items() if need <= t}, t
+
+
+def test_url_rules_of_a_site_with_many_shared_keys(spark):
+    """Thirty query keys in all URLs of one site, and a site with both labels whose keys always go together."""
+    keys = "&".join(f"key{i}=1" for i in range(30))
+    rows = [f"http://shop.example.com/de/{i}?{keys}" for i in range(30)] + [f"http://other.example.net/{'en' if i % 2 else 'xx'}/{i}?{keys.replace('key', 'arg')}" for i in range(40)]
+    frame = spark.createDataFrame([(i, u) for i, u in enumerate([*rows, f"http://new.example.com/it/1?{keys}", "http://new.org/it/1"])], "page_id long, url string")
+    got = {r.url: r.verdict for r in url_rules.judge(frame, queries.URL_RULES).collect()}
+    assert got[f"http://new.example.com/it/1?{keys}"] == "block" and got["http://new.org/it/1"] == "allow" and len(got) == len(rows) + 2
+
+
 def test_pruned_url_rules(spark):
     rng = random.Random(5)
     rules = {(frozenset(rng.sample("abcdef", rng.randint(1, 4))), rng.choice("xy")): rng.choice([0.9, 0.95, 1.0]) for _ in range(60)}
     frame = spark.createDataFrame([(i, sorted(t), label, c, 0.1) for i, ((t, label), c) in enumerate(rules.items())], "rule_id long, tokens array<string>, label string, confidence double, support double")
+    words = spark.createDataFrame([(t, n) for n, t in enumerate("abcde")], "token string, f long")
     want = {k for k, c in rules.items() if not any(t < k[0] and label == k[1] and c2 >= c for (t, label), c2 in rules.items())}
-    assert {(frozenset(r.tokens), r.label) for r in url_rules.prune(frame).collect()} == want
+    assert {(frozenset(r.tokens), r.label) for r in url_rules.prune(frame, words).collect()} == want
 
 
 # --- pipeline ----------------------------------------------------------------
