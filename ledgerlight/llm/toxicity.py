@@ -26,8 +26,8 @@ from .labelled import remainder, sample
 from .storage import bound_batches, lean
 from .wordhash import ALPHANUMERIC, slices, words
 
-#: Hash buckets; labelled rows that the fit takes at most.
-BITS, TRAIN_ROWS = 20, 30_000
+#: Hash buckets; labelled rows that the fit takes at most, and of these the rows of each label whose pairs are counted.
+BITS, TRAIN_ROWS, PAIR_ROWS = 20, 12_000, 1_500
 #: A bucket stays with this z score in either direction and this many texts.
 LEAST_Z, LEAST_TEXTS = 4.0, 3
 #: So does a pair of buckets where, among the texts with either, the other has this score (root of the
@@ -83,39 +83,46 @@ def _ratio(inside: np.ndarray, outside: np.ndarray, positive: np.ndarray, negati
     return 2 * (part(inside, positive) + part(outside, negative) - part(inside + outside, positive + negative))
 
 
-def paired(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, total: np.ndarray, columns: int = 64, rows: int = 256) -> np.ndarray:
-    """Buckets that say something beside another one, whatever they say alone: every pair is counted, in blocks."""
+def paired(doc: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, columns: int = 256) -> np.ndarray:
+    """Buckets that say something beside another one, whatever they say alone.
+
+    Every pair of buckets is counted, in blocks, over ``PAIR_ROWS`` texts of each label
+    (or all there are); ``doc`` ascends.
+    """
+    rng = np.random.default_rng(3)
+    number = np.full(len(toxic), -1, np.int32)
+    sizes = []
+    for side in (toxic, ~toxic):
+        ids = np.flatnonzero(side)
+        ids = np.sort(rng.choice(ids, min(len(ids), PAIR_ROWS), replace=False))
+        number[ids] = np.arange(len(ids), dtype=np.int32)
+        sizes.append(len(ids))
+    own = number[doc] >= 0
+    doc, bucket = doc[own], bucket[own]
+    total = np.bincount(bucket, minlength=1 << BITS)
     often = np.flatnonzero(total >= PAIR_TEXTS)
     place = np.full(len(total), -1, np.int32)
     place[often] = np.arange(len(often), dtype=np.int32)
-    known = place[bucket] >= 0
-    doc, place = doc[known], place[bucket[known]]
-    del known
-    keep = np.zeros(len(often), bool)
-    # by label, so that a block of texts has one
+    own = place[bucket] >= 0
+    doc, bucket = doc[own], place[bucket[own]]
     sides = []
-    for side in (toxic, ~toxic):
-        ids = np.flatnonzero(side)
-        number = np.zeros(len(toxic), np.int32)
-        number[ids] = np.arange(len(ids), dtype=np.int32)
+    for side, n in zip((toxic, ~toxic), sizes, strict=True):
         own = side[doc]
-        sides.append((number[doc[own]], place[own], len(ids)))
-    del doc, place, own
+        sides.append((number[doc[own]], bucket[own], n))
     alone = [np.bincount(c, minlength=len(often)).astype(np.float64) for _, c, _ in sides]
+    keep = np.zeros(len(often), bool)
     for first in range(0, len(often), columns):
-        width = min(columns, len(often) - first)
         counts = []
         for d, c, n in sides:
-            both = np.zeros((width, len(often)), np.float32)
-            for at in range(0, n, rows):
-                a, b = np.searchsorted(d, [at, at + rows])
-                block = np.zeros((min(rows, n - at), len(often)), np.float32)
+            both = np.zeros((min(columns, len(often) - first), len(often)), np.float32)
+            for at in range(0, n, columns):
+                a, b = np.searchsorted(d, [at, at + columns])
+                block = np.zeros((min(columns, n - at), len(often)), np.float32)
                 block[d[a:b] - at, c[a:b]] = 1
-                both += block[:, first : first + width].T @ block
-            counts.append(both)
-        counts = [x.astype(np.float64) for x in counts]
+                both += block[:, first : first + columns].T @ block
+            counts.append(both.astype(np.float64))
         # each beside the other, so that a word isn't kept for the toxic words around it
-        score = np.minimum(_ratio(*counts, *(x[first : first + width, None] for x in alone)), _ratio(*counts, *(x[None] for x in alone)))
+        score = np.minimum(_ratio(*counts, *(x[first : first + columns, None] for x in alone)), _ratio(*counts, *(x[None] for x in alone)))
         i, j = np.nonzero(score >= PAIR_Z**2)
         keep[first + i] = keep[j] = True
     return often[keep]
@@ -136,7 +143,7 @@ def fit(lists: list[np.ndarray], labels: np.ndarray) -> Machine:
     share = (total + 1) / (n + 2)
     z = (inside / positive - (total - inside) / (n - positive)) / np.sqrt(share * (1 - share) * (1 / positive + 1 / (n - positive)))
     alone = np.flatnonzero((np.abs(z) >= LEAST_Z) & (total >= LEAST_TEXTS))
-    kept = np.union1d(alone, paired(doc, bucket, toxic, total))
+    kept = np.union1d(alone, paired(doc, bucket, toxic))
     slot[kept] = np.arange(len(kept), dtype=np.int32)
     known = slot[bucket] >= 0
     doc, row = doc[known], slot[bucket[known]]
