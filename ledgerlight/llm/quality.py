@@ -29,7 +29,7 @@ FEATURES = (
     "log_words", "log_word_length", "letters", "digits", "upper", "symbols", "stops", "lines", "spaces", "distinct_words",
     "repeated_neighbours", "top_word", "repeated_lines", "words_without_letters", "high_bytes",
 )
-TRAIN_ROWS = 30_000
+TRAIN_ROWS = 12_000
 #: Weight of the pooled covariance in a class's, and of the diagonal in both; the least variance.
 POOLED, DIAGONAL, LEAST_VARIANCE = 0.2, 0.1, 1e-4
 _UPPER, _LOWER, _DIGIT, _HIGH = byte_class((0x41, 0x5A)), byte_class((0x61, 0x7A)), byte_class((0x30, 0x39)), byte_class((0x80, 0xFF))
