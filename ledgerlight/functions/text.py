@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks, and the plain letters they fold to.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
+
+
+def _decomposed(first: int, last: int) -> dict[str, str]:
+    """Signs of a range whose compatibility decomposition is ASCII but for combining marks, with that ASCII text."""
+    out = {}
+    for sign in map(chr, range(first, last + 1)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(x))
+        if plain and plain != sign and plain.isascii():
+            out[sign] = plain
+    return out
+
+
+_ONE = {sign: plain for sign, plain in _decomposed(0xA0, 0xFFFF).items() if len(plain) == 1}
+#: Of the signs for several letters those of Latin text: digraphs, ligatures, trade marks.
+_SEVERAL = {sign: plain for span in ((0xA0, 0x24F), (0x2120, 0x2122), (0xFB00, 0xFB06)) for sign, plain in _decomposed(*span).items() if len(plain) > 1}
+ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
 
 
 def safe_text(c: Column) -> Column:
@@ -23,8 +37,16 @@ def normalize_text(c: Column) -> Column:
 
 
 def ascii_fold(c: Column) -> Column:
-    """accents dropped, the signs for "by" as x, what is left outside ASCII removed."""
-    return F.regexp_replace(F.translate(F.translate(c, "□×", "xx"), ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
+    """letters by their compatibility decomposition without marks, the signs for "by" as x; what has no such ASCII form (``ø``, ``ł``) is removed."""
+    out = F.translate(F.translate(c, "□×", "xx"), ACCENTED, PLAIN)
+    several = F.when(out.rlike(f"[{''.join(_SEVERAL)}]"), _replaced(out)).otherwise(out)
+    return F.regexp_replace(several, r"[^\x00-\x7F]", "")
+
+
+def _replaced(c: Column) -> Column:
+    for sign, plain in _SEVERAL.items():
+        c = F.replace(c, F.lit(sign), F.lit(plain))
+    return c
 
 
 def identity_key(c: Column) -> Column:
@@ -44,8 +66,9 @@ def tokens(c: Column) -> Column:
 
 
 def zero_padded(c: Column, width: int = 14) -> Column:
-    """a code without regard to leading zeros, as ``width`` digits; NULL if it is no digits."""
-    return F.when(c.rlike(r"^[0-9]+$"), F.lpad(F.coalesce(F.nullif(F.ltrim(c, F.lit("0")), F.lit("")), F.lit("0")), width, "0"))
+    """a code without regard to leading zeros, as ``width`` digits or more; NULL if it is no digits."""
+    bare = F.coalesce(F.nullif(F.ltrim(c, F.lit("0")), F.lit("")), F.lit("0"))
+    return F.when(c.rlike(r"^[0-9]+$"), F.lpad(bare, F.greatest(F.lit(width), F.length(bare)), F.lit("0")))
 
 
 def slug(c: Column) -> Column:
@@ -92,9 +115,13 @@ def like_literal(c: Column, query: str) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Folded lower case with each run of digits padded, so that 10 follows 9."""
+    """Folded lower case; a run of digits stands behind its length without leading zeros, so that 10 follows 9."""
     parts = F.regexp_extract_all(F.lower(ascii_fold(F.coalesce(c, F.lit("")))), F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), _counted(F.ltrim(p, F.lit("0")))).otherwise(p)), "")
+
+
+def _counted(digits: Column) -> Column:
+    return F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)
 
 
 def canonical_url(url: Column) -> Column:

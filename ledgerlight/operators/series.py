@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
     """Each left row with the last right row of its key at or before it.
@@ -59,8 +61,7 @@ def budget_gate(df: DataFrame, keys: Sequence[str], epoch: str, daily: int, per_
 
 def spread(df: DataFrame, keys: Sequence[str], batch: int, spacing: int, *order: str) -> DataFrame:
     """Seconds to wait so that a batch starts every ``spacing`` seconds."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    return df.withColumn("delay", (F.floor(place / batch) * spacing).cast("long"))
+    return numbered(df, keys, *order).withColumn("delay", (F.floor((F.col("place") - 1) / batch) * spacing).cast("long")).select(*df.columns, "delay")
 
 
 def leading_streak(df: DataFrame, keys: Sequence[str], failed: Column, *newest: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import keyed
+from ..operators.ranks import numbered
 from .registry import Tables, query
 
 VIEWS = ("frontal", "lateral", "perspectiva")
@@ -91,18 +92,26 @@ def _plan(t: Tables) -> DataFrame:
     return plan.join(there, "path", "left").select("path", action.alias("action"))
 
 
+#: Of an export: bytes of one file and of all files of an order.
+FILE_BYTES, ORDER_BYTES = 900, 200_000
+
+
 @query(
     "X22_export_names",
-    f"""WITH {IMAGES}, d AS (SELECT view, pixels, min(id) AS id FROM images WHERE provider = 'p3' GROUP BY view, pixels), n AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY id) AS k FROM d)
-SELECT id, view || CASE WHEN k > 1 THEN '_' || CAST(k AS VARCHAR) ELSE '' END AS name, CAST(sum(id % 1000) OVER (PARTITION BY view ORDER BY id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM n""",
+    f"""WITH {IMAGES}, d AS (SELECT view, pixels, min(id) AS id FROM images GROUP BY view, pixels), n AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY id) AS k, sum(CASE WHEN id % 1000 <= {FILE_BYTES} THEN id % 1000 ELSE 0 END) OVER (PARTITION BY view ORDER BY id ROWS UNBOUNDED PRECEDING) AS running FROM d),
+s AS (SELECT id, view, view || CASE WHEN k > 1 THEN '_' || CAST(k AS VARCHAR) ELSE '' END AS name, CAST(running AS BIGINT) AS running, CASE WHEN id % 1000 > {FILE_BYTES} THEN 'file_too_large' WHEN running > {ORDER_BYTES} THEN 'over_limit' ELSE 'exported' END AS state FROM n)
+SELECT id, name, running, state, bool_or(state <> 'exported') OVER (PARTITION BY view) AS partial FROM s""",
 )
 def _names(t: Tables) -> DataFrame:
-    """Equal files once, a suffix on a shared name, a running size."""
-    once = images(t).where("provider = 'p3'").groupBy("view", "pixels").agg(F.min("id").alias("id"))
-    w = Window.partitionBy("view").orderBy("id")
-    k = F.row_number().over(w)
-    running = F.sum(F.col("id") % 1000).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return once.select("id", F.concat(F.col("view"), F.when(k > 1, F.concat(F.lit("_"), k.cast("string"))).otherwise(F.lit(""))).alias("name"), running.alias("running"))
+    """Equal files once, a suffix on a shared name, sizes within a file's and an order's limit, and whether an order is partial."""
+    once = images(t).groupBy("view", "pixels").agg(F.min("id").alias("id"))
+    size = F.col("id") % 1000
+    rows = numbered(once, ["view"], "id", weight=F.when(size <= FILE_BYTES, size).otherwise(0))
+    name = F.concat(F.col("view"), F.when(F.col("place") > 1, F.concat(F.lit("_"), F.col("place").cast("string"))).otherwise(F.lit("")))
+    state = F.when(size > FILE_BYTES, "file_too_large").when(F.col("running") > ORDER_BYTES, "over_limit").otherwise("exported")
+    named = rows.select("id", "view", name.alias("name"), "running", state.alias("state"))
+    partial = named.groupBy("view").agg(F.bool_or(F.col("state") != "exported").alias("partial"))
+    return named.join(partial, "view").drop("view")
 
 
 @query(

@@ -40,21 +40,10 @@ def _guarded(t: Tables) -> DataFrame:
 @query(
     "X2_batch_preview",
     f"""WITH {OFFERS}, {PRODUCTS}, l AS (SELECT *, row_number() OVER (PARTITION BY ean, competitor_id ORDER BY captured_at DESC, id DESC) AS rn FROM offers)
-SELECT l.ean, l.competitor_id, CASE WHEN l.exact AND l.available THEN 'monitor' WHEN l.exact THEN 'reuse' WHEN l.available THEN 'review' ELSE 'locate' END AS action, p.stock > 5 AND l.exact AS ready,
-  CASE WHEN p.stock <= 5 THEN 'low_stock' WHEN NOT l.exact THEN 'identity' WHEN l.vat IS NULL THEN 'vat' END AS defer_reason FROM l JOIN products p ON l.ean = p.ean WHERE rn = 1 AND l.competitor_id < 20""",
-)
-def _preview(t: Tables) -> DataFrame:
-    """Over competitors below 20; ``X2_batch_preview_all`` previews all offers."""
-    return preview(offers(t).where("competitor_id < 20"), t)
-
-
-@query(
-    "X2_batch_preview_all",
-    f"""WITH {OFFERS}, {PRODUCTS}, l AS (SELECT *, row_number() OVER (PARTITION BY ean, competitor_id ORDER BY captured_at DESC, id DESC) AS rn FROM offers)
 SELECT l.ean, l.competitor_id, CASE WHEN l.exact AND l.available THEN 'monitor' WHEN l.exact THEN 'reuse' WHEN l.available THEN 'review' ELSE 'locate' END AS action, p.stock > 5 AND l.exact AS ready,
   CASE WHEN p.stock <= 5 THEN 'low_stock' WHEN NOT l.exact THEN 'identity' WHEN l.vat IS NULL THEN 'vat' END AS defer_reason FROM l JOIN products p ON l.ean = p.ean WHERE rn = 1""",
 )
-def _preview_all(t: Tables) -> DataFrame:
+def _preview(t: Tables) -> DataFrame:
     return preview(offers(t), t)
 
 
@@ -93,13 +82,13 @@ def _overlay(t: Tables) -> DataFrame:
 @query(
     "X17_order_evidence",
     f"""WITH {IMAGES}, p AS (SELECT ean, pixels, count(DISTINCT view) > 1 AS conflict FROM images GROUP BY ean, pixels), e AS (SELECT ean, count(*) AS photos, bool_or(conflict) AS conflict FROM p GROUP BY ean)
-SELECT l_orderkey AS order_id, CAST(count(DISTINCT lpad(CAST(l_partkey AS VARCHAR), 13, '0')) AS BIGINT) AS eans, CAST(sum(photos) AS BIGINT) AS photos, bool_or(conflict) AS conflict FROM lineitem JOIN e ON e.ean = lpad(CAST(l_partkey AS VARCHAR), 13, '0') WHERE l_suppkey = 7 GROUP BY l_orderkey""",
+SELECT l_orderkey AS order_id, CAST(count(DISTINCT lpad(CAST(l_partkey AS VARCHAR), 13, '0')) AS BIGINT) AS eans, CAST(sum(photos) AS BIGINT) AS photos, bool_or(conflict) AS conflict FROM lineitem JOIN e ON e.ean = lpad(CAST(l_partkey AS VARCHAR), 13, '0') GROUP BY l_orderkey""",
 )
 def _evidence(t: Tables) -> DataFrame:
     """Photos by pixels, then by product, then by order."""
     photos = images(t).groupBy("ean", "pixels").agg((F.count_distinct("view") > 1).alias("conflict"))
     per = photos.groupBy("ean").agg(F.count("*").alias("photos"), F.bool_or("conflict").alias("conflict"))
-    lines = t.lineitem.where("l_suppkey = 7").select(F.col("l_orderkey").alias("order_id"), F.lpad(F.col("l_partkey").cast("string"), 13, "0").alias("ean"))
+    lines = t.lineitem.select(F.col("l_orderkey").alias("order_id"), F.lpad(F.col("l_partkey").cast("string"), 13, "0").alias("ean"))
     return lines.join(per, "ean").groupBy("order_id").agg(F.count_distinct("ean").alias("eans"), F.sum("photos").alias("photos"), F.bool_or("conflict").alias("conflict"))
 
 

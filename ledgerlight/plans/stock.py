@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import elapsed_days, week_start
 from ..operators import keyed, ledger
+from ..operators.ranks import exact_percentile
 from .registry import Tables, query
 from .views import MOVES, NOW, moves, now
 
@@ -32,7 +33,7 @@ def product_facts(rows: DataFrame, at: Column) -> DataFrame:
 def classify(df: DataFrame, at: Column, threshold: int = DEAD_DAYS) -> DataFrame:
     """Class, alert and blocked capital of products with pvo, stock and the facts; the first class that fits wins."""
     pvo, stock = F.coalesce("pvo", F.lit(0.0)), F.coalesce("stock", F.lit(0.0))
-    limit = df.agg(F.percentile(pvo, F.lit(PERCENTILE)).alias("p80"))
+    limit = F.lit(exact_percentile(df.select(pvo.alias("pvo")), "pvo", PERCENTILE))
     age = elapsed_days(F.col("first_purchase"), at)
     restocked = F.coalesce(F.date_trunc("day", "last_restock") > F.date_trunc("day", "last_sale"), F.lit(False))
     idle = F.coalesce(elapsed_days(F.when(restocked, F.col("last_restock")).otherwise(F.col("last_sale")), at), F.lit(9999))
@@ -40,26 +41,18 @@ def classify(df: DataFrame, at: Column, threshold: int = DEAD_DAYS) -> DataFrame
     until_d = F.coalesce(MARGIN_DAYS - age, F.lit(9999))
     dead = (stock > 0) & margin & (idle >= threshold) & (F.coalesce("sales_180", F.lit(0)) == 0)
     young = ~sold & F.coalesce(age < MARGIN_DAYS, F.lit(False))
-    kind = F.when(dead, "D").when(sold & margin & (pvo >= F.col("p80")), "A").when(sold | young, "B").otherwise("C")
+    kind = F.when(dead, "D").when(sold & margin & (pvo >= limit), "A").when(sold | young, "B").otherwise("C")
     alert = F.when(dead, "LIQUIDAR").when(sold, "OK").when(young, F.when(until_d <= ALERT_DAYS, "REVISAR").otherwise("OK")).otherwise("BAJO IMPACTO")
-    return df.crossJoin(F.broadcast(limit)).select(*df.columns, kind.alias("abcd"), alert.alias("alert"), idle.cast("long").alias("idle_days"), F.round(pvo * stock, 2).alias("capital")).drop("p80")
-
-
-def abcd_of_all(t: Tables) -> DataFrame:
-    """The classes of all products by all their moves; products without moves have no facts."""
-    parts = t.part.select(F.col("p_partkey").alias("product"), F.col("p_retailprice").alias("pvo"), F.col("p_size").cast("double").alias("stock"))
-    facts = product_facts(moves(t), now())
-    return classify(parts.join(facts, "product", "left"), now())
+    return df.select(*df.columns, kind.alias("abcd"), alert.alias("alert"), idle.cast("long").alias("idle_days"), F.round(pvo * stock, 2).alias("capital"))
 
 
 def abcd(t: Tables) -> DataFrame:
-    """A test of the left join: as :func:`abcd_of_all`, but the moves of products with ``product % 7 = 3`` are left out."""
+    """The classes of all products by all their moves; products without moves have no facts."""
     parts = t.part.select(F.col("p_partkey").alias("product"), F.col("p_retailprice").alias("pvo"), F.col("p_size").cast("double").alias("stock"))
-    facts = product_facts(moves(t).where(F.col("product") % 7 != 3), now())
-    return classify(parts.join(facts, "product", "left"), now())
+    return classify(parts.join(product_facts(moves(t), now()), "product", "left"), now())
 
 
-ABCD = f"""WITH {FACTS.replace('FROM moves GROUP BY product', 'FROM moves WHERE product % 7 <> 3 GROUP BY product')},
+ABCD = f"""WITH {FACTS},
 base AS (SELECT p_partkey AS product, p_retailprice AS pvo, CAST(p_size AS DOUBLE) AS stock, f.* EXCLUDE (product) FROM part LEFT JOIN facts f ON p_partkey = f.product),
 lim AS (SELECT quantile_cont(pvo, 0.8) AS p80 FROM base),
 n AS (SELECT *, datediff('day', first_purchase, TIMESTAMP '{NOW}') AS age,
@@ -72,41 +65,15 @@ abcd AS (SELECT product, pvo, stock, first_purchase, last_restock, last_sale, sa
   CAST(idle AS BIGINT) AS idle_days, round(pvo * stock, 2) AS capital FROM n)"""
 
 
-#: The same over the moves of all products.
-ABCD_OF_ALL = ABCD.replace("FROM moves WHERE product % 7 <> 3 GROUP BY product", "FROM moves GROUP BY product")
-
-
 @query("abcd_classification", f"{ABCD} SELECT * FROM abcd")
 def _abcd(t: Tables) -> DataFrame:
-    """Over part of the moves, see :func:`abcd`; ``abcd_classification_all`` takes all."""
     return abcd(t)
 
 
-@query("abcd_classification_all", f"{ABCD_OF_ALL} SELECT * FROM abcd")
-def _abcd_all(t: Tables) -> DataFrame:
-    return abcd_of_all(t)
-
-
-SUMMARY = "SELECT abcd, CAST(count(*) AS BIGINT) AS products, sum(stock) AS stock, round(sum(capital), 1) AS capital, round(avg(pvo), 1) AS mean_pvo FROM abcd GROUP BY abcd ORDER BY abcd"
-
-
-def summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("abcd").agg(F.count("*").alias("products"), F.sum("stock").alias("stock"), F.round(F.sum("capital"), 1).alias("capital"), F.round(F.avg("pvo"), 1).alias("mean_pvo")).orderBy("abcd")
-
-
-@query("abcd_summary_all", f"{ABCD_OF_ALL} {SUMMARY}")
-def _abcd_summary_all(t: Tables) -> DataFrame:
-    """A2, A3, T1."""
-    return summary(abcd_of_all(t))
-
-
-@query(
-    "abcd_summary",
-    f"{ABCD} SELECT abcd, CAST(count(*) AS BIGINT) AS products, sum(stock) AS stock, round(sum(capital), 1) AS capital, round(avg(pvo), 1) AS mean_pvo FROM abcd GROUP BY abcd ORDER BY abcd",
-)
+@query("abcd_summary", f"{ABCD} SELECT abcd, CAST(count(*) AS BIGINT) AS products, sum(stock) AS stock, round(sum(capital), 1) AS capital, round(avg(pvo), 1) AS mean_pvo FROM abcd GROUP BY abcd ORDER BY abcd")
 def _abcd_summary(t: Tables) -> DataFrame:
-    """Over part of the moves, see :func:`abcd`; ``abcd_summary_all`` takes all."""
-    return summary(abcd(t))
+    """A2, A3, T1."""
+    return abcd(t).groupBy("abcd").agg(F.count("*").alias("products"), F.sum("stock").alias("stock"), F.round(F.sum("capital"), 1).alias("capital"), F.round(F.avg("pvo"), 1).alias("mean_pvo")).orderBy("abcd")
 
 
 @query(

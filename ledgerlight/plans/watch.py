@@ -44,7 +44,7 @@ grid AS (SELECT w.ean, s.competitor_id, l.id, l.price, CASE WHEN l.id IS NULL TH
 
 
 def monitoring_grid(t: Tables) -> DataFrame:
-    """Every watched product at every active competitor, the first status that fits, the best current price of the product beside it.
+    """Every watched product at every active competitor, the first status that fits, the best current price of the product beside it.
 
     The grid is what is asked for: a hand-made watch list times the competitors.
     """
@@ -90,23 +90,14 @@ def _classes(t: Tables) -> DataFrame:
 
 @query(
     "X3_all_checks",
-    f"""WITH {OFFERS} SELECT id, concat_ws(',', CASE WHEN NOT exact THEN 'identity' END, CASE WHEN NOT available THEN 'stock' END, CASE WHEN vat IS NULL THEN 'vat' END, CASE WHEN price > 20000 THEN 'price' END) AS reasons, exact AND available AND vat IS NOT NULL AND price <= 20000 AS confirmed FROM offers WHERE competitor_id < 10""",
-)
-def _checks(t: Tables) -> DataFrame:
-    """Over competitors below 10; ``X3_all_checks_of_all`` checks all offers."""
-    return checked(offers(t).where("competitor_id < 10"))
-
-
-@query(
-    "X3_all_checks_of_all",
     f"""WITH {OFFERS} SELECT id, concat_ws(',', CASE WHEN NOT exact THEN 'identity' END, CASE WHEN NOT available THEN 'stock' END, CASE WHEN vat IS NULL THEN 'vat' END, CASE WHEN price > 20000 THEN 'price' END) AS reasons, exact AND available AND vat IS NOT NULL AND price <= 20000 AS confirmed FROM offers""",
 )
-def _checks_of_all(t: Tables) -> DataFrame:
+def _checks(t: Tables) -> DataFrame:
     return checked(offers(t))
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    """Every check is made, reasons are gathered, all must hold."""
+    """Every check is made, reasons are gathered, all must hold."""
     failed = F.array_compact(
         F.array(F.when(~F.col("exact"), "identity"), F.when(~F.col("available"), "stock"), F.when(F.col("vat").isNull(), "vat"), F.when(F.col("price") > 20000, "price"))
     )
@@ -259,11 +250,11 @@ def _interval(t: Tables) -> DataFrame:
 
 @query(
     "X28_watch_additions",
-    f"""WITH {PRODUCTS}, asked AS (SELECT lpad(CAST(l_partkey * 3 AS VARCHAR), 13, '0') AS ean, min(l_orderkey) AS first FROM lineitem WHERE l_suppkey = 1 GROUP BY 1)
+    f"""WITH {PRODUCTS}, asked AS (SELECT lpad(CAST(l_partkey * 3 AS VARCHAR), 13, '0') AS ean, min(l_orderkey) AS first FROM lineitem GROUP BY 1)
 SELECT a.ean, CASE WHEN p.ean IS NULL THEN 'rejected' WHEN p.category = 'PROMO' THEN 'already' WHEN p.category = 'LARGE' THEN 'reactivated' ELSE 'added' END AS outcome, CASE WHEN p.ean IS NULL THEN 'unknown_product' END AS reason FROM asked a LEFT JOIN products p ON a.ean = p.ean""",
 )
 def _additions(t: Tables) -> DataFrame:
-    asked = t.lineitem.where("l_suppkey = 1").select(F.lpad((F.col("l_partkey") * 3).cast("string"), 13, "0").alias("ean")).distinct()
+    asked = t.lineitem.select(F.lpad((F.col("l_partkey") * 3).cast("string"), 13, "0").alias("ean")).distinct()
     rows = asked.join(products(t).select("ean", "category"), "ean", "left")
     outcome = F.when(F.col("category").isNull(), "rejected").when(F.col("category") == "PROMO", "already").when(F.col("category") == "LARGE", "reactivated").otherwise("added")
     return rows.select("ean", outcome.alias("outcome"), F.when(F.col("category").isNull(), "unknown_product").alias("reason"))

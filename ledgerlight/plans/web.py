@@ -19,6 +19,11 @@ def json_ld(html):
     return F.nullif(F.regexp_extract(html, r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1), F.lit(""))
 
 
+def heading(html):
+    """The text of the first h1, or NULL."""
+    return F.nullif(F.trim(F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1)), F.lit(""))
+
+
 def product_facts(pages: DataFrame) -> DataFrame:
     """Name, price, currency, availability and GTIN by JSON-LD, else meta elements; VAT by the ratio to a price before tax; stock phrases and conflicts."""
     ld, html = json_ld(F.col("html")), F.col("html")
@@ -28,7 +33,7 @@ def product_facts(pages: DataFrame) -> DataFrame:
     yes, no = html.rlike(r"(?i)en stock|in stock|InStock"), html.rlike(r"(?i)agotado|sold out|OutOfStock")
     stock = F.when(yes & no, "unknown").when(yes, "available").when(no, "unavailable").otherwise("unknown")
     return pages.select(
-        "page_id", F.coalesce(field("$.name"), F.nullif(F.trim(F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1)), F.lit(""))).alias("name"), price.alias("price"),
+        "page_id", F.coalesce(field("$.name"), heading(html)).alias("name"), price.alias("price"),
         F.coalesce(field("$.offers.priceCurrency", "$.offers[0].priceCurrency"), meta_content(html, "product:price:currency")).alias("currency"),
         codes.normalize_gtin(field("$.gtin13", "$.gtin")).alias("ean"), money.infer_vat(price, pretax).alias("vat"), stock.alias("availability"), (yes & no).alias("conflict"),
     )
@@ -37,7 +42,7 @@ def product_facts(pages: DataFrame) -> DataFrame:
 @query("S11_page_facts", "SELECT page_id, nullif(trim(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)), '') AS name, CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links FROM pages")
 def _facts(t: Tables) -> DataFrame:
     links = F.size(F.regexp_extract_all("html", F.lit("<a href="), 0))
-    return product_facts(t.pages).select("page_id", "name").join(t.pages.select("page_id", links.alias("links")), "page_id")
+    return t.pages.select("page_id", heading(F.col("html")).alias("name"), links.alias("links"))
 
 
 @query(
@@ -75,19 +80,6 @@ def _identity(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", identity.classify(read(ours), read(other))["match"].alias("match"))
 
 
-@query(
-    "F15_reference_lookup",
-    """WITH hit AS (SELECT a.p_partkey AS id, b.p_partkey AS entry, 0 AS level FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey % 100 = 1 AND b.p_partkey % 100 <> 1
- UNION ALL SELECT a.p_partkey, b.p_partkey, 1 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand WHERE a.p_partkey % 100 = 1 AND b.p_partkey % 100 <> 1)
-SELECT DISTINCT id, entry, CAST(level AS INTEGER) AS level FROM hit h WHERE level = (SELECT min(level) FROM hit g WHERE g.id = h.id)""",
-)
-def _lookup(t: Tables) -> DataFrame:
-    """Over parts with ``id % 100 = 1`` against the others; ``F15_reference_lookup_all`` looks up all."""
-    rows = t.part.select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
-    index = rows.where("id % 100 <> 1").withColumnRenamed("id", "entry")
-    return identity.lookup(rows.where("id % 100 = 1"), index, [("p_name", "p_brand", "p_size"), ("p_name", "p_brand")])
-
-
 def lookup_of_all(parts: DataFrame) -> DataFrame:
     """every part against all others; a level counts only if another part has its keys."""
     rows = parts.select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
@@ -103,10 +95,10 @@ def lookup_of_all(parts: DataFrame) -> DataFrame:
 
 
 @query(
-    "F15_reference_lookup_all",
+    "F15_reference_lookup",
     """WITH hit AS (SELECT a.p_partkey AS id, b.p_partkey AS entry, 0 AS level FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size WHERE a.p_partkey <> b.p_partkey
  UNION ALL SELECT a.p_partkey, b.p_partkey, 1 FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand WHERE a.p_partkey <> b.p_partkey)
 SELECT DISTINCT id, entry, CAST(level AS INTEGER) AS level FROM hit JOIN (SELECT id AS of, min(level) AS least FROM hit GROUP BY id) ON id = of AND level = least""",
 )
-def _lookup_all(t: Tables) -> DataFrame:
+def _lookup(t: Tables) -> DataFrame:
     return lookup_of_all(t.part)

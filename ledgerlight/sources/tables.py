@@ -41,17 +41,22 @@ def read_text_table(spark: SparkSession, path: str, separator: str | None = None
 
 
 def read_feed(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]], key: str) -> DataFrame:
-    """An authorised price feed; the first row of a code counts, by its place in the file."""
-    rows = canonicalize(read_text_table(spark, path), aliases, [key]).withColumn("__row", F.monotonically_increasing_id())
-    first = rows.groupBy(key).agg(F.min("__row").alias("__row"))
-    return rows.join(first, [key, "__row"], "left_semi").drop("__row")
+    """An authorised price feed; the first row of a code counts, by its file's name and its place in the file."""
+    rows = canonicalize(read_text_table(spark, path), aliases, [key])
+    place = F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+    first = rows.select("*", place.alias("__place")).groupBy(key).agg(F.min_by(F.struct(*rows.columns), "__place").alias("__row"))
+    return first.select("__row.*")
 
 
-def parse_codes(df: DataFrame, column: str) -> DataFrame:
-    """Pasted code lists as rows ``position, code, gtin``; the first of equal codes stays, an invalid one has no gtin."""
-    parts = df.select(F.posexplode(F.split(F.col(column), r"[\s,;]+")).alias("position", "code")).where("code <> ''")
-    first = parts.groupBy("code").agg(F.min("position").alias("position"))
-    return first.select("position", "code", codes.normalize_gtin(F.col("code")).alias("gtin"))
+def parse_codes(df: DataFrame, column: str, *keys: str) -> DataFrame:
+    """Pasted code lists as rows ``keys, position, code, gtin``.
+
+    ``keys`` tell the lists apart; without them all rows are one list. The first of
+    equal codes of a list stays, an invalid one has no gtin.
+    """
+    parts = df.select(*keys, F.posexplode(F.split(F.col(column), r"[\s,;]+")).alias("position", "code")).where("code <> ''")
+    first = parts.groupBy(*keys, "code").agg(F.min("position").alias("position"))
+    return first.select(*keys, "position", "code", codes.normalize_gtin(F.col("code")).alias("gtin"))
 
 
 OBSERVATIONS = T.StructType(
@@ -65,7 +70,12 @@ OBSERVATIONS = T.StructType(
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
     """A row for each observation of a versioned JSON document."""
-    docs = spark.read.schema(OBSERVATIONS).json(path, multiLine=True).where(F.col("schema").endswith("/1"))
+    return observations(spark.read.schema(OBSERVATIONS).json(path, multiLine=True))
+
+
+def observations(docs: DataFrame) -> DataFrame:
+    """Offers of parsed documents; a version other than 1 gives none, an invalid code no ean."""
+    docs = docs.where(F.col("schema").endswith("/1"))
     rows = docs.select(F.explode("observaciones").alias("o")).select("o.*")
     return rows.withColumn("captured_at", F.try_to_timestamp("fecha_observacion")).withColumn("ean", codes.normalize_gtin(F.col("ean_consultado")))
 
@@ -75,27 +85,28 @@ def feed_items(xml: Column) -> Column:
     return F.regexp_extract_all(xml, F.lit(r"(?s)<item>.*?<link>\s*(.*?)\s*</link>.*?</item>"), 1)
 
 
-def robots_rules(df: DataFrame, column: str, agent: str = "*") -> DataFrame:
-    """``allow, path`` of the group of an agent in robots texts, longest path first."""
-    lines = df.select(F.posexplode(F.split(F.col(column), r"\r?\n")).alias("no", "line"))
-    kv = lines.select("no", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("k"), F.trim(F.regexp_extract("line", r"^[^:]*:([^#]*)", 1)).alias("v")).where("v <> ''")
-    rows = kv.agg(F.array_sort(F.collect_list(F.struct("no", "k", "v"))).alias("rows"))  # one robots text is small
-    held = rows.select(
-        F.explode(
-            F.aggregate(
-                "rows",
-                F.struct(F.lit("").alias("agent"), F.array().cast("array<struct<allow:boolean,path:string>>").alias("out")),
-                lambda acc, x: F.struct(
-                    F.when(x["k"] == "user-agent", x["v"]).otherwise(acc["agent"]).alias("agent"),
-                    F.when(
-                        x["k"].isin("allow", "disallow") & (acc["agent"] == agent), F.array_append(acc["out"], F.struct((x["k"] == "allow").alias("allow"), x["v"].alias("path")))
-                    ).otherwise(acc["out"]).alias("out"),
-                ),
-                lambda acc: acc["out"],
-            )
-        ).alias("r")
-    )
-    return held.select("r.allow", "r.path").orderBy(F.length("path").desc(), F.desc("allow"))
+def robots_rules(df: DataFrame, column: str, agent: str = "*", *keys: str) -> DataFrame:
+    """``keys, allow, path``: the rules for an agent in each row's robots text.
+
+    Agents in a row share the rules behind them. The groups that name the agent count,
+    else those of ``*``; rules without a path say nothing. NULL has no rules.
+    """
+    line = lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.regexp_extract(x, r"^[^:]*:([^#]*)", 1)).alias("v"))
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(column), F.lit("")), r"\r?\n"), line), lambda x: x["k"].isin("user-agent", "allow", "disallow"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("agents"), F.lit(False).alias("open"), none.alias("seen"), F.array().cast("array<struct<agents:array<string>,allow:boolean,path:string>>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        named, name = x["k"] == "user-agent", F.lower(x["v"])
+        agents = F.when(named, F.when(acc["open"], F.array_append(acc["agents"], name)).otherwise(F.array(name))).otherwise(acc["agents"])
+        rule = F.struct(acc["agents"].alias("agents"), (x["k"] == "allow").alias("allow"), x["v"].alias("path"))
+        out = F.when(named | (x["v"] == ""), acc["out"]).otherwise(F.array_append(acc["out"], rule))
+        return F.struct(agents.alias("agents"), named.alias("open"), F.when(named, F.array_append(acc["seen"], name)).otherwise(acc["seen"]).alias("seen"), out.alias("out"))
+
+    read = df.select(*keys, F.aggregate(lines, start, step).alias("r"))
+    mine = F.when(F.array_contains("r.seen", agent.lower()), F.lit(agent.lower())).otherwise(F.lit("*"))
+    held = read.select(*keys, mine.alias("mine"), F.explode("r.out").alias("rule")).where(F.array_contains("rule.agents", F.col("mine")))
+    return held.select(*keys, "rule.allow", "rule.path").orderBy(*keys, F.length("path").desc(), F.desc("allow"))
 
 
 def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:

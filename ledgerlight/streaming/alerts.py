@@ -19,25 +19,23 @@ def alerts_once(events: DataFrame, at: str, *keys: str, late: str = "1 day") ->
 def changes(samples: DataFrame, key: str, value: str, at: str, threshold: float = 5.0) -> DataFrame:
     """``key, at, previous, value, kind`` where a sample moved by the threshold (in percent) against the one before it.
 
-    A sample older than the last one seen is no change (R7).
+    A sample older than the last one seen is no change (R7); one without a value or time counts for nothing.
     """
     out = f"{key} string, at timestamp, previous double, value double, kind string"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get if state.exists else None
-        rows = []
-        for batch in batches:
-            for when, now in batch.sort_values("at")[["at", "value"]].itertuples(index=False):
-                if last is not None and when.timestamp() < last[0]:
-                    continue
-                if last is not None and last[1]:
-                    move = (now - last[1]) / last[1] * 100
-                    if abs(move) >= threshold:
-                        rows.append((k[0], when, last[1], now, "price_up" if move > 0 else "price_down"))
-                last = (when.timestamp(), float(now))
+        # a key's samples come in several Arrow batches, in no order
+        samples = pd.concat([*batches, pd.DataFrame({"at": pd.Series(dtype="datetime64[ns]"), "value": pd.Series(dtype=float)})])[["at", "value"]].dropna().sort_values("at", kind="stable")
         if last is not None:
-            state.update(last)
-        yield pd.DataFrame(rows, columns=[key, "at", "previous", "value", "kind"])
+            samples = samples[samples["at"].map(pd.Timestamp.timestamp) >= last[0]]
+        was = samples["value"].shift(fill_value=float("nan") if last is None else last[1])
+        move = (samples["value"] - was) / was.where(was != 0) * 100
+        moved = samples[move.abs() >= threshold]
+        if len(samples):
+            state.update((samples["at"].iloc[-1].timestamp(), float(samples["value"].iloc[-1])))
+        kind = ["price_up" if m > 0 else "price_down" for m in move[move.abs() >= threshold]]
+        yield pd.DataFrame({key: k[0], "at": moved["at"].array, "previous": was[move.abs() >= threshold].array, "value": moved["value"].array, "kind": kind})
 
     rows = samples.select(F.col(key).cast("string").alias(key), F.col(at).cast("timestamp").alias("at"), F.col(value).cast("double").alias("value"))
     return rows.groupBy(key).applyInPandasWithState(run, out, "seconds double, value double", "append", GroupStateTimeout.NoTimeout)

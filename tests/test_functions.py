@@ -84,3 +84,19 @@ def test_reference_spellings_agree(spark):
     parsed = identity.parse_reference(F.col("c"), ["Bvlgari"])
     got = values(spark, parsed, ["Bvlgari BV1274S 005 54-21", "bvlgari bv1274s-005 54/21", "BVLGARI BV1274S/005 54□21"])
     assert len({tuple(g) for g in got}) == 1 and tuple(got[0]) == ("BVLGARI", "BV1274S", "005", "54-21")
+
+
+def test_natural_order_of_long_codes(spark):
+    told = ["8056597000001", "8056597000009", "08056597000010", "14056597000001", "9", "a10b", "a9b", "A09C", "", None]
+    got = values(spark, text.natural_key(F.col("c")), told)
+    assert len(set(got[:4])) == 4 and sorted(got[:5]) == [got[4], got[0], got[1], got[2], got[3]]
+    assert sorted(got[5:8]) == [got[6], got[7], got[5]] and got[8] == got[9] == ""
+    assert values(spark, text.zero_padded(F.col("c")), ["0123456789012345", "1234567890123456"]) == ["123456789012345".zfill(14), "1234567890123456"]
+
+
+def test_folding_is_that_of_the_decomposition(spark):
+    import unicodedata
+
+    told = ["Łódź őšč", "Ñandú", "ﬁ ĳ ™", "e\u0301", "ｆｕｌｌ", "Ǆ", "中 ø", "54□21×3"]
+    want = ["".join(x for x in unicodedata.normalize("NFKD", t.replace("□", "x").replace("×", "x")) if x.isascii()) for t in told]
+    assert values(spark, text.ascii_fold(F.col("c")), told) == want
