@@ -13,12 +13,13 @@ farther than d plus the code's own error can't be linked either. So the probes a
 sufficient, both tests lose nothing, and what passes is compared by its exact
 cosine in double precision.
 
-Equal vectors are one entry with a count. A list is cut into blocks of about
-``BLOCK`` vectors, which travel once for each pair of blocks that a probe joins. A
-pair of blocks is compared once, for both directions, and gives back link counts and
-a spanning set of links, never the pairs of a group. Where the vectors have no
-clusters, the exact bound probes most lists; the work is then that of all block
-pairs, each a task of its own.
+Equal vectors are one entry with a count. Linked vectors of two lists both probe the
+other's list, so for each pair of lists only the members that do so travel, once, in
+packs; members of one list are compared among themselves. A pair of lists with very
+many members is cut into cells of about ``BLOCK_BYTES`` a side. A cell gives back link
+counts and a spanning set of links, made ``QUERIES`` vectors at a time, never the pairs
+of a group. Where the vectors have no clusters, the exact bound probes most lists, and
+the work grows with the square of their number; each cell is then a task of its own.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,10 +40,10 @@ from .storage import Workspace, bound_batches, lean
 SAMPLE_ROWS, ROUNDS = 8192, 12
 #: Codewords of a subspace, and dimensions that share one.
 CODEWORDS, SUBSPACE = 256, 8
-#: Vectors of a block; a list for every half block of vectors, at most so many lists.
-BLOCK, MOST_LISTS = 4096, 4096
+#: Bytes of one side of a cell as doubles; a list for each such number of vectors, at most so many lists.
+BLOCK_BYTES, MOST_LISTS = 8 << 20, 4096
 #: Queries that are looked up at once.
-QUERIES = 512
+QUERIES = 128
 #: Slack of the distance bounds for rounding; the cosine itself is exact.
 SLACK = 1e-6
 
@@ -114,11 +116,10 @@ def probes(books: Books, x: np.ndarray) -> np.ndarray:
     return beyond <= books.reach
 
 
-def links(books: Books, queries: np.ndarray, centre: np.ndarray, vectors: np.ndarray, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Linked (query, vector) positions: table lookups first, then exact cosines."""
+def links(books: Books, queries: np.ndarray, centre: np.ndarray, vectors: np.ndarray, codes: np.ndarray, error: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked (query, vector) positions, of ``QUERIES`` queries at a time: table lookups first, then exact cosines."""
     subspaces, _, step = books.words.shape
     most = ((books.reach + error) ** 2 + 1e-4).astype(np.float32)
-    out = []
     for first in range(0, len(queries), QUERIES):
         x = queries[first : first + QUERIES]
         rest = x - centre
@@ -127,17 +128,17 @@ def links(books: Books, queries: np.ndarray, centre: np.ndarray, vectors: np.nda
         for i in range(subspaces):
             far += _squares(books.words[i], rest[:, i * step : (i + 1) * step]).astype(np.float32)[codes[:, i]]
         v, q = np.nonzero(far <= most[:, None])
+        keep = np.zeros(len(q), bool)
         for at in range(0, len(q), 1 << 15):
             a, b = q[at : at + (1 << 15)], v[at : at + (1 << 15)]
-            keep = np.einsum("ij,ij->i", x[a], vectors[b]) >= books.cosine
-            out.append((a[keep] + first, b[keep]))
-    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, int), np.zeros(0, int))
+            keep[at : at + (1 << 15)] = np.einsum("ij,ij->i", x[a], vectors[b]) >= books.cosine
+        yield q[keep] + first, v[keep]
 
 
-def _spanning(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray) -> list[tuple[int, int]]:
-    """Links enough to keep what these links connect: each vector to the smallest id it reaches in the block."""
-    ids, at = np.unique(np.concatenate([qid[q], vid[v]]), return_inverse=True)
-    a, b = at[: len(q)], at[len(q) :]
+def _spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links enough to keep what the links (u, v) connect: each id to the smallest one that it reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
     label = np.arange(len(ids))
     while True:
         low = np.minimum(label[a], label[b])
@@ -148,7 +149,36 @@ def _spanning(q: np.ndarray, v: np.ndarray, qid: np.ndarray, vid: np.ndarray) ->
         if np.array_equal(new, label):
             break
         label = new
-    return [(int(ids[i]), int(ids[k])) for i, k in enumerate(label.tolist()) if i != k]
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[other], ids[label[other]]
+
+
+class Side(NamedTuple):
+    """Members of one side of a cell."""
+
+    node: np.ndarray
+    copies: np.ndarray
+    units: np.ndarray
+    codes: np.ndarray
+    error: np.ndarray
+
+
+def compare(books: Books, ours: Side, theirs: Side, centre: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Copies linked with each of our and their members, and links (two arrays of nodes) that span what is connected.
+
+    ``same``: both sides are the same members; each link is then met from either end.
+    """
+    counts = np.zeros(len(ours.node)), np.zeros(len(theirs.node))
+    spans = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for q, v in links(books, ours.units, centre, theirs.units, theirs.codes, theirs.error):
+        other = ours.node[q] != theirs.node[v]
+        q, v = q[other], v[other]
+        np.add(counts[0], np.bincount(q, theirs.copies[v], len(ours.node)), out=counts[0])
+        if not same:
+            np.add(counts[1], np.bincount(v, ours.copies[q], len(theirs.node)), out=counts[1])
+        if len(q):
+            spans = _spanning(np.concatenate([spans[0], ours.node[q]]), np.concatenate([spans[1], theirs.node[v]]))
+    return *counts, *spans
 
 
 def _packed(x: list | None) -> bytes | None:
@@ -163,14 +193,22 @@ def _packed(x: list | None) -> bytes | None:
     return small.tobytes() if np.array_equal(small.astype("<f8"), v) else v.tobytes()
 
 
+def _rows(packed: bytes, n: int) -> list[bytes]:
+    """A pack's vectors one by one."""
+    size = len(packed) // n
+    return [packed[i * size : (i + 1) * size] for i in range(n)]
+
+
 def _units(packed: list[bytes], dims: int) -> np.ndarray:
     """Unit vectors in double precision."""
     v = np.array([np.frombuffer(p, "<f4" if len(p) == 4 * dims else "<f8") for p in packed], float).reshape(-1, dims)
+    if not len(v):
+        return v
     v = v / np.abs(v).max(1, keepdims=True)  # so that no square is lost to the range of a double
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``table``: ``vec_id, n_links, component_id, kept``.
 
     ``n_links`` counts the other rows with a cosine of at least ``cosine``; a vector
@@ -179,7 +217,8 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
     ``component_id`` is the smallest id reachable by links; rows that repeat an id
     share a component. A row with a null id counts as a link of others, has a null
     component and is kept. An empty table gives an empty table; other columns are
-    ignored.
+    ignored. ``block_bytes`` bounds what a task compares at once and so sets the number
+    of lists; the result doesn't depend on it.
     """
     spark = table.sparkSession
     bound_batches(spark)
@@ -197,11 +236,12 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
     # equal vectors are one entry, known by a digest of their numbers
     some = made.where("raw is not null").withColumn("key", F.unhex(F.md5("raw")))
     entries = some.groupBy("key", "dims").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.first("raw").alias("raw"))
-    entries = work.put(entries.withColumn("node", F.xxhash64("key", "dims")), "entries")
+    # numbered as they are written: no two entries share a number
+    entries = work.put(entries.withColumn("node", F.monotonically_increasing_id()), "entries")
     totals = {int(r["dims"]): int(r["n"]) for r in entries.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # a row for each length of vector
     found = None
     for dims, n in sorted(totals.items()):
-        one = _linked(entries.where(F.col("dims") == dims), dims, n, cosine, work)
+        one = _linked(entries.where(F.col("dims") == dims), dims, n, cosine, work, block_bytes)
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = spark.createDataFrame([], "node long, copies_linked long, other long")
@@ -210,7 +250,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
     ids = entries.select("key", "dims", "node", "least", "copies")
     pairs = found.where("other is not null").select("node", "other")
     # links between entries as links between ids; an entry whose rows all lack an id goes by a negative stand-in
-    stand = ids.select("node", F.coalesce("least", F.lit(-1) - F.abs(F.col("node") % (1 << 62)) - (1 << 61)).alias("id"))
+    stand = ids.select("node", F.coalesce("least", F.lit(-(1 << 62)) - F.col("node")).alias("id"))
     edges = pairs.join(stand, "node").withColumnRenamed("id", "u").drop("node").join(stand.withColumnRenamed("node", "other"), "other").select("u", F.col("id").alias("v"))
     several = some.groupBy("vec_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("vec_id")
     repeats = some.join(several, "vec_id", "left_semi").join(ids, ["key", "dims"]).select(F.col("vec_id").alias("u"), F.col("least").alias("v"))
@@ -222,55 +262,77 @@ def near_duplicates(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
-def _linked(entries: DataFrame, dims: int, n: int, cosine: float, work: Workspace) -> DataFrame:
+_PACK = "lo int, hi int, second boolean, n int, node binary, copies binary, raw binary, code binary, error binary"
+
+
+def _linked(entries: DataFrame, dims: int, n: int, cosine: float, work: Workspace, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``node, copies_linked`` sums, and ``node, other`` links that span the components."""
     spark = entries.sparkSession
-    sample = entries.orderBy("node").limit(SAMPLE_ROWS).select("raw").toArrow().column("raw").to_pylist()
-    shared = spark.sparkContext.broadcast(fit(_units(sample, dims), min(MOST_LISTS, max(1, 2 * n // BLOCK)), cosine))
+    block = max(256, block_bytes // (8 * dims))
+    sample = entries.orderBy("key").limit(SAMPLE_ROWS).select("raw").toArrow().column("raw").to_pylist()
+    shared = spark.sparkContext.broadcast(fit(_units(sample, dims), min(MOST_LISTS, max(1, -(-n // block))), cosine))
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch, the members that one pair of lists has on one side, as one row."""
         books = shared.value
         for batch in batches:
-            if batch.num_rows:
-                x = _units(batch.column("raw").to_pylist(), dims)
-                near, codes, error = encode(books, x)
-                lists = [np.flatnonzero(r).astype(np.int32) for r in probes(books, x)]
-                own = [batch.column(c) for c in ("node", "copies", "raw")]
-                made = [pa.array(near, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(lists, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*own, *made], names=["node", "copies", "raw", "list", "code", "error", "asks"])
-
-    fields = "node long, copies long, raw binary, list int, code binary, error double, asks array<int>"
-    index = work.put(entries.select("node", "copies", "raw").mapInArrow(lean(placed), fields), f"index{dims}")
-    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))  # at most a row for each list
-    stored = index.join(F.broadcast(sizes), "list").withColumn("block", F.col("list") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("blocks")))
-    blocks = work.put(stored.groupBy("block", "list").agg(F.collect_list(F.struct("node", "copies", "raw", "code", "error")).alias("held")), f"blocks{dims}")
-    asked = stored.select("block", F.explode("asks").alias("list")).distinct()
-    met = asked.join(blocks.select("list", F.col("block").alias("other")), "list").select(F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")).distinct()
-    met = work.put(met, f"pairs{dims}")
+            if not batch.num_rows:
+                continue
+            raw = batch.column("raw").to_pylist()
+            x = _units(raw, dims)
+            near, codes, error = encode(books, x)
+            row, other = np.nonzero(probes(books, x))
+            lo, hi = np.minimum(near[row], other), np.maximum(near[row], other)
+            second = (near[row] == hi) & (lo < hi)
+            order = np.lexsort((row, second, hi, lo))
+            row, lo, hi, second = row[order], lo[order], hi[order], second[order]
+            at = np.flatnonzero(np.concatenate([[True], (np.diff(lo) != 0) | (np.diff(hi) != 0) | (second[1:] != second[:-1])]))
+            wide = any(len(r) != 4 * dims for r in raw)
+            numbers = np.array([np.frombuffer(r, "<f4" if len(r) == 4 * dims else "<f8") for r in raw], "<f8" if wide else "<f4")
+            held = (batch.column("node").to_numpy(), batch.column("copies").to_numpy(), numbers, codes, error)
+            groups = [row[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(row)], strict=True)]
+            blobs = [pa.array([values[g].tobytes() for g in groups], pa.binary()) for values in held]
+            front = [pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32()), pa.array(second[at]), pa.array([len(g) for g in groups], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*front, *blobs], names=["lo", "hi", "second", "n", "node", "copies", "raw", "code", "error"])
+
+    packs = work.put(entries.select("node", "copies", "raw").mapInArrow(lean(packed), _PACK).withColumn("pack", F.monotonically_increasing_id()), f"packs{dims}")
+    blocks = lambda side: F.greatest(F.ceil(F.sum(F.when(side, F.col("n"))) / block), F.lit(1)).cast("int")
+    sizes = packs.groupBy("lo", "hi").agg(blocks(~F.col("second")).alias("firsts"), blocks(F.col("second")).alias("seconds"))
+    sizes = work.put(sizes.where("lo = hi or seconds is not null and firsts is not null"), f"sizes{dims}")  # both sides have members
+    own = F.pmod(F.xxhash64("pack"), F.when(F.col("second"), F.col("seconds")).otherwise(F.col("firsts"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda a, b, second: F.struct(a.alias("a"), b.alias("b"), second.alias("second"))
+    cells = (
+        F.when(F.col("lo") == F.col("hi"), F.transform(upto(F.col("firsts")), lambda j: cell(F.least(j, "own"), F.greatest(j, "own"), j < F.col("own"))))
+        .when(F.col("second"), F.transform(upto(F.col("firsts")), lambda j: cell(j, F.col("own"), F.lit(True))))
+        .otherwise(F.transform(upto(F.col("seconds")), lambda j: cell(F.col("own"), j, F.lit(False))))
+    )
+    dealt = packs.join(sizes, ["lo", "hi"]).withColumn("own", own).withColumn("cell", F.explode(cells))
+    held = dealt.groupBy("lo", "hi", "cell.a", "cell.b").agg(F.collect_list(F.struct("cell.second", "node", "copies", "raw", "code", "error")).alias("held"))
+
+    def side(held: pa.StructArray, second: bool) -> Side:
+        own = held.filter(pc.equal(held.field("second"), second))
+        joined = {c: b"".join(own.field(c).to_pylist()) for c in ("copies", "node", "code", "error")}
+        raw = [r for r, k in zip(own.field("raw").to_pylist(), own.field("node").to_pylist(), strict=True) for r in _rows(r, len(k) // 8)]
+        node = np.frombuffer(joined["node"], np.int64)
+        codes = np.frombuffer(joined["code"], np.uint8).reshape(len(node), shared.value.words.shape[0])
+        return Side(node, np.frombuffer(joined["copies"], np.int64), _units(raw, dims), codes, np.frombuffer(joined["error"], np.float64))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
-                same = batch.column("a")[k].as_py() == batch.column("b")[k].as_py()
-                ours, theirs = batch.column("ours")[k].values, batch.column("theirs")[k].values
-                x = _units(ours.field("raw").to_pylist(), dims)
-                y = x if same else _units(theirs.field("raw").to_pylist(), dims)
-                codes = np.frombuffer(b"".join(theirs.field("code").to_pylist()), np.uint8).reshape(len(y), -1)
-                xid, yid = ours.field("node").to_numpy(), theirs.field("node").to_numpy()
-                q, v = links(books, x, books.centres[batch.column("list")[k].as_py()], y, codes, theirs.field("error").to_numpy())
-                other = xid[q] != yid[v]
-                q, v = q[other], v[other]
-                sums = [(xid, np.bincount(q, theirs.field("copies").to_numpy()[v], len(xid)))]
-                if not same:  # a block beside itself has each link in both directions already
-                    sums.append((yid, np.bincount(v, ours.field("copies").to_numpy()[q], len(yid))))
-                spans = _spanning(q, v, xid, yid)
-                nodes = np.concatenate([*[i[c > 0] for i, c in sums], np.array([s for s, _ in spans], np.int64)])
-                counted = np.concatenate([c[c > 0] for _, c in sums]).astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes), pa.array([*counted, *[None] * len(spans)], pa.int64()), pa.array([*[None] * len(counted), *[t for _, t in spans]], pa.int64())],
-                    names=["node", "copies_linked", "other"],
-                )
-
-    sides = met.join(blocks.select(F.col("block").alias("a"), F.col("held").alias("ours")), "a").join(blocks.select(F.col("block").alias("b"), "list", F.col("held").alias("theirs")), "b")
-    return sides.select("a", "b", "list", "ours", "theirs").mapInArrow(lean(searched), "node long, copies_linked long, other long")
+                lo, hi, a, b = (batch.column(c)[k].as_py() for c in ("lo", "hi", "a", "b"))
+                members, same = batch.column("held")[k].values, lo == hi and a == b
+                ours = side(members, False)
+                theirs = ours if same else side(members, True)
+                if not len(ours.node) or not len(theirs.node):
+                    continue
+                n_ours, n_theirs, u, v = compare(books, ours, theirs, books.centres[hi], same)
+                ends = [(s.node[c > 0], c[c > 0].astype(np.int64)) for s, c in ((ours, n_ours), (theirs, n_theirs))]
+                nodes, counted = np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
+                blank = pa.nulls(len(nodes), pa.int64()), pa.nulls(len(u), pa.int64())
+                rows = [pa.array(np.concatenate([nodes, u])), pa.concat_arrays([pa.array(counted), blank[1]]), pa.concat_arrays([blank[0], pa.array(v)])]
+                yield pa.RecordBatch.from_arrays(rows, names=["node", "copies_linked", "other"])
+
+    return held.mapInArrow(lean(searched), "node long, copies_linked long, other long")
