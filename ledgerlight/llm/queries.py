@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, html_text, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules, vectors
-from .storage import shared_folder
+from .storage import session_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +42,7 @@ def op6_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/op3-{uuid.uuid4().hex[:12]}"
+    path = session_folder(spark, "op3")
     tokenstore.write_store(_table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"), end_id=0)
     return tokenstore.read_summary(spark, path)
 
@@ -59,6 +57,11 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def benchmark_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other kind of match that op8's index gives: all words of a window close together, in any order."""
+    return decontaminate.proximity_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -79,6 +82,7 @@ QUERIES = {
     "op6_toxicity_machine": op6_toxicity_machine,
     "op7_sentencepiece_codec": op7_sentencepiece_codec,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "benchmark_proximity": benchmark_proximity,
     "op9_html_extraction": op9_html_extraction,
     "op10_url_association_rules": op10_url_association_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
