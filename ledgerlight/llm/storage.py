@@ -36,9 +36,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; whole texts of any length pass through them."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """Keep Arrow batches small; whole texts of any length pass through them.
+
+    The bounds hold when a result is computed, so they stay set in the session; smaller
+    ones of the caller stay as they are.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -57,12 +64,22 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return wrapped
 
 
+def session_folder(spark: SparkSession, name: str) -> str:
+    """A new shared folder that goes when the driver's JVM ends; results are read from it until then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return path
+
+
 class Workspace:
-    """Intermediate tables of one operator call, under one unique folder."""
+    """Intermediate tables of one operator call, under one folder of the session."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = session_folder(spark, name)
         self.n = 0
 
     def path(self, name: str) -> str:
