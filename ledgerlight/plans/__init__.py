@@ -1,6 +1,6 @@
 """Query plans; importing the package registers them all."""
 
-from . import catalog, erp, prices, review, stock, watch, web
+from . import catalog, discovery, erp, prices, review, stock, watch, web
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "erp", "prices", "review", "stock", "watch", "web"]
+__all__ = ["ORACLE_SQL", "QUERIES", "catalog", "discovery", "erp", "prices", "review", "stock", "watch", "web"]
