@@ -148,6 +148,24 @@ def spans(words: Column, longest: int = 4) -> Column:
     return F.array_distinct(F.flatten(F.array(*[of(k) for k in range(1, longest + 1)])))
 
 
+def link_matches(groups: Column, keys: Sequence[str]) -> Column:
+    """F16: whether one of a link's keys is among a name's word groups."""
+    return F.arrays_overlap(groups, F.array(*[F.lit(k) for k in keys]))
+
+
+def complete(*columns: str) -> Column:
+    """No column is NULL or blank."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & (safe_text(F.col(c)) != "")
+    return out
+
+
+def localised(c: Column) -> Column:
+    """A text in several languages as JSON: Spanish, else English; what is no JSON, or has neither, as it is."""
+    return F.coalesce(F.get_json_object(c, "$.es_ES"), F.get_json_object(c, "$.en_US"), c)
+
+
 def html_escape(c: Column) -> Column:
     """F19."""
     out = F.replace(c, F.lit("&"), F.lit("&amp;"))

@@ -54,6 +54,14 @@ def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], newest: Sequence
     return joined.select(*[F.col(k) for k in keys], *[merged(c) for c in old.columns if c not in keys])
 
 
+def inner_concat(frames: Sequence[DataFrame], key: str) -> DataFrame:
+    """Frames side by side for the keys that all of them have."""
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.join(frame, key)
+    return out
+
+
 def fingerprint(*columns: str) -> Column:
     """A digest of the columns in the order given, NULL and empty apart."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)

@@ -24,18 +24,38 @@ def heading(html):
     return F.nullif(F.trim(F.regexp_extract(html, r"(?s)<h1[^>]*>(.*?)</h1>", 1)), F.lit(""))
 
 
-def product_facts(pages: DataFrame) -> DataFrame:
-    """Name, price, currency, availability and GTIN by JSON-LD, else meta elements; VAT by the ratio to a price before tax; stock phrases and conflicts."""
-    ld, html = json_ld(F.col("html")), F.col("html")
-    field = lambda *paths: F.coalesce(*[F.get_json_object(ld, p) for p in paths])
-    price = F.coalesce(money.parse_price(field("$.offers.price", "$.offers[0].price", "$.offers.lowPrice")), money.parse_price(meta_content(html, "product:price:amount")))
-    pretax = money.parse_price(meta_content(html, "product:pretax_price:amount"))
-    yes, no = html.rlike(r"(?i)en stock|in stock|InStock"), html.rlike(r"(?i)agotado|sold out|OutOfStock")
+def _elements(json):
+    """The elements of a JSON array as texts; one text as the only one."""
+    return F.when(json.startswith("["), F.from_json(json, "array<string>")).otherwise(F.array(json))
+
+
+def product_nodes(pages: DataFrame) -> DataFrame:
+    """``page_id, variant, name, price, currency, ean, vat, availability, conflict``, a row for each product of a page (at least one).
+
+    Nodes stand alone, in a list or in ``@graph``; variants have what they lack from
+    their group, and the first offer counts. Without nodes the meta elements speak.
+    VAT is told by the ratio to a price before tax (M7); stock phrases that contradict
+    each other are a conflict (X31).
+    """
+    ld = json_ld(F.col("html"))
+    nodes = F.filter(_elements(F.coalesce(F.get_json_object(ld, "$.@graph"), ld)), lambda n: F.get_json_object(n, "$.@type").rlike('(^|")Product(Group)?("|$)'))
+    rows = pages.select("page_id", "html", F.explode_outer(nodes).alias("parent"))
+    variants = F.get_json_object("parent", "$.hasVariant")
+    rows = rows.select("page_id", "html", "parent", F.posexplode_outer(_elements(F.coalesce(variants, F.col("parent")))).alias("variant", "node"))
+    rows = rows.withColumn("variant", F.coalesce("variant", F.lit(0)))
+    offer = F.coalesce(F.get_json_object("node", "$.offers.offers[0]"), F.get_json_object("node", "$.offers[0]"), F.get_json_object("node", "$.offers"))
+    own = lambda path: F.coalesce(F.get_json_object("node", path), F.get_json_object("parent", path))
+    html = F.col("html")
+    alone = F.col("parent").isNull()  # meta elements speak for pages without nodes
+    price = F.coalesce(money.parse_price(F.get_json_object(offer, "$.price")), F.when(alone, money.parse_price(meta_content(html, "product:price:amount"))))
+    pretax = F.when(alone, money.parse_price(meta_content(html, "product:pretax_price:amount")))
+    phrases = F.concat(html, F.coalesce(F.get_json_object(offer, "$.availability"), F.lit("")))
+    yes, no = phrases.rlike(r"(?i)en stock|in stock|InStock"), phrases.rlike(r"(?i)agotado|sold out|OutOfStock")
     stock = F.when(yes & no, "unknown").when(yes, "available").when(no, "unavailable").otherwise("unknown")
-    return pages.select(
-        "page_id", F.coalesce(field("$.name"), heading(html)).alias("name"), price.alias("price"),
-        F.coalesce(field("$.offers.priceCurrency", "$.offers[0].priceCurrency"), meta_content(html, "product:price:currency")).alias("currency"),
-        codes.normalize_gtin(field("$.gtin13", "$.gtin")).alias("ean"), money.infer_vat(price, pretax).alias("vat"), stock.alias("availability"), (yes & no).alias("conflict"),
+    return rows.select(
+        "page_id", "variant", F.coalesce(own("$.name"), F.when(alone, heading(html))).alias("name"), price.alias("price"),
+        F.coalesce(F.get_json_object(offer, "$.priceCurrency"), F.when(alone, meta_content(html, "product:price:currency"))).alias("currency"),
+        codes.normalize_gtin(F.coalesce(F.get_json_object("node", "$.gtin13"), F.get_json_object("node", "$.gtin"))).alias("ean"), money.infer_vat(price, pretax).alias("vat"), stock.alias("availability"), (yes & no).alias("conflict"),
     )
 
 

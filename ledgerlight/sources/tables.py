@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,20 @@ def canonicalize(df: DataFrame, aliases: Mapping[str, Sequence[str]], required:
     return df.select(*known, *rest)
 
 
+def coerce(df: DataFrame, numbers: Sequence[str] = (), times: Sequence[str] = ()) -> DataFrame:
+    """Columns as numbers (zero where there is none) and times (NULL where there is none)."""
+    number = lambda c: F.coalesce(F.nanvl(F.trim(F.col(c).cast("string")).try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    return df.withColumns({c: number(c) for c in numbers} | {c: F.try_to_timestamp(F.col(c).cast("string")) for c in times})
+
+
+def scan(df: DataFrame, required: Sequence[str], keep: Column | None = None) -> DataFrame:
+    """A table (``spark.read.jdbc`` or a file) with the columns that must be there, and the rows to keep."""
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return df if keep is None else df.where(keep)
+
+
 def sniff_separator(spark: SparkSession, path: str) -> str:
     """Of ``; , tab`` the one that the header has most of."""
     head = spark.read.text(path).limit(1).collect()
@@ -73,10 +89,10 @@ def read_observations(spark: SparkSession, path: str) -> DataFrame:
     return observations(spark.read.schema(OBSERVATIONS).json(path, multiLine=True))
 
 
-def observations(docs: DataFrame) -> DataFrame:
-    """Offers of parsed documents; a version other than 1 gives none, an invalid code no ean."""
+def observations(docs: DataFrame, *keys: str) -> DataFrame:
+    """Offers of parsed documents with the columns ``keys``; a version other than 1 gives none, an invalid code no ean."""
     docs = docs.where(F.col("schema").endswith("/1"))
-    rows = docs.select(F.explode("observaciones").alias("o")).select("o.*")
+    rows = docs.select(*keys, F.explode("observaciones").alias("o")).select(*keys, "o.*")
     return rows.withColumn("captured_at", F.try_to_timestamp("fecha_observacion")).withColumn("ean", codes.normalize_gtin(F.col("ean_consultado")))
 
 
@@ -109,6 +125,20 @@ def robots_rules(df: DataFrame, column: str, agent: str = "*", *keys: str) -> Da
     return held.select(*keys, "rule.allow", "rule.path").orderBy(*keys, F.length("path").desc(), F.desc("allow"))
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or on this machine where it is one alone."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+    return f"{(shared or f'file:///tmp/checkpoints/{os.getuid()}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def read_groups(spark: SparkSession, path: str) -> DataFrame:
+    """``name, interval_hours, ean``, a row for each product of a watch group; a group without an interval has 24 hours."""
+    groups = spark.read.schema("name string, interval_hours int, eans array<string>").json(path)
+    return groups.select("name", F.coalesce("interval_hours", F.lit(24)).alias("interval_hours"), F.explode("eans").alias("ean"))
+
+
 def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:
     """K1, K2: semicolons, a header, one folder for each partition."""
     df.write.mode("overwrite").partitionBy(*partition_by).csv(path, sep=";", header=True, lineSep="\r\n") if partition_by else df.write.mode("overwrite").csv(path, sep=";", header=True)
