@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, money
 from ..operators import keyed
-from ..sources import tables
+from ..sources import sheets, tables
 from . import web
 from .registry import Tables, query
 from .views import OFFERS, offers, products
@@ -133,6 +133,44 @@ def _robots(t: Tables) -> DataFrame:
     return tables.robots_rules(sites, "robots", "ledger", "site").select("site", "allow", "path")
 
 
+@query(
+    "K3_sheets",
+    """SELECT p_brand, CAST((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 30 AS INTEGER) AS sheet, lpad(CAST(p_partkey AS VARCHAR), 13, '0') AS ean, p_name || ' <&> "ñ"' AS nombre, CASE WHEN p_size % 4 > 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS stock FROM part""",
+)
+def _sheets(t: Tables) -> DataFrame:
+    """Workbooks of at most 30 products for each brand, read back by their header; zeros, signs and empty cells survive."""
+    stock = F.when(F.col("p_size") % 4 > 0, F.col("p_size"))
+    rows = t.part.select("p_brand", "p_partkey", F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("EAN"), F.concat("p_name", F.lit(' <&> "ñ"')).alias("Nombre"), stock.alias("Stock"))
+    back = sheets.read_sheets(sheets.as_sheets(rows, "p_brand", "p_partkey", 31), ["ean", "stock"], "p_brand", "sheet")
+    return back.select("p_brand", "sheet", F.col("cells")["EAN"].alias("ean"), F.col("cells")["Nombre"].alias("nombre"), F.col("cells")["Stock"].alias("stock"))
+
+
+@query(
+    "K4_archives",
+    "SELECT n_regionkey, n_name || '.csv' AS name, CAST(length(n_name || ';' || CAST(n_nationkey AS VARCHAR)) AS INTEGER) AS size, sha256(n_name || ';' || CAST(n_nationkey AS VARCHAR)) AS digest FROM nation",
+)
+def _archives(t: Tables) -> DataFrame:
+    """K4: an archive for each region, read back."""
+    text = F.concat_ws(";", "n_name", F.col("n_nationkey").cast("string"))
+    made = sheets.as_zip(t.nation.select("n_regionkey", F.concat("n_name", F.lit(".csv")).alias("name"), text.cast("binary").alias("content")), "n_regionkey")
+    return sheets.read_zip(made, "n_regionkey").select("n_regionkey", "name", F.length("content").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+@query("R1_polled_batches", "SELECT event_type, CAST(count(*) AS BIGINT) AS handled, true AS beaten FROM events GROUP BY event_type")
+def _polled(t: Tables) -> DataFrame:
+    """A polled source; each batch is handled once and leaves a heartbeat."""
+    from ..streaming.alerts import poll
+
+    source, done, beats = (tables.scratch(t.spark, name) for name in ("events", "handled", "beats"))
+    t.events.select("event_id", "event_type").repartition(3).write.parquet(source)
+    stream = t.spark.readStream.schema("event_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(source)
+    poll(stream, lambda batch, _: batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(done), beats, tables.scratch(t.spark, "progress"), once=True).awaitTermination()
+    handled = t.spark.read.parquet(done).groupBy("event_type").agg(F.sum("n").alias("handled"))
+    seen = t.spark.read.parquet(beats).agg(F.sum("rows").alias("rows"), (F.count_distinct("batch") == F.count("*")).alias("each")).first()
+    total = t.events.count()
+    return handled.withColumn("beaten", F.lit(bool(seen["each"]) and seen["rows"] == total))
+
+
 # --- product pages -----------------------------------------------------------
 
 

@@ -38,7 +38,8 @@ comparable AS (SELECT l.ean, l.competitor_id, l.price, l.captured_at, p.brand, p
 
 def comparable(t: Tables) -> DataFrame:
     """§2.10: the latest exact offer of each pair, and only then whether it can be compared."""
-    latest = keyed.latest_per_key(offers(t).where("exact"), ["ean", "competitor_id"], "captured_at", "id")
+    # dealt by ean once, for the latest of each pair, the products and the groups by ean that follow
+    latest = keyed.latest_per_key(offers(t).where("exact").repartition("ean"), ["ean", "competitor_id"], "captured_at", "id")
     usable = latest.where("available and vat").select("ean", "competitor_id", "price", "captured_at")
     joined = usable.join(products(t).where("own_price > 0").select("ean", "brand", "name", "own_price"), "ean")
     return joined.withColumn("difference_pct", (F.col("price") - F.col("own_price")) / F.col("own_price") * 100)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -41,6 +42,21 @@ def changes(samples: DataFrame, key: str, value: str, at: str, threshold: float
     return rows.groupBy(key).applyInPandasWithState(run, out, "seconds double, value double", "append", GroupStateTimeout.NoTimeout)
 
 
+def poll(stream: DataFrame, handle: Callable[[DataFrame, int], None], beats: str, progress: str, every: str = "5 minutes", once: bool = False) -> StreamingQuery:
+    """``handle`` each batch of a source that is asked ``every`` so often (or ``once``), then note ``batch, at, rows`` at the path ``beats``.
+
+    The query resumes from ``progress``; a batch that fails is handled again, so
+    ``handle`` must be able to repeat one (as :func:`claim` is).
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        handle(batch, number)
+        batch.agg(F.lit(number).alias("batch"), F.current_timestamp().alias("at"), F.count("*").alias("rows")).write.mode("append").parquet(beats)
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", progress)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+
 def claim(orders: DataFrame, claims: DataFrame, now: int, lease: int = 600, most: int = 5) -> DataFrame:
     """The claim table after one pass: free, failed and expired orders are taken, sent ones never, exhausted ones stay.
 

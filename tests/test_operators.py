@@ -1,12 +1,14 @@
 import datetime as dt
+import io
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import keyed, ledger, ranks, series
 from ledgerlight.plans import erp, stock
-from ledgerlight.sources import tables
+from ledgerlight.sources import sheets, tables
 from ledgerlight.streaming import alerts
 
 DAY = dt.datetime(2025, 1, 1)
@@ -211,3 +213,18 @@ def test_rules_without_a_brand_all_count(spark):
     catalog = spark.createDataFrame([("1", "b", "Cat", "a ring")], "ean string, brand string, category string, name string")
     rules = spark.createDataFrame([(i, None, "cat" if i % 2 else None, "RING" if i % 3 else None) for i in range(1500)], "rule int, brand string, category string, part string")
     assert sorted(r.rule for r in watch.matching_rules(catalog, rules).collect()) == list(range(1500))
+
+
+def test_sheets_of_other_programs(spark):
+    """Shared strings, numbers, gaps, a title above the header, blank headers and rows."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>EAN</t></si><si><r><t>Sto</t></r><r><t>ck</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Informe</t></is></c></row><row r="2"><c r="B2" t="s"><v>0</v></c><c r="AA2" t="s"><v>1</v></c></row><row r="3"><c r="B3"><v>12</v></c><c r="C3"><v>9</v></c></row><row r="4"/><row r="5"><c r="AA5"><v>3.5</v></c></row></sheetData></worksheet>')
+    files = spark.createDataFrame([(7, out.getvalue())], "id int, content binary")
+    got = [(r.id, r.row, r.cells) for r in sheets.read_sheets(files, ["stock", "ean"], "id").collect()]
+    assert got == [(7, 3, {"EAN": "12", "Stock": ""}), (7, 5, {"EAN": "", "Stock": "3.5"})]
+    with pytest.raises(Exception, match="no header with precio"):
+        sheets.read_sheets(files, ["precio"]).collect()
+    assert list(sheets.cells(sheets.workbook(["a", "b"], iter([["1", None], ["", "x\x07y"]])))) == [["a", "b"], ["1"], ["", "xy"]]
