@@ -386,18 +386,18 @@ def _sound(spark: SparkSession, path: str) -> DataFrame:
     A damaged or lost recipe spoils its part; a lost part, or a manifest that doesn't
     agree with itself, spoils all.
     """
-    told = spark.read.parquet(f"{path}/manifest")
-    now = _parts(spark.read.parquet(f"{path}/recipes"))
-    both = told.join(now.select("part", *[F.col(c).alias(f"{c}_now") for c in ("docs", "ids", "root")]), "part", "full")
-    every = Window.partitionBy(F.lit(0))  # of manifest rows
+    now = _parts(spark.read.parquet(f"{path}/recipes")).select("part", *[F.col(c).alias(f"{c}_now") for c in ("docs", "ids", "root")])
+    both = Workspace(spark, "verify").put(spark.read.parquet(f"{path}/manifest").join(now, "part", "full"), "parts")
     part = F.col("part") >= 0
-    both = both.withColumn("missing", F.max(part & (F.col("docs").isNull() | F.col("docs_now").isNull())).over(every))
-    both = both.withColumn("sums", F.sum(F.when(part, F.col("ids"))).over(every)).withColumn("before", F.sum(F.when(part, F.col("ids"))).over(every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    both = both.withColumn("roots", F.collect_list(F.when(part, F.struct("part", "root"))).over(every))
-    both = both.withColumn("whole", F.max(F.when(F.col("part") == -1, F.struct("ids", "root"))).over(every)).where(part)
+    told = both.agg(
+        F.bool_or(part & (F.col("docs").isNull() | F.col("docs_now").isNull())).alias("missing"), F.sum(F.when(part, F.col("ids"))).alias("ids"),
+        F.collect_list(F.when(part, F.struct("part", "root"))).alias("roots"), F.max(F.when(F.col("part") == -1, F.struct("ids", "root"))).alias("whole"),
+    )
+    agree = ~F.col("missing") & (F.col("whole.ids") == F.coalesce("ids", F.lit(0))) & (F.col("whole.root") == _digest(F.col("roots"), "root"))
+    whole = bool(told.select(agree).first()[0])
+    before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     own = (F.col("docs") == F.col("docs_now")) & (F.col("ids") == F.col("ids_now")) & (F.col("root") == F.col("root_now")) & (F.col("base") == F.coalesce("before", F.lit(0)))
-    whole = (F.col("whole.ids") == F.col("sums")) & (F.col("whole.root") == _digest(F.col("roots"), "root"))
-    return both.select("part", "base", F.coalesce(~F.col("missing") & own & whole, F.lit(False)).alias("sound"))
+    return both.where(part).withColumn("before", before).select("part", "base", F.coalesce(own & F.lit(whole), F.lit(False)).alias("sound"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -354,6 +354,17 @@ def test_minhash_in_a_large_group_of_edited_copies(spark):
     check_near(docs, minhash.near_duplicates(frame).collect(), 5, 80, 100)
 
 
+def test_minhash_of_texts_from_a_few_templates(spark):
+    """All shingles of many different texts are common: each takes most of its sentences from one pool of a template's."""
+    rng = random.Random(11)
+    pools = [[" ".join(f"t{k}s{i}w{j}" for j in range(6)) for i in range(26)] for k in range(3)]
+    docs = [(i, " ".join(sorted(rng.sample(pools[i % 3], 20)))) for i in range(330)]
+    docs += [(1000 + i, " ".join(sorted(rng.sample(pools[0], 10) + rng.sample(pools[1], 10)))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    check_near(docs, minhash.near_duplicates(frame, minhash.Shingling(width=3, num=85)).collect(), 3, 85, 100)
+    check_near(docs, minhash.near_duplicates(frame).collect(), 5, 80, 100)
+
+
 def test_minhash_of_an_empty_table(spark, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0 and minhash.one_of_each(no_docs).columns == no_docs.columns
 
@@ -397,6 +408,83 @@ def test_parts_are_reported_only_together():
     assert token not in secrets.redacted(linked, spans) and "maria" not in secrets.redacted(linked, spans)
 
 
+def base_by_brute_force(text):
+    """The three patterns read sign by sign; kinds by their place in the list."""
+    out, value = [], frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = text.translate(LOWER)
+
+    def skip(i, signs, most=None):
+        n = 0
+        while i < len(text) and text[i] in signs and (most is None or n < most):
+            i, n = i + 1, n + 1
+        return i
+
+    i = 0
+    while i < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if low.startswith(word, i):
+                at = skip(skip(i + len(word), "\"'", 1), " ")
+                if at < len(text) and text[at] in ":=":
+                    first = skip(skip(at + 1, " "), "\"'", 1)
+                    last = skip(first, value)
+                    if last > first:
+                        end = last
+                        if last - first >= 6:
+                            out.append((i, 0, last))
+                break
+        i = end or i + 1
+    for kind, head, signs, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            end = skip(i + len(head), signs) if text.startswith(head, i) else i
+            if end > i + len(head):
+                if end - i >= least:
+                    out.append((i, kind, end))
+                i = end
+            else:
+                i += 1
+    return sorted(out)
+
+
+def linked_by_brute_force(text, base):
+    """Every part against every other: a token or secret in reach of an identifier or an endpoint, in one paragraph."""
+    breaks = [m.end() for m in secrets.SCOPE.finditer(text)]
+    paragraph = lambda i: sum(b <= i for b in breaks)
+    parts = [(m.start(), 3, m.end()) for m in secrets.IDENTIFIER.finditer(text)] + [(m.start(), 5, m.end()) for m in secrets.ENDPOINT.finditer(text)]
+    parts += [(m.start(), 4, m.end()) for m in secrets.TOKEN.finditer(text) if secrets.looks_random(m[0])]
+
+    def near(a, b):
+        """Whether b reaches into what a reaches over."""
+        first, last = max(a[0] - secrets.REACH, ([0, *breaks])[paragraph(a[0])]), min(a[2] + secrets.REACH, [*breaks, len(text) + 1][paragraph(a[0])])
+        return b[0] < last and b[2] > first
+
+    secret = [x for x in parts if x[1] == 4] + [x for x in base if x[1] != 1]
+    who = [x for x in parts if x[1] != 4] + [x for x in base if x[1] == 1]
+    told = [s for s in secret if any(near(s, w) for w in who)]
+    keep = [x for x in parts if (x[1] == 4 and x[0] in {s[0] for s in told}) or (x[1] != 4 and any(near(x, s) for s in told))]
+    return sorted(x for x in keep if not any(b[0] < x[2] and b[2] > x[0] for b in base))
+
+
+def test_secrets_of_the_query_against_brute_force(spark, data):
+    rng = random.Random(3)
+    bits = ["login: maria", "q7Zk3PpX9vLw2TnB8sRd4FyC", "https://db.example.com:5432/x", "host=db1", "\n\n", " \n \n", "word " * 60, "password: hunter22", "AKIA" + "Q7" * 9, "deadbeef" * 3, "token='x'", "api_key = a.b-c=d", "ñ€😀", "user:ab", "x" * 300, "0" * 30]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    for text in texts:
+        base = [tuple(b) for b in secrets.base_spans(text)]
+        assert base == base_by_brute_force(text)
+        assert sorted(tuple(x) for x in secrets.linked_spans(text, secrets.base_spans(text))) == linked_by_brute_force(text, base)
+    told = {i: t or "" for i, t in documents(spark, data)}
+    rows = queries.op5_secret_scan(spark, data).collect()
+    assert len(rows) == len(told)
+    spell = lambda spans: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    for r in rows:
+        base = base_by_brute_force(told[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, k, _ in base) for kind in range(3))
+        assert r.base_sha256 == hashlib.sha256(spell(base).encode()).hexdigest()
+        assert r.spans == spell(sorted(base + linked_by_brute_force(told[r.doc_id], base)))
+
+
 # --- 7 -----------------------------------------------------------------------
 
 
@@ -416,13 +504,13 @@ def test_pieces_against_the_library(spark, odd_docs, data):
         assert (r.n_tokens, r.decoded) == (len(r.ids), c.library.decode(c.library.encode(r.text or "")))
 
 
-def test_longest_prefix_in_a_character_map():
-    """A double array built here by the published layout, for the keys a, ab and é."""
-    keys = {b"a": b"X", b"ab": b"YZ", "é".encode(): b"e"}
-    values = b"".join(v + b"\0" for v in keys.values())
-    at = {k: values.index(v + b"\0") for k, v in keys.items()}
-    units, place = [0] * 4096, {b"": 0}
+def character_map(keys):
+    """A compiled map by the published layout: a double array over the keys, and their replacements."""
+    values, at = b"", {}
+    for k, v in keys.items():
+        at[k], values = len(values), values + v + b"\0"
     prefixes = sorted({k[:i] for k in keys for i in range(len(k) + 1)}, key=len)
+    units, place = [0] * (256 * (len(prefixes) + 2)), {b"": 0}
     for n, p in enumerate(prefixes):
         base, node = 256 * (n + 1), place[p]
         units[node] |= (base ^ node) << 10
@@ -432,13 +520,48 @@ def test_longest_prefix_in_a_character_map():
         for b in {k[len(p)] for k in keys if len(k) > len(p) and k.startswith(p)}:
             units[base ^ b] |= b
             place[p + bytes([b])] = base ^ b
-    blob = (4 * len(units)).to_bytes(4, "little") + b"".join(u.to_bytes(4, "little") for u in units) + values
+    return (4 * len(units)).to_bytes(4, "little") + b"".join(u.to_bytes(4, "little") for u in units) + values
+
+
+def with_character_map(model, blob, squeeze):
+    """The model file with another normalizer message: this map, a dummy prefix, and white space squeezed or not."""
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    field = lambda number, value: varint(number << 3 | 2) + varint(len(value)) + value
+    own = field(1, b"test") + field(2, blob) + bytes([0x18, 1, 0x20, squeeze, 0x28, 1])
+    return b"".join(field(n, own if n == 3 else v) for n, v in pieces._fields(model) if isinstance(v, bytes))
+
+
+def test_longest_prefix_in_a_character_map():
+    blob = character_map({b"a": b"X", b"ab": b"YZ", "é".encode(): b"e"})
     m = pieces.CharsMap(blob)
     assert m.longest_prefix(b"abc", 0) == (2, b"YZ") and m.longest_prefix(b"ac", 0) == (1, b"X") and m.longest_prefix(b"zz", 0) is None
     norm = pieces.Normalizer(pieces.NormalizerSpec(blob, False, True, True))("  ab é")
     assert norm.text.decode() == "YZ▁e" and norm.origin[:2] == [2, 2] and norm.origin[-2:] == [5, 7]
 
 
+@pytest.mark.parametrize("squeeze", [True, False])
+def test_spans_of_a_model_with_a_character_map(spark, tmp_path, squeeze):
+    """Prefixes that grow, shrink, vanish, become spaces or contain one another; the library's offsets are the measure."""
+    keys = {"ﬁ": "fi", "½": "1⁄2", "Å": "å", "\t": " ", "　": " ", "A": "a", "AB": "xyz", "\u200b": "", "é": "e", "¨": " u"}
+    blob = character_map({k.encode(): v.encode() for k, v in keys.items()})
+    with open(queries.tokenizer_file("piece_bpe_32k.model"), "rb") as f:
+        (tmp_path / "own.model").write_bytes(with_character_map(f.read(), blob, squeeze))
+    c = pieces.Codec(str(tmp_path / "own.model"))
+    rng = random.Random(1)
+    texts = ["".join(rng.choice([*keys, " ", "  ", "the", "cat", "中", "\n", "z"]) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["  ", "\u200b", "\u200b \u200b"]
+    for t, e in zip(texts, c.encode_with_spans(texts), strict=True):
+        assert list(zip(e.starts, e.ends, strict=True)) == [(p.begin, p.end) for p in c.library.encode(t, return_type="proto").pieces], t
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in pieces.encode(docs, str(tmp_path / "own.model"), ("ids", "starts", "ends")).collect():
+        assert list(r.ids) == c.library.encode(r.text)
+
+
 def test_every_row_of_the_query_and_the_stage_has_its_spans(spark, data):
     import corpus_pipeline
 
@@ -449,7 +572,13 @@ def test_every_row_of_the_query_and_the_stage_has_its_spans(spark, data):
     want = {r.doc_id: [(p.begin, p.end) for p in library.encode(r.text or "", return_type="proto").pieces] for r in docs.collect()}
     got = corpus_pipeline.encode(spark, docs, data).collect()
     assert {r.doc_id: list(zip(r.starts, r.ends, strict=True)) for r in got} == want and len(got) == len(want)
-    digests = {r.doc_id + 1000: r.spans_sha256 for r in queries.op7_sentencepiece_codec(spark, data).collect()}
+    rows = queries.op7_sentencepiece_codec(spark, data).collect()
+    told = dict(documents(spark, data))
+    for r, text in ((r, told[r.doc_id] or "") for r in rows):
+        ids = library.encode(text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+    digests = {r.doc_id + 1000: r.spans_sha256 for r in rows}
     assert digests == {i: hashlib.sha256(np.array(x, "<i8").tobytes()).hexdigest() for i, x in want.items() if i >= 1000}
 
 
