@@ -111,4 +111,10 @@ m AS (SELECT DISTINCT doc_id, s, dw.n, item_id FROM dw JOIN iw ON dw.win = iw.wi
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id""",
+    "benchmark_proximity": f"""WITH dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)),
+i AS (SELECT item_id, regexp_extract_all({_ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark), win AS (SELECT item_id, s AS w, least(10, len(i.w)) AS n, list_distinct(list_slice(i.w, s + 1, s + least(10, len(i.w)))) AS ws FROM (SELECT item_id, w, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS s FROM i WHERE len(w) > 0) i),
+ww AS (SELECT item_id, w, n, len(ws) AS k, unnest(ws) AS word FROM win), c AS (SELECT doc_id, item_id, w FROM (SELECT DISTINCT doc_id, word FROM dw) JOIN ww USING (word) GROUP BY doc_id, item_id, w HAVING count(*) = any_value(k)),
+p AS (SELECT c.doc_id, c.item_id, c.w, n, k, pos, ww.word FROM c JOIN ww ON c.item_id = ww.item_id AND c.w = ww.w JOIN dw ON dw.doc_id = c.doc_id AND dw.word = ww.word),
+m AS (SELECT DISTINCT p.doc_id, p.item_id, p.w FROM p JOIN p q ON p.doc_id = q.doc_id AND p.item_id = q.item_id AND p.w = q.w AND q.pos BETWEEN p.pos AND p.pos + p.n + 4 GROUP BY p.doc_id, p.item_id, p.w, p.pos, p.k HAVING count(DISTINCT q.word) = p.k)
+SELECT doc_id, CAST(item_id AS VARCHAR) AS item_id, CAST(count(*) AS BIGINT) AS windows FROM m GROUP BY ALL""",
 }

@@ -821,6 +821,13 @@ def test_pruned_url_rules(spark):
     assert {(frozenset(r.tokens), r.label) for r in url_rules.prune(frame, words).collect()} == want
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_agree_with_their_sql(spark, data, name):
+    from compare import differences, duck
+
+    assert differences(queries.QUERIES[name](spark, data), duck(data), queries.ORACLE_SQL[name]) == ""
+
+
 # --- pipeline ----------------------------------------------------------------
 
 
