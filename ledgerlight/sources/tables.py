@@ -126,11 +126,16 @@ def robots_rules(df: DataFrame, column: str, agent: str = "*", *keys: str) -> Da
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or on this machine where it is one alone."""
+    """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or on this machine where it is one alone; it goes when the driver's JVM ends."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return f"{(shared or f'file:///tmp/checkpoints/{os.getuid()}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{(shared or f'file:///tmp/checkpoints/{os.getuid()}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    return f"{path}/rows"
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:
