@@ -27,6 +27,8 @@ from .storage import bound_batches, lean
 from .wordcache import Block, WordCache
 
 MARK = "▁"
+#: Bytes of text whose spans are made together; a dozen arrays of eight bytes for each.
+BLOCK_BYTES = 1 << 19
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -140,26 +142,24 @@ class Normalizer:
         out, origin = bytearray(), []
         squeeze = self.spec.remove_extra_whitespaces
         steps = list(self._characters(data))
-        if squeeze:
-            while steps and steps[0][2] == b" ":
-                steps.pop(0)
-            while steps and steps[-1][2] == b" ":
-                steps.pop()
-        if not steps:
+        first = next((i for i, s in enumerate(steps) if s[2] != b" "), len(steps)) if squeeze else 0
+        if first == len(steps):
             return Normalized(b"", [0])
         if self.spec.add_dummy_prefix:
             out += self.space
-            origin += [steps[0][0]] * len(self.space)
-        was_space = False
-        for start, _, new in steps:
-            for ch in new.decode("utf-8", "replace"):
-                if ch == " " and squeeze and was_space:
-                    continue
-                was_space = ch == " "
-                raw = self.space if was_space else ch.encode()
-                out += raw
-                origin += [start] * len(raw)
-        return Normalized(bytes(out), [*origin, steps[-1][0] + steps[-1][1]])
+            origin += [steps[first][0]] * len(self.space)
+        after_space, end = squeeze, len(data)
+        for start, _, new in steps[first:]:
+            if after_space:
+                new = new.lstrip(b" ")
+            raw = new.replace(b" ", self.space)
+            out += raw
+            origin += [start] * len(raw)
+            after_space = squeeze and (new.endswith(b" ") if new else after_space)
+        while squeeze and out.endswith(self.space):
+            end = origin[len(out) - len(self.space)]
+            del out[-len(self.space) :]
+        return Normalized(bytes(out), [*origin[: len(out)], end])
 
 
 class Encoded(NamedTuple):
@@ -190,7 +190,7 @@ class Codec:
         #: Words can be encoded one by one: normalisation only marks spaces, and no piece goes on after a word's end.
         self.by_word = plain and not crossing and self.mark_id != self.library.unk_id()
         self.spelled = [str(i) for i in range(n)]
-        self.cache = WordCache(self._cut, self._encode_chunks)
+        self.cache = WordCache(self._cut, self._encode_chunks, block_bytes=BLOCK_BYTES)
 
     @staticmethod
     def _cut(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from .wordhash import Slice, codes_of, slices
 
-#: Bytes of text that are cut and gathered together.
+#: Bytes of text that are cut and gathered together, unless a cache says otherwise.
 BLOCK_BYTES = 4 << 20
 #: Distinct chunks kept in a worker; beyond it the store starts anew.
 KEPT_CHUNKS = 500_000
@@ -56,8 +56,8 @@ class _Store:
 class WordCache:
     """``cut(data, offsets)`` marks chunk starts; ``encode(data, starts, ends)`` gives the library's ids of each chunk alone, and how many."""
 
-    def __init__(self, cut: Callable[[np.ndarray, np.ndarray], np.ndarray], encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: type = np.int32) -> None:
-        self.cut, self.encode, self.dtype = cut, encode, dtype
+    def __init__(self, cut: Callable[[np.ndarray, np.ndarray], np.ndarray], encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], dtype: type = np.int32, block_bytes: int = BLOCK_BYTES) -> None:
+        self.cut, self.encode, self.dtype, self.block_bytes = cut, encode, dtype, block_bytes
         self.reset()
 
     def reset(self) -> None:
@@ -92,7 +92,7 @@ class WordCache:
 
     def blocks(self, texts: pa.Array) -> Iterator[Block]:
         """The ids of all texts, some at a time; a null or empty text has none."""
-        for part in slices(texts, BLOCK_BYTES):
+        for part in slices(texts, self.block_bytes):
             data = part.data
             if not len(data):
                 yield Block(part.first, part.n, np.zeros(0, self.dtype), np.zeros(part.n + 1, np.int64))
