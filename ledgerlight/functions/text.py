@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,6 +26,11 @@ _SEVERAL = {sign: plain for span in ((0xA0, 0x24F), (0x2120, 0x2122), (0xFB00, 0
 ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value more than once and computes it once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def safe_text(c: Column) -> Column:
     """trimmed text, empty for NULL."""
     return F.coalesce(F.trim(c), F.lit(""))
@@ -38,15 +43,9 @@ def normalize_text(c: Column) -> Column:
 
 def ascii_fold(c: Column) -> Column:
     """letters by their compatibility decomposition without marks, the signs for "by" as x; what has no such ASCII form (``ø``, ``ł``) is removed."""
-    out = F.translate(F.translate(c, "□×", "xx"), ACCENTED, PLAIN)
-    several = F.when(out.rlike(f"[{''.join(_SEVERAL)}]"), _replaced(out)).otherwise(out)
-    return F.regexp_replace(several, r"[^\x00-\x7F]", "")
-
-
-def _replaced(c: Column) -> Column:
     for sign, plain in _SEVERAL.items():
         c = F.replace(c, F.lit(sign), F.lit(plain))
-    return c
+    return F.regexp_replace(F.translate(c, "□×" + ACCENTED, "xx" + PLAIN), r"[^\x00-\x7F]", "")
 
 
 def identity_key(c: Column) -> Column:
@@ -56,8 +55,7 @@ def identity_key(c: Column) -> Column:
 
 def model_key(c: Column) -> Column:
     """the identity key; ``FT`` and four digits lose a trailing S."""
-    key = identity_key(c)
-    return F.when(key.rlike("^FT[0-9]{4}S$"), F.substring(key, 1, 6)).otherwise(key)
+    return bound(identity_key(c), lambda key: F.when(key.rlike("^FT[0-9]{4}S$"), F.substring(key, 1, 6)).otherwise(key))
 
 
 def tokens(c: Column) -> Column:
