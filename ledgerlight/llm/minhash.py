@@ -25,7 +25,9 @@ together miss no link:
   similarity. Edited copies of one original have rare shingles from each edit, so
   in a large group of them few members pass. These meet the members of their
   pivot's group, one side always a member that the pivot doesn't link with, unless
-  the sizes or the triangle inequality of the Jaccard distance rule a link out.
+  the sizes or the triangle inequality of the Jaccard distance rule a link out. They
+  meet on one of their rarest shingles (which a linked pair shares, as above), or the
+  whole group with itself, whichever gives fewer rows.
 
 Copies (equal sets) are one class from the start.
 """
@@ -48,7 +50,7 @@ from .wordhash import NON_SPACE, mix, slices, words
 #: Sets that share a rare shingle at most.
 RARE = 16
 #: Rows that a task of a small table takes; the tables' row counts are known when they are dealt.
-TASK_ROWS = 200_000
+TASK_ROWS = 50_000
 
 
 class Shingling(NamedTuple):
@@ -303,22 +305,35 @@ def _links(profiles: DataFrame, texts: DataFrame, shape: Shingling, work: Worksp
     shared = _shared_shingles(sets, members.select("rep", "n")).withColumn("shared", F.count("*").over(per))
     shared = shared.withColumn("common", F.count_if(F.col("f") > RARE).over(per)).withColumn("place", F.row_number().over(per.orderBy("f", "h")))
     need = F.ceil(F.col("n") * shape.num / shape.den)
-    rare = (F.col("f") <= RARE) & (F.col("place") <= F.col("shared") - need + 1)
-    marked = work.put(shared.where(rare | (F.col("place") == 1)).select("h", rare.alias("rare"), "rep", "common").coalesce(4 * tasks), "marked")
+    first_ones = F.col("place") <= F.col("shared") - need + 1
+    rare = (F.col("f") <= RARE) & first_ones
+    able = F.col("common") >= need  # shingles that are common enough to link by them alone
+    marked = shared.where(rare | (first_ones & able) | (F.col("place") == 1)).select("h", rare.alias("rare"), (first_ones & ~rare & able).alias("often"), "rep", "common", able.alias("able"))
+    marked = work.put(marked.coalesce(4 * tasks), "marked")
     rows = marked.where("rare").select("h", "rep").join(members, "rep")
     other = rows.select("h", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label")])
     alike = rows.join(other, "h").where((F.col("rep") > F.col("rep2")) & (F.col("label") != F.col("label2")) & _similar_size(shape, "n", "n2"))
     pairs = alike.select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
 
-    # a row of each set whose shingles are common enough
-    common = marked.select("rep", "common").distinct().join(members.select("rep", "n"), "rep").where(F.col("common") >= need).select("rep", "common")
-    able = state.join(common, "rep")
-    other = able.select("pivot", *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "gap", "common")])
-    apart = F.abs(F.col("gap") - F.col("gap2")) > 1 - shape.num / shape.den + 1e-9
-    enough = F.least("common", "common2") * (shape.num + shape.den) >= (F.col("n") + F.col("n2")) * shape.num
-    meet = able.where("open").join(other, "pivot").where(
-        (F.col("rep") != F.col("rep2")) & (F.col("label") != F.col("label2")) & _similar_size(shape, "n", "n2") & enough & ~F.coalesce(apart, F.lit(False))
-    )
-    pairs = pairs.unionByName(meet.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))).distinct()
+    # sets with common shingles enough meet within their pivot's group, and there only on one of their rarest
+    # shingles where that gives fewer rows than the whole group with itself
+    able = work.put(state.join(marked.where("able").select("rep", "common").distinct(), "rep").coalesce(tasks), "able")
+    keyed = work.put(able.join(marked.where("often").select("rep", "h"), "rep").coalesce(4 * tasks), "keyed")
+    square = lambda name: F.sum(F.col("f") * F.col("f")).alias(name)
+    whole = able.groupBy("pivot").agg(F.count("*").alias("f")).groupBy("pivot").agg(square("whole"))
+    split = keyed.groupBy("pivot", "h").agg(F.count("*").alias("f")).groupBy("pivot").agg(square("split"))
+    ways = work.put(whole.join(split, "pivot", "left").select("pivot", (F.coalesce("split", F.lit(0)) < F.col("whole")).alias("by_key")), "ways")
+
+    def meet(rows: DataFrame, by_key: bool, *on: str) -> DataFrame:
+        rows = rows.join(ways.where(F.col("by_key") == by_key).select("pivot"), "pivot", "left_semi")
+        other = rows.select(*on, *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "gap", "common")])
+        apart = F.abs(F.col("gap") - F.col("gap2")) > 1 - shape.num / shape.den + 1e-9
+        enough = F.least("common", "common2") * (shape.num + shape.den) >= (F.col("n") + F.col("n2")) * shape.num
+        met = rows.where("open").join(other, list(on)).where(
+            (F.col("rep") != F.col("rep2")) & (F.col("label") != F.col("label2")) & _similar_size(shape, "n", "n2") & enough & ~F.coalesce(apart, F.lit(False))
+        )
+        return met.select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
+
+    pairs = pairs.unionByName(meet(able, False, "pivot")).unionByName(meet(keyed, True, "pivot", "h")).distinct()
     last = _pairs_checked(pairs, profiles, sets, shape, work, tasks)
     return first.unionByName(last.where(link).select(F.col("a").alias("u"), F.col("b").alias("v")))
