@@ -1,10 +1,11 @@
-"""The ten operators and the pipeline as queries over the driver's tables."""
+"""The operators as queries over the driver's tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules, vectors
+from . import decontaminate, html_text, merkle, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules, vectors
 from .storage import session_folder
 
 
@@ -74,6 +75,14 @@ def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    # wide enough for one more than the largest number
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, n_chars + 1).otherwise(n_chars)
+    return merkle.manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), "lang", "doc_id", {"n_chars": tampered}).drop("path")
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_quality_discriminant": op2_quality_discriminant,
@@ -86,12 +95,26 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_url_association_rules": op10_url_association_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _REACH = """reach(id, other) AS (SELECT id, id FROM nodes UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
 component AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)"""
 
+
+def _spelled(value: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({value} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_spelled, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: DuckDB has no crc32: bit by bit over the decimal digits.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+ lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 #: DuckDB SQL of the operators that it can express; it compares all pairs and all windows.
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_near_dedup": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -117,4 +140,14 @@ ww AS (SELECT item_id, w, n, len(ws) AS k, unnest(ws) AS word FROM win), c AS (S
 p AS (SELECT c.doc_id, c.item_id, c.w, n, k, pos, ww.word FROM c JOIN ww ON c.item_id = ww.item_id AND c.w = ww.w JOIN dw ON dw.doc_id = c.doc_id AND dw.word = ww.word),
 m AS (SELECT DISTINCT p.doc_id, p.item_id, p.w FROM p JOIN p q ON p.doc_id = q.doc_id AND p.item_id = q.item_id AND p.w = q.w AND q.pos BETWEEN p.pos AND p.pos + p.n + 4 GROUP BY p.doc_id, p.item_id, p.w, p.pos, p.k HAVING count(DISTINCT q.word) = p.k)
 SELECT doc_id, CAST(item_id AS VARCHAR) AS item_id, CAST(count(*) AS BIGINT) AS windows FROM m GROUP BY ALL""",
+    "op13_merkle_manifest": f"""WITH RECURSIVE leaves AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} END AS other FROM documents),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, leaf, coalesce(other, leaf) AS seen, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+up AS (SELECT g, 0 AS l, i, n, leaf AS h FROM d UNION ALL SELECT g, l + 1, i // 2, max((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY g, l + 1, i // 2),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS l, i, n, subroot AS h FROM s UNION ALL SELECT l + 1, i // 2, max((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY l + 1, i // 2),
+low AS (SELECT d.g, d.i, list(CASE WHEN (d.i >> k.l) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(b.h, '') ORDER BY k.l) AS p FROM d JOIN (SELECT DISTINCT g, l FROM up WHERE n > 1) k ON k.g = d.g LEFT JOIN up b ON b.g = d.g AND b.l = k.l AND b.i = xor(d.i >> k.l, 1) GROUP BY d.g, d.i),
+high AS (SELECT s.g, list(CASE WHEN (s.i >> k.l) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(b.h, '') ORDER BY k.l) AS p FROM s JOIN (SELECT DISTINCT l FROM top WHERE n > 1) k ON true LEFT JOIN top b ON b.l = k.l AND b.i = xor(s.i >> k.l, 1) GROUP BY s.g),
+f AS (SELECT d.*, subroot, (SELECT h FROM top WHERE n = 1) AS root, list_concat(coalesce(low.p, []), coalesce(high.p, [])) AS p FROM d JOIN s ON s.g = d.g LEFT JOIN low ON low.g = d.g AND low.i = d.i LEFT JOIN high ON high.g = d.g),
+o AS (SELECT *, list_reduce(list_prepend(seen, p), lambda x, y: sha256(CASE WHEN y[1] = 'L' THEN y[2:] || x ELSE x || y[2:] END)) AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(list_aggregate(list_transform(p, lambda y: y[2:]), 'string_agg', ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM o""",
 }
