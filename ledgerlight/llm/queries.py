@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, merkle, minhash, pieces, quality, secrets, tokenstore, toxicity, url_rules, vectors
+from . import decontaminate, html_text, merkle, minhash, pieces, quality, runs, secrets, tokenstore, toxicity, url_rules, vectors
 from .storage import session_folder
 
 
@@ -75,6 +77,27 @@ def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def planted_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
+    """The stretch that op12 repeats in a tenth of the texts; a null id has none."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"), planted_tail)
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    # runs are by start and period, so the first of equal exponents stays
+    top = F.aggregate("runs", none, lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("top"), F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    milli = F.expr("1000L * top.length div top.period")
+    return out.select("doc_id", "n_runs", "top.start", "top.length", "top.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     # wide enough for one more than the largest number
@@ -95,6 +118,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_url_association_rules": op10_url_association_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

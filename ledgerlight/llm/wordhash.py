@@ -109,8 +109,8 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         i = j
 
 
-def words(part: Slice, is_word: np.ndarray) -> Words:
-    """Maximal runs of word bytes inside each text, A-Z taken as a-z."""
+def words(part: Slice, is_word: np.ndarray, lower: bool = True) -> Words:
+    """Maximal runs of word bytes inside each text; ``lower`` takes A-Z as a-z."""
     data, offsets = part.data, part.offsets
     n = len(data)
     inside = np.zeros(n + 1, bool)
@@ -123,5 +123,5 @@ def words(part: Slice, is_word: np.ndarray) -> Words:
     after[:n] = inside[1:]
     after[offsets[1:] - 1] = False
     ends = np.flatnonzero((inside & ~after)[:n]) + 1
-    codes = codes_of(_LOWERED[data], starts, ends)
+    codes = codes_of(_LOWERED[data] if lower else data, starts, ends)
     return Words(starts, ends, codes, np.searchsorted(starts, offsets))
