@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, merkle, minhash, pieces, quality, runs, secrets, tokenstore, toxicity, url_rules, vectors
+from . import decontaminate, hmm, html_text, merkle, minhash, pieces, quality, runs, secrets, tokenstore, toxicity, url_rules, vectors
 from .storage import session_folder
 
 
@@ -77,6 +77,11 @@ def op10_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = hmm.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def planted_tail(doc_id: int | None, n: int) -> tuple[int, int] | None:
     """The stretch that op12 repeats in a tenth of the texts; a null id has none."""
     h = zlib.crc32(str(doc_id).encode())
@@ -118,6 +123,7 @@ QUERIES = {
     "op9_html_extraction": op9_html_extraction,
     "op10_url_association_rules": op10_url_association_rules,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op11_hidden_markov": op11_hidden_markov,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
