@@ -6,16 +6,15 @@ of them, which every task can hold. Other words are one symbol in the chain, tim
 their smoothed share of its tokens, which a join looks up.
 
 Counts of words and of the chain's states cover every training text. Baum-Welch
-takes expected counts in tasks and sums them over all partitions, first for
-``WARM_ROUNDS`` rounds over a fixed share of the texts, then over all of them. Each
-text's likelihood is exact: a scaled forward recursion over the whole text. Texts are
+takes expected counts in tasks and sums them over all partitions, first over a fixed
+share of the texts, then over all of them. Each text's likelihood is exact: a scaled forward recursion over the whole text. Texts are
 cut into segments that numpy walks side by side; products of a segment's transition
 matrices give the recursion's state at its ends, so nothing is lost at a cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +28,10 @@ from .wordhash import NON_SPACE, mix, slices, words
 
 #: Latent states; a word is a symbol if its share of training tokens is 1 / HEAD or more.
 STATES, HEAD = 8, 500_000
-#: Baum-Welch rounds over one text in WARM_SHARE, and over all.
-WARM_ROUNDS, WARM_SHARE, ROUNDS = 8, 16, 2
+#: Baum-Welch rounds, each with the share of the training texts that it goes over: one text in 16, then all.
+ROUNDS = ((16, 8), (1, 2))
+#: How likely a state stays to begin with.
+LASTING = 0.9
 #: Counts added to the transitions of a state, and to its emissions in the words' overall shares.
 LEAST_MOVES, PRIOR = 0.5, 20.0
 #: Tokens of a segment, and those walked together.
@@ -93,15 +94,15 @@ class Chain(NamedTuple):
     emit: np.ndarray
 
 
-def begin(vocabulary: Vocabulary, states: int) -> Chain:
+def begin(vocabulary: Vocabulary, states: int, lasting: float = LASTING) -> Chain:
     """Lasting states whose emissions differ from the words' shares at random, by the words' codes."""
     shares = vocabulary.shares()
     codes = np.concatenate([np.zeros(FIRST, np.uint64), vocabulary.codes])
     noise = np.column_stack([mix(codes ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) for k in range(states)])
     emit = shares[:, None] * (0.25 + 1.5 * (noise >> np.uint64(11)).astype(float) / (1 << 53))
     emit[:FIRST] = shares[:FIRST, None]
-    moves = np.full((states, states), 0.1 / max(states - 1, 1))
-    np.fill_diagonal(moves, 0.9 if states > 1 else 1.0)
+    moves = np.full((states, states), (1 - lasting) / max(states - 1, 1))
+    np.fill_diagonal(moves, lasting if states > 1 else 1.0)
     return Chain(np.full(states, 1 / states), moves, emit / emit.sum(0))
 
 
@@ -339,17 +340,16 @@ def _expected(texts: DataFrame, chain: Chain) -> Counts:
     return out
 
 
-def _learnt(encoded: DataFrame, vocabulary: Vocabulary, states: int) -> Chain:
-    chain, shares = begin(vocabulary, states), vocabulary.shares()
-    learn = encoded.where("learn")
-    share = learn.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(WARM_SHARE)) == 0)
-    for texts, rounds in ((share, WARM_ROUNDS), (learn, ROUNDS)):
-        for _ in range(rounds):
+def _learnt(encoded: DataFrame, vocabulary: Vocabulary, chain: Chain, rounds: Sequence[tuple[int, int]]) -> Chain:
+    learn, shares = encoded.where("learn"), vocabulary.shares()
+    for share, times in rounds:
+        texts = learn.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(share)) == 0)
+        for _ in range(times):
             chain = improved(_expected(texts, chain), shares)
     return chain
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, head: int = HEAD, rounds: Sequence[tuple[int, int]] = ROUNDS, lasting: float = LASTING) -> DataFrame:
     """A row for each row of ``docs``: ``id_col, n_tokens, n_known, train_tokens, base_score, score``.
 
     Texts where ``learn`` is true train the model; all are scored. ``n_known`` counts the
@@ -364,7 +364,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     texts = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     vocabulary, rest = _vocabulary(work, texts.where("learn"), head)
     encoded = _encoded(work, texts, vocabulary)
-    chain = _learnt(encoded, vocabulary, states)
+    chain = _learnt(encoded, vocabulary, begin(vocabulary, states, lasting), rounds)
     seen = np.concatenate([[0, vocabulary.ends], vocabulary.counts])
     shared = spark.sparkContext.broadcast((chain, seen > 0, np.log10(seen + 1.0)))
 

@@ -130,7 +130,7 @@ def test_learns_an_order_of_words(spark):
     rng = np.random.default_rng(5)
     nouns, verbs = [f"n{i}" for i in range(8)], [f"v{i}" for i in range(8)]
     rows = [(i, " ".join(rng.choice(nouns if j % 2 else verbs) for j in range(2 * rng.integers(3, 30)))) for i in range(800)]
-    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100, states=4).where("doc_id < 100").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    got = hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100, states=4, rounds=((1, 15),), lasting=0.3).where("doc_id < 100").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
     assert got[0] - got[1] > 0.2 * got[2]  # log10(2) = 0.3 a word is there to learn
 
 
