@@ -9,59 +9,7 @@ from ..functions import codes, money, text
 from ..operators import keyed
 from .registry import Tables, query
 
-# --- settlement and invoices -------------------------------------------------
-
-MATCHED_KINDS = ("Settled", "Refunded")
-
-RECONCILE = """WITH m AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'Settled' WHEN 'O' THEN 'Refunded' ELSE 'Fee' END AS kind, CAST(round(o_totalprice, -2) AS DECIMAL(38,6)) AS gross,
-  o_orderpriority AS currency, 'r' || CAST(o_orderkey % 4000 AS VARCHAR) AS ref FROM orders WHERE o_orderkey % 2 = 0),
-d AS (SELECT o_orderkey AS id, CAST(round(o_totalprice, -2) AS DECIMAL(38,6)) AS gross, o_orderpriority AS currency, 'r' || CAST((o_orderkey - 1) % 4000 AS VARCHAR) AS ref FROM orders WHERE o_orderkey % 2 = 1),
-e AS (SELECT m.id AS mid, d.id AS did, m.ref = d.ref AS refs FROM m JOIN d ON m.gross = d.gross AND m.currency = d.currency WHERE m.kind IN ('Settled', 'Refunded')),
-r AS (SELECT m.id AS mid, d.id AS did FROM m JOIN d ON m.ref = d.ref WHERE m.kind IN ('Settled', 'Refunded')),
-rm AS (SELECT mid, count(*) AS n, min(did) AS did FROM r GROUP BY mid), rd AS (SELECT did, count(*) AS n FROM r GROUP BY did),
-cm AS (SELECT mid, count(*) AS n, min(did) AS did FROM e GROUP BY mid), cd AS (SELECT did, count(*) AS n FROM e GROUP BY did),
-ok AS (SELECT r.mid, r.did FROM r JOIN rm ON r.mid = rm.mid AND rm.n = 1 JOIN rd ON r.did = rd.did AND rd.n = 1 JOIN e ON e.mid = r.mid AND e.did = r.did)"""
-
-
-def reconcile(movements: DataFrame, documents: DataFrame) -> DataFrame:
-    """``id, status, document``. Edges by amount and currency; one shared reference on both sides confirms.
-
-    Both inputs: id, gross decimal, currency, ref; movements also kind.
-    """
-    m = movements.where(F.col("kind").isin(*MATCHED_KINDS)).select(F.col("id").alias("mid"), "gross", "currency", "ref")
-    d = documents.select(F.col("id").alias("did"), "gross", "currency", "ref")
-    # counts of each side stand for the pairs of a key
-    by_amount = d.groupBy("gross", "currency").agg(F.count("*").alias("documents"), F.min("did").alias("one"))
-    same_amount = m.groupBy("gross", "currency").agg(F.count("*").alias("movements"))
-    by_ref = d.groupBy("ref").agg(F.count("*").alias("rm"), F.min(F.struct("did", "gross", "currency")).alias("doc"))
-    same_ref = m.groupBy("ref").agg(F.count("*").alias("rd"))
-    out = m.join(by_amount, ["gross", "currency"], "left").join(same_amount, ["gross", "currency"], "left").join(by_ref, "ref", "left").join(same_ref, "ref", "left")
-    sure = (F.col("rm") == 1) & (F.col("rd") == 1) & (F.col("doc.gross") == F.col("gross")) & (F.col("doc.currency") == F.col("currency"))
-    single = (F.col("documents") == 1) & (F.col("movements") == 1)
-    status = F.when(sure, "confirmada").when(F.col("documents").isNull(), "sin_coincidencia").when(single, "candidata").otherwise("ambigua")
-    return out.select(F.col("mid").alias("id"), status.alias("status"), F.when(sure, F.col("doc.did")).when(single, F.col("one")).alias("document"))
-
-
-def _movements(t: Tables) -> DataFrame:
-    kind = F.when(F.col("o_orderstatus") == "F", "Settled").when(F.col("o_orderstatus") == "O", "Refunded").otherwise("Fee")
-    return t.orders.where("o_orderkey % 2 = 0").select(
-        F.col("o_orderkey").alias("id"), kind.alias("kind"), F.round("o_totalprice", -2).cast("decimal(38,6)").alias("gross"), F.col("o_orderpriority").alias("currency"), F.concat(F.lit("r"), (F.col("o_orderkey") % 4000).cast("string")).alias("ref")
-    )
-
-
-def _documents(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey % 2 = 1").select(
-        F.col("o_orderkey").alias("id"), F.round("o_totalprice", -2).cast("decimal(38,6)").alias("gross"), F.col("o_orderpriority").alias("currency"), F.concat(F.lit("r"), ((F.col("o_orderkey") - 1) % 4000).cast("string")).alias("ref")
-    )
-
-
-@query(
-    "J15_reconciliation",
-    f"""{RECONCILE} SELECT m.id, CASE WHEN ok.did IS NOT NULL THEN 'confirmada' WHEN cm.n IS NULL THEN 'sin_coincidencia' WHEN cm.n = 1 AND cd.n = 1 THEN 'candidata' ELSE 'ambigua' END AS status,
-  coalesce(ok.did, CASE WHEN cm.n = 1 AND cd.n = 1 THEN cm.did END) AS document FROM m LEFT JOIN ok ON ok.mid = m.id LEFT JOIN cm ON cm.mid = m.id LEFT JOIN cd ON cd.did = cm.did WHERE m.kind IN ('Settled', 'Refunded')""",
-)
-def _reconciliation(t: Tables) -> DataFrame:
-    return reconcile(_movements(t), _documents(t))
+# --- settlement ---------------------------------------------------------------
 
 
 @query(

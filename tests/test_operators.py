@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import keyed, ledger, ranks, series
-from ledgerlight.plans import erp, stock
+from ledgerlight.plans import stock
 from ledgerlight.sources import sheets, tables
 from ledgerlight.streaming import alerts
 
@@ -80,14 +80,6 @@ def test_upsert_keeps_what_a_blank_would_erase(spark):
     assert got == [(1, "x", 5), (2, "y", 1), (3, "z", 9)]
 
 
-def test_reconciliation_statuses(spark):
-    m = spark.createDataFrame([(1, "Settled", "10", "EUR", "a"), (2, "Settled", "20", "EUR", "b"), (3, "Settled", "30", "EUR", ""), (4, "Fee", "10", "EUR", "a")], "id long, kind string, gross string, currency string, ref string")
-    d = spark.createDataFrame([(11, "10", "EUR", "a"), (12, "20", "EUR", "x"), (13, "20", "EUR", "y"), (14, "10", "USD", "q")], "id long, gross string, currency string, ref string")
-    exact = lambda df: df.withColumn("gross", F.col("gross").cast("decimal(38,6)"))
-    got = {r.id: (r.status, r.document) for r in erp.reconcile(exact(m), exact(d)).collect()}
-    assert got == {1: ("confirmada", 11), 2: ("ambigua", None), 3: ("sin_coincidencia", None)}
-
-
 def test_text_table_roundtrip(spark, tmp_path):
     path = tmp_path / "in.csv"
     path.write_text("Código;Precio\n0012; 9,50 \n0012;8\n7;\n", encoding="utf-8")
