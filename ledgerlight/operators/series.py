@@ -1,4 +1,4 @@
-"""Time series: as-of joins, changes, anchored windows, rolling budgets."""
+"""Time series: as-of joins, changes, anchored windows."""
 
 from __future__ import annotations
 
@@ -47,18 +47,6 @@ def change_points(df: DataFrame, keys: Sequence[str], content: Sequence[str], *o
     return runs.groupBy(*keys, "__run", *content).agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_ok_at"), F.count("*").alias("checks")).drop("__run")
 
 
-def budget_gate(df: DataFrame, keys: Sequence[str], epoch: str, daily: int, per_minute: int, pause: int) -> DataFrame:
-    """Requests of the last day, minute and since the last one, and what the gate says in order of precedence."""
-    w = Window.partitionBy(*keys).orderBy(epoch)
-    day, minute = F.count("*").over(w.rangeBetween(-86400, 0)), F.count("*").over(w.rangeBetween(-60, 0))
-    # ties count as earlier requests of the same second
-    gap = F.col(epoch) - F.lag(epoch).over(w)
-    out = df.withColumn("in_day", day).withColumn("in_minute", minute).withColumn("since_last", gap)
-    return out.withColumn(
-        "gate", F.when(F.col("in_day") > daily, "daily_limit").when(F.col("in_minute") > per_minute, "minute_limit").when(F.col("since_last") < pause, "pause").otherwise("allowed")
-    )
-
-
 def spread(df: DataFrame, keys: Sequence[str], batch: int, spacing: int, *order: str) -> DataFrame:
     """Seconds to wait so that a batch starts every ``spacing`` seconds."""
     return numbered(df, keys, *order).withColumn("delay", (F.floor((F.col("place") - 1) / batch) * spacing).cast("long")).select(*df.columns, "delay")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import keyed, series
+from ..operators import gate, keyed, series
 from .registry import Tables, query
 from .views import OFFERS, PRODUCTS, offers, products
 
@@ -111,14 +111,29 @@ def _events(t: Tables) -> DataFrame:
     return t.events.select("event_id", "user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "event_type", "value", "props")
 
 
-@query(
-    "W10_budget_gate",
-    f"""WITH {EPOCH}, c AS (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY secs RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_day, count(*) OVER (PARTITION BY user_id ORDER BY secs RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS in_minute,
-  secs - max(secs) OVER (PARTITION BY user_id ORDER BY secs, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM e)
-SELECT event_id, CAST(in_day AS BIGINT) AS in_day, CASE WHEN in_day > 4 THEN 'daily_limit' WHEN in_minute > 1 THEN 'minute_limit' WHEN gap < 600 THEN 'pause' ELSE 'allowed' END AS gate FROM c""",
-)
+GATE = f"""WITH RECURSIVE {EPOCH}, k AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM e),
+q AS (SELECT event_id, user_id, secs, CASE WHEN user_id % 11 = 0 THEN 'prohibited' WHEN user_id % 11 = 1 THEN 'not_authorized' END AS refused, 2 + user_id % 3 AS daily, 1 + user_id % 2 AS per_minute, CASE WHEN user_id % 4 = 0 THEN 0 ELSE 1800 END AS pause FROM k WHERE event_type <> 'error'),
+i AS (SELECT user_id, secs, CASE WHEN k % 8 > 0 THEN secs + 3600 * (k % 12) END AS retry_after, CASE WHEN k % 3 > 0 THEN secs + 43200 * (k % 5) END AS closed_at FROM k WHERE event_type = 'error'),
+j AS (SELECT q.*, retry_after, i.user_id IS NOT NULL AND (closed_at IS NULL OR closed_at > q.secs) AS held FROM q ASOF LEFT JOIN i ON q.user_id = i.user_id AND q.secs >= i.secs),
+r AS (SELECT event_id, user_id, secs, daily, per_minute, pause, row_number() OVER (PARTITION BY user_id ORDER BY secs, event_id) AS n, coalesce(refused, CASE WHEN held AND retry_after IS NULL THEN 'blocked_manual' WHEN held AND retry_after > secs THEN 'blocked_wait' END) AS refused, retry_after FROM j),
+g AS (SELECT user_id, 0 AS n, CAST([] AS BIGINT[]) AS grants, CAST(NULL AS BIGINT) AS event_id, '' AS gate, CAST(NULL AS DOUBLE) AS retry_at FROM (SELECT DISTINCT user_id FROM r)
+UNION ALL SELECT user_id, n, CASE WHEN gate = 'allowed' THEN list_append(day, secs) ELSE day END, event_id, gate, CASE gate WHEN 'blocked_wait' THEN retry_after WHEN 'budget_daily' THEN day[-daily] + 86400 WHEN 'rate_minute' THEN day[-per_minute] + 60 WHEN 'pause' THEN day[-1] + pause END
+FROM (SELECT *, CASE WHEN refused IS NOT NULL THEN refused WHEN len(day) >= daily THEN 'budget_daily' WHEN len(list_filter(day, lambda x: x > secs - 60)) >= per_minute THEN 'rate_minute' WHEN len(day) > 0 AND pause > 0 AND day[-1] + pause > secs THEN 'pause' ELSE 'allowed' END AS gate
+FROM (SELECT r.*, list_filter(g.grants, lambda x: x > r.secs - 86400) AS day FROM g JOIN r ON r.user_id = g.user_id AND r.n = g.n + 1)))
+SELECT event_id, gate, retry_at FROM g WHERE n > 0"""
+
+
+@query("W10_budget_gate", GATE)
 def _gate(t: Tables) -> DataFrame:
-    return series.budget_gate(_events(t), ["user_id"], "at", 4, 1, 600).select("event_id", "in_day", "gate")
+    """Authorisation, then incidents, then budgets of which only granted requests use."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = _events(t).withColumn("k", k)
+    user, at = F.col("user_id"), F.col("at")
+    opened = rows.where("event_type = 'error'").select("user_id", "at", F.when(F.col("k") % 8 > 0, at + 3600 * (F.col("k") % 12)).alias("retry_after"), F.when(F.col("k") % 3 > 0, at + 43200 * (F.col("k") % 5)).alias("closed_at"))
+    asked = rows.where("event_type <> 'error'").select("event_id", "user_id", "at", F.when(user % 11 == 0, "prohibited").when(user % 11 == 1, "not_authorized").alias("refused"))
+    held = gate.with_incidents(asked, opened, ["user_id"], "at")
+    limits = {"daily": 2 + user % 3, "per_minute": 1 + user % 2, "pause": F.when(user % 4 == 0, 0).otherwise(1800)}
+    return gate.rolling_budget(held, ["user_id"], "at", "event_id", **limits).select("event_id", "gate", "retry_at")
 
 
 @query(
