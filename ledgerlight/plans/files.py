@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identity, money
 from ..operators import keyed
 from ..sources import sheets, tables
+from ..sources.keyed_table import KeyedTable
 from . import web
 from .registry import Tables, query
 from .views import OFFERS, offers, products
@@ -46,12 +47,13 @@ def _partitioned(t: Tables) -> DataFrame:
 SELECT competitor_id, CAST(count(*) AS BIGINT) AS kept, CAST(sum(id) AS BIGINT) AS ids FROM k WHERE captured_at >= TIMESTAMP '2000-06-01' OR rn = 1 OR id IN (SELECT id FROM offers WHERE discount = 0.05) GROUP BY competitor_id""",
 )
 def _rewrite(t: Tables) -> DataFrame:
-    """K8: what a purge keeps, written as the new table."""
+    """K8: what a purge keeps, as the table's next version."""
     rows = offers(t)
+    table = KeyedTable.create(t.spark, tables.scratch(t.spark, "offers"), rows.select("id", "competitor_id").schema, ["id"], 8)
+    table.replace(rows)
     kept = keyed.retained(rows, ["ean", "competitor_id"], "captured_at", "id", F.lit("2000-06-01").cast("timestamp_ntz"), rows.where("discount = 0.05"))
-    path = tables.scratch(t.spark, "offers")
-    tables.back_up(kept.select("id", "competitor_id"), path)
-    return t.spark.read.parquet(path).groupBy("competitor_id").agg(F.count("*").alias("kept"), F.sum("id").alias("ids"))
+    table.replace(kept)
+    return table.read().groupBy("competitor_id").agg(F.count("*").alias("kept"), F.sum("id").alias("ids"))
 
 
 @query("K9_backup", "SELECT * FROM supplier")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import elapsed_days, week_start
 from ..operators import keyed, ledger
 from ..operators.ranks import exact_percentile
+from ..sources.snapshots import SnapshotStore
+from ..sources.tables import scratch
 from .registry import Tables, query
 from .views import MOVES, NOW, moves, now
 
@@ -156,6 +160,14 @@ def snapshot_rows(rows: DataFrame) -> DataFrame:
     return out.select("snapshot_date", F.weekofyear("snapshot_date").alias("iso_week"), "product_count", "data_sha256")
 
 
-def append_snapshot(rows: DataFrame, path: str) -> None:
-    """K5: append a snapshot's rows; earlier ones of the same week stay."""
-    rows.write.mode("append").partitionBy("snapshot_date").parquet(path)
+@query("K5_committed_snapshots", f"""{ABCD} SELECT CAST(3 AS INTEGER) AS snapshot_id, product, abcd FROM abcd""")
+def _committed(t: Tables) -> DataFrame:
+    """K5, C4: two weeks, the second one run twice; its last run is read back by its digest."""
+    store = SnapshotStore(t.spark, scratch(t.spark, "snapshots"))
+    rows = abcd(t).select("product", "abcd")
+    first, second, at = datetime.date(2025, 1, 6), datetime.date(2025, 1, 13), datetime.datetime(2025, 1, 13, 8, tzinfo=datetime.UTC)
+    store.save(rows, first, at - datetime.timedelta(days=7), "1")
+    store.save(rows.where("product % 2 = 0"), second, at, "1")
+    store.save(rows, second, at + datetime.timedelta(hours=1), "1", {"margin_days": 90})
+    back, reference = store.load_week(second)
+    return back.select(F.lit(reference.snapshot_id).alias("snapshot_id"), "product", "abcd")

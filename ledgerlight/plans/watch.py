@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import gate, keyed, series
+from ..sources.keyed_table import KeyedTable
+from ..sources.tables import scratch
 from .registry import Tables, query
 from .views import OFFERS, PRODUCTS, offers, products
 
@@ -215,7 +217,10 @@ SELECT coalesce(n.user_id, o.user_id) AS user_id, greatest(n.best, o.best) AS be
 def _upsert(t: Tables) -> DataFrame:
     old = t.events.where("event_id % 2 = 0").groupBy("user_id").agg(F.max("value").alias("best"), F.min("event_type").alias("kind"))
     new = t.events.where("event_id % 2 = 1 and user_id > 40").groupBy("user_id").agg(F.max("value").alias("best"), F.when(F.col("user_id") % 3 == 0, " ").otherwise(F.max("event_type")).alias("kind"))
-    return keyed.upsert(old, new, ["user_id"], newest=["best"])
+    table = KeyedTable.create(t.spark, scratch(t.spark, "states"), old.schema, ["user_id"], 8)
+    table.upsert(old, ["user_id"])
+    table.upsert(new, ["user_id"], newest=["best"])
+    return table.read()
 
 
 @query(
