@@ -57,25 +57,37 @@ def poll(stream: DataFrame, handle: Callable[[DataFrame, int], None], beats: str
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
-def claim(orders: DataFrame, claims: DataFrame, now: int, lease: int = 600, most: int = 5) -> DataFrame:
-    """The claim table after one pass: free, failed and expired orders are taken, sent ones never, exhausted ones stay.
+def claim(orders: DataFrame, claims: DataFrame, now: int, batch: str, lease: int = 600, most: int | None = None) -> DataFrame:
+    """The claim table after one pass: new, failed and expired orders are taken, sent ones never, exhausted ones stay.
 
-    ``orders``: order_id; ``claims``: order_id, status (pending, sent, failed), claimed_until, attempts.
-    Written by one batch job (or ``foreachBatch``) it is idempotent: a second pass at the same time takes nothing.
+    ``orders``: order_id; ``claims``: order_id, status (pending, sent, failed), batch_id,
+    claimed_until, attempts. A lease that ends now is over, and so is one without an end.
+    ``most`` attempts are made (None: no limit). Written by one batch job (or
+    ``foreachBatch``) it is idempotent: a second pass at the same time takes nothing.
     """
-    rows = orders.select("order_id").distinct().join(claims, "order_id", "full_outer")
+    asked = orders.select("order_id", F.lit(True).alias("__asked")).where("order_id IS NOT NULL").distinct()
+    rows = asked.join(claims, "order_id", "full_outer")
     tries = F.coalesce("attempts", F.lit(0))
-    free = F.col("status").isNull() | (F.col("status") == "failed") | ((F.col("status") == "pending") & (F.col("claimed_until") < now))
-    taken = free & (tries < most)
+    free = F.col("status").isNull() | (F.col("status") == "failed") | ((F.col("status") == "pending") & (F.coalesce("claimed_until", F.lit(0)) <= now))
+    taken = F.coalesce("__asked", F.lit(False)) & free
+    if most is not None:
+        taken &= F.col("status").isNull() | (tries < most)
     return rows.select(
-        "order_id", F.when(taken, "pending").otherwise(F.coalesce("status", F.lit("failed"))).alias("status"), F.when(taken, now + lease).otherwise(F.col("claimed_until")).cast("long").alias("claimed_until"),
-        F.when(taken, tries + 1).otherwise(tries).cast("int").alias("attempts"), taken.alias("claimed_now"),
+        "order_id", F.when(taken, "pending").otherwise(F.col("status")).alias("status"), F.when(taken, F.lit(batch)).otherwise(F.col("batch_id")).alias("batch_id"),
+        F.when(taken, now + lease).otherwise(F.col("claimed_until")).cast("long").alias("claimed_until"), F.when(taken, tries + 1).otherwise(tries).cast("int").alias("attempts"), taken.alias("claimed_now"),
     )
 
 
-def exhausted(claims: DataFrame, most: int = 5) -> DataFrame:
-    """R2: orders that no pass will take again."""
-    return claims.where((F.col("status") != "sent") & (F.col("attempts") >= most)).select("order_id")
+def close_batch(claims: DataFrame, batch: str, status: str) -> DataFrame:
+    """R2: the claims after a batch reported ``sent`` or ``failed``: only rows that are still its own and pending change."""
+    own = (F.col("batch_id") == batch) & (F.col("status") == "pending")
+    own = F.coalesce(own, F.lit(False))
+    return claims.withColumns({"status": F.when(own, status).otherwise(F.col("status")), "claimed_until": F.when(~own, F.col("claimed_until"))})
+
+
+def exhausted(claims: DataFrame, most: int, now: int) -> DataFrame:
+    """R2: orders that no pass will take again: all attempts made and no lease in force."""
+    return claims.where((F.col("status") != "sent") & (F.col("attempts") >= most) & (F.coalesce("claimed_until", F.lit(0)) <= now)).select("order_id")
 
 
 def stale(last_seen: DataFrame, at: str, now, hours: int) -> DataFrame:

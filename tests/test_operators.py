@@ -149,15 +149,6 @@ def test_exact_percentile_and_numbers(spark, seed):
     assert ranks.exact_percentile(df.limit(0), "v", 0.8) is None and ranks.numbered(df.limit(0), [], "v", "id").count() == 0
 
 
-def test_claims_are_taken_once(spark):
-    orders = spark.createDataFrame([(i,) for i in range(6)], "order_id long")
-    claims = spark.createDataFrame([(1, "sent", 0, 1), (2, "failed", 0, 1), (3, "pending", 90, 1), (4, "pending", 500, 1), (5, "failed", 0, 5)], "order_id long, status string, claimed_until long, attempts int")
-    first = alerts.claim(orders, claims, now=100)
-    assert sorted(r.order_id for r in first.where("claimed_now").collect()) == [0, 2, 3]
-    assert alerts.claim(orders, first.drop("claimed_now"), now=100).where("claimed_now").count() == 0
-    assert [r.order_id for r in alerts.exhausted(claims).collect()] == [5]
-
-
 def test_streams_give_alerts_and_changes_once(spark, tmp_path):
     rows = [(DAY + dt.timedelta(minutes=i), "k" if i % 2 else "m", v) for i, v in enumerate([10.0, 5.0, 10.2, 5.5, 12.0, 5.5, 12.1, 2.0])]
     spark.createDataFrame(rows, "at timestamp, key string, value double").write.parquet(str(tmp_path / "in"))
