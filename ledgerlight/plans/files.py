@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import uuid
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +15,7 @@ from ..functions import identity, money
 from ..operators import keyed
 from ..sources import sheets, tables
 from ..sources.keyed_table import KeyedTable
+from ..sources.sqlite import read_sqlite
 from . import web
 from .registry import Tables, query
 from .views import OFFERS, offers, products
@@ -20,6 +27,34 @@ def _scan(t: Tables) -> DataFrame:
     return tables.scan(t.part, ["p_partkey", "p_size"], F.col("p_size") > 0).select("p_partkey", "p_name", "p_size")
 
 
+@query("S1_sqlite_scan", "SELECT p_partkey AS id, p_name AS name, p_retailprice AS price FROM part WHERE p_size > 0 AND p_retailprice >= 1000 AND p_name IS NOT NULL")
+def _sqlite(t: Tables) -> DataFrame:
+    """Tables of SQLite files, written by the tasks that hold the rows; filters and columns go into SQLite."""
+    folder = tables.scratch(t.spark, "sqlite")
+    if not folder.startswith("file:"):
+        raise ValueError("SQLite files need a folder that is mounted everywhere")
+    local = folder.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        os.makedirs(local, exist_ok=True)
+        con = sqlite3.connect(f"{local}/.{uuid.uuid4().hex}")
+        con.execute("CREATE TABLE product (id INTEGER PRIMARY KEY, name TEXT, price REAL, size INTEGER)")
+        n = 0
+        for batch in batches:
+            con.executemany("INSERT INTO product VALUES (?, ?, ?, ?)", zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            n += batch.num_rows
+        con.commit()
+        name = con.execute("PRAGMA database_list").fetchone()[2]
+        con.close()
+        os.rename(name, f"{local}/part-{TaskContext.get().partitionId()}.db")  # a repeated task puts its own in place
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    rows = t.part.select("p_partkey", "p_name", "p_retailprice", "p_size").repartition(4, "p_partkey")
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).first()
+    found = read_sqlite(t.spark, local, "product", "id long, name string, price double, size long", partitions=2)
+    return found.where("size > 0 AND price >= 1000 AND name IS NOT NULL").select("id", "name", "price")
+
+
 @query(
     "K1_text_round_trip",
     "SELECT CAST(p_partkey AS VARCHAR) AS codigo, p_name || '; \"' || p_brand || '\"' AS nombre, CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END AS stock FROM part",
