@@ -2,8 +2,10 @@
 
 A page is cut into blocks at block-level tags. What stands in menus, page headers,
 footers, sidebars, notices, adverts, forms, comments and raw elements, by tag or by
-what its classes, id or role name as a whole, is no text of the article. If a page marks its
-article, only blocks in it are candidates.
+what its classes, id or role name as a whole, is no text of the article. Of these a form, and
+a box that only its name speaks against, may be the page's frame: if nearly all text that
+pass 1 calls good stands under the same such reasons, they count for nothing on that
+page. If a page marks its article, only blocks in it are candidates.
 
 Pass 1 decides a candidate by link density, length and stop-word density, or leaves
 it open: short blocks, and linkless ones in a marked article. Pass 2 gives an open
@@ -14,6 +16,7 @@ article keeps it and other pages drop it.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections import Counter
@@ -44,6 +47,9 @@ SKIPPED = frozenset("nav footer aside form button select head menu dialog fields
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation navigations breadcrumb breadcrumbs masthead topbar footer cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login search share sharing social related recommended comment comments disqus reply replies widget widgets toolbar pagination pager contentinfo complementary".split()
 )
+#: Of these, the ones that a frame of the whole page is often named by (a widget, a layout with a sidebar, a category), and elements that may be a frame.
+FRAMES = frozenset("sidebar menu banner notice notices alert popup modal login search share sharing social related recommended widget widgets toolbar promo promotion topbar masthead".split())
+FRAME_ELEMENTS = frozenset("form fieldset".split())
 #: Words at the end of a name that only say that it is a box, and at its front that something else has or lacks what follows.
 CARRIERS = frozenset("area areas bar block body bottom box buttons container content count form group icons inner item items left link links list lists main module outer panel posts right row section top wrap wrapper zone".split())
 MODIFIERS = frozenset("has have with without no non not hide hides hidden show shows is if".split())
@@ -60,14 +66,18 @@ STOPS = frozenset(
 #: Characters of a short block and of one that is long enough by itself; densities.
 SHORT, LONG = 70, 200
 MOST_LINKS, FEW_STOPS, MANY_STOPS = 0.4, 0.15, 0.3
+#: Good characters under the same reasons that make these a page's frame, and how many times what stands outside they are.
+FRAMED, TIMES = 600, 3
 
 
 class Block(NamedTuple):
     text: str
     link_chars: int
     marked: bool
+    reasons: frozenset[str] = frozenset()
 
 
+@functools.lru_cache(1 << 14)
 def names_boilerplate(name: str) -> bool:
     """Whether a class, id or role names what is no article text: ``cookie-notice``, ``comment_list``, ``siteNav``.
 
@@ -75,12 +85,16 @@ def names_boilerplate(name: str) -> bool:
     word before must be one of :data:`WORDS`: ``notice-title`` and ``ad-free`` name
     something else, as does a name that begins like ``has-sidebar``.
     """
+    return _boilerplate_word(name) is not None
+
+
+def _boilerplate_word(name: str) -> str | None:
     parts = [p.lower() for p in _PARTS.findall(name.partition("--")[0])]
     if not parts or parts[0] in MODIFIERS:
-        return False
+        return None
     while len(parts) > 1 and parts[-1] in CARRIERS:
         parts.pop()
-    return parts[-1] in WORDS
+    return parts[-1] if parts[-1] in WORDS else None
 
 
 def _hints(attributes: str) -> Iterator[str]:
@@ -90,6 +104,13 @@ def _hints(attributes: str) -> Iterator[str]:
             yield from value.strip("\"'").split()
 
 
+@functools.lru_cache(1 << 12)
+def _named(attributes: str) -> tuple[bool, frozenset[str]]:
+    """Whether a name speaks against the element whatever it holds, and the names that do so unless they name the page's frame."""
+    named = {h: _boilerplate_word(h) for h in _hints(attributes) if names_boilerplate(h)}
+    return any(w not in FRAMES for w in named.values()), frozenset(named)
+
+
 class Tag(NamedTuple):
     name: str
     closes: bool
@@ -132,19 +153,35 @@ def tokens(page: str) -> Iterator[str | Tag]:
         at = end + 1
         if tag.name in RAW and not tag.closes:
             if not tag.attributes.endswith("/") or tag.name in ("script", "style", "textarea", "title"):
-                close = _RAW_ENDS[tag.name].search(page, at)
-                at = close.end() if close else n
+                at = _raw_end(page, tag.name, at)
             continue
         yield tag
 
 
 _RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.IGNORECASE) for name in RAW}
+#: Raw elements that hold elements, so that one of the same name may stand inside.
+NESTED = frozenset("svg math object template noscript".split())
+_RAW_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*?(/?)>", re.IGNORECASE) for name in NESTED}
+
+
+def _raw_end(page: str, name: str, at: int) -> int:
+    """Where a raw element ends that begins before ``at``; the page's end if it doesn't."""
+    if name not in NESTED:
+        close = _RAW_ENDS[name].search(page, at)
+        return close.end() if close else len(page)
+    depth = 1
+    for tag in _RAW_TAGS[name].finditer(page, at):
+        depth += -1 if tag[1] else 0 if tag[2] else 1
+        if not depth:
+            return tag.end()
+    return len(page)
 
 
 def blocks(page: str) -> list[Block]:
-    """The page's candidate blocks in order."""
+    """The page's candidate blocks in order, once the page's frame is told."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # name, skipped, marked
+    against: list[tuple[int, frozenset[str]]] = [(-1, frozenset())]  # reasons that may be the frame, with the place of who adds the last one
     scope: list[int] = []  # places of SCOPED elements in the stack
     opened: Counter[str] = Counter()
     parts: list[str] = []
@@ -154,7 +191,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal parts, links
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, links, marked > 0))
+            out.append(Block(text, links, marked > 0, against[-1][1]))
         parts, links = [], 0
 
     def close(at: int) -> None:
@@ -166,6 +203,8 @@ def blocks(page: str) -> list[Block]:
         del stack[at:]
         while scope and scope[-1] >= at:
             scope.pop()
+        while against[-1][0] >= at:
+            against.pop()
 
     for token in tokens(page):
         if isinstance(token, str):
@@ -192,8 +231,15 @@ def blocks(page: str) -> list[Block]:
         if name in VOID or attributes.endswith("/"):
             continue
         mark = name in ("article", "main") or "articlebody" in attributes.lower()
-        skip = name in SKIPPED or (name == "header" and not marked)
-        skip = skip or (name not in ("html", "body", "article", "main") and any(map(names_boilerplate, _hints(attributes))))
+        sure, names = _named(attributes) if name not in ("html", "body", "article", "main") else (False, frozenset())
+        if name in FRAME_ELEMENTS:
+            names |= {f"<{name}>"}
+        skip = sure or (name in SKIPPED and name not in FRAME_ELEMENTS) or (name == "header" and not marked)
+        if names and not skip:
+            if name in BLOCK:
+                against.append((len(stack), against[-1][1] | names))
+            else:  # inside a line of text it is no frame
+                skip = True
         if name in SCOPED:
             scope.append(len(stack))
         stack.append((name, skip, mark))
@@ -201,6 +247,14 @@ def blocks(page: str) -> list[Block]:
         skipped += skip
         marked += mark
     flush()
+    good: Counter[frozenset[str]] = Counter()
+    if any(b.reasons for b in out):
+        for b in out:
+            good[b.reasons] += len(b.text) if decide(b) else 0
+        frame, size = max(good.items(), key=lambda x: x[1])
+        if not frame or size < FRAMED or size <= TIMES * good[frozenset()]:
+            frame = frozenset()
+        out = [b for b in out if b.reasons <= frame]
     if any(b.marked for b in out):
         out = [b for b in out if b.marked]
     return out

@@ -724,14 +724,50 @@ def test_pages_put_together_at_random():
         assert html_text.main_text(f"<article>{body}</article>" if marked else f"<body>{body}</body>") == "\n".join(want), body
 
 
-@pytest.mark.parametrize("piece", ['<a "', "<a x='", "<b>", "</i>", "<!", "<?", "<p>", "<svg/>", "<!--", "<", "<td>", "<li><b>", '<a b="', "<div class='", "&#", "<a b", "=\"'"])
+def seconds(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a x='", "<b>", "</i>", "<!", "<?", "<p>", "<svg/>", "<svg>", "<!--", "<", "<td>", "<li><b>", '<a b="', "<div class='", "&#", "<a b", "=\"'", "<form><div class=menu>"])
 @pytest.mark.parametrize("tail", ["", ">", '">', "'>x", '=">"'])
 def test_odd_pages_take_linear_time(piece, tail):
-    began = time.process_time()
-    html_text.main_text(piece * (1_000_000 // len(piece)) + tail)
-    half = "<b>" * 150_000 + "</i>" * 150_000 + "<p>" * 100_000
-    html_text.main_text(half if piece == "<b>" else "")
-    assert time.process_time() - began < 6
+    """Four times the page take about four times as long; square would be sixteen."""
+    page = lambda n: piece * (n // len(piece)) + tail
+    assert seconds(page(480_000)) < 8 * seconds(page(120_000)) + 0.5
+
+
+def test_unclosed_and_stray_ends_take_linear_time():
+    page = lambda n: "<b>" * n + "</i>" * n + "<p>" * n
+    assert seconds(page(80_000)) < 8 * seconds(page(20_000)) + 0.5
+
+
+ARTICLE = "".join(f"<p>{SENTENCE} Paragraph {i} of the story that the town was told.</p>" for i in range(8))
+FRAMES = [
+    '<form id="aspnetForm" method="post">{}</form>', "<form><article>{}</article></form>", "<fieldset>{}</fieldset>", '<div class="elementor-widget"><div class="elementor-widget-container">{}</div></div>', '<div class="content-with-sidebar">{}</div>',
+    '<div class="two-column-sidebar"><div>{}</div></div>', '<div id="layout-sidebar">{}</div>', '<div class="vector-menu-content">{}</div>', '<div class="search">{}</div>', '<section class="hero-banner">{}</section>', '<div class="js-no-banner">{}</div>',
+    '<div class="entry-content share">{}</div>', '<div class="post category-promotions hentry category-notices">{}</div>', '<div class="post-12 tag-login">{}</div>', '<form class="page"><div class="widget-area"><main>{}</main></div></form>',
+]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_a_frame_of_the_whole_page_keeps_its_article(frame):
+    rest = f'<nav><p>{SENTENCE}</p></nav><div class="cookie-banner"><p>{SENTENCE}</p></div>'
+    comments = f'<div id="comments">{ARTICLE * 3}</div>'
+    lines = html_text.main_text(f"<body>{rest}{frame.format(ARTICLE + comments)}<footer><p>{SENTENCE}</p></footer></body>").split("\n")
+    assert lines == [f"{SENTENCE} Paragraph {i} of the story that the town was told." for i in range(8)]
+
+
+@pytest.mark.parametrize("frame", FRAMES[:9])
+def test_the_same_boxes_beside_an_article_go(frame):
+    lines = html_text.main_text(f"<body><div>{ARTICLE}</div>{frame.format(ARTICLE) if '<article' not in frame else ''}</body>").split("\n")
+    assert len(lines) == 8
+
+
+def test_drawings_in_drawings_leave_no_text():
+    inner = f"<svg><text>{SENTENCE}</text><svg/><svg><text>in</text></svg><text>{SENTENCE} out</text></svg>"
+    assert html_text.main_text(f"<article><p>{SENTENCE}</p>{inner}<p>{SENTENCE} End.</p></article>") == f"{SENTENCE}\n{SENTENCE} End."
 
 
 def test_extract_keeps_rows(spark):
