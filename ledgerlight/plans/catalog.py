@@ -116,11 +116,11 @@ def _names(t: Tables) -> DataFrame:
 
 @query(
     "X15_inverse_mapping",
-    "SELECT p_name || '|' || p_type AS image_key, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS product, CAST(count(*) AS BIGINT) AS candidates FROM part WHERE p_size > 40 GROUP BY ALL",
+    "SELECT p_name || '|' || p_type || '|' || CAST(p_size AS VARCHAR) AS image_key, CASE WHEN count(DISTINCT p_partkey) = 1 THEN min(p_partkey) END AS product, CAST(count(*) AS BIGINT) AS candidates FROM part GROUP BY ALL",
 )
 def _inverse(t: Tables) -> DataFrame:
-    key = F.concat_ws("|", "p_name", "p_type")
-    return t.part.where("p_size > 40").groupBy(key.alias("image_key")).agg(keyed.unique_or_null("p_partkey").alias("product"), F.count("*").alias("candidates"))
+    key = F.concat_ws("|", "p_name", "p_type", F.col("p_size").cast("string"))
+    return t.part.groupBy(key.alias("image_key")).agg(keyed.unique_or_null("p_partkey").alias("product"), F.count("*").alias("candidates"))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     GreaterThan,
@@ -135,6 +136,35 @@ class SqliteReader(DataSourceReader):
             con.close()
 
 
+class SqliteStream(DataSourceStreamReader):
+    """Rows of a table that only grows: an offset is the last row id taken.
+
+    Each batch goes from the last offset to the largest row id there is, cut into row
+    ranges; the query's checkpoint keeps the offset, so a restart takes new rows alone.
+    """
+
+    def __init__(self, schema: StructType, options: dict[str, str]) -> None:
+        self.rows = SqliteReader(schema, options)
+
+    def initialOffset(self) -> dict[str, int]:
+        return {"row": 0}
+
+    def latestOffset(self) -> dict[str, int]:
+        con = connect(self.rows.path)
+        try:
+            return {"row": con.execute(f"SELECT coalesce(max(rowid), 0) FROM {_quoted(self.rows.table)}").fetchone()[0]}
+        finally:
+            con.close()
+
+    def partitions(self, start: dict[str, int], end: dict[str, int]) -> Sequence[RowRange]:
+        low, high = start["row"] + 1, end["row"] + 1
+        step = max(1, -(-(high - low) // self.rows.parts))
+        return [RowRange(self.rows.path, a, min(a + step, high)) for a in range(low, high, step)]
+
+    def read(self, partition: RowRange) -> Iterator[tuple[Any, ...]]:
+        return self.rows.read(partition)
+
+
 class SqliteSource(DataSource):
     """``format("sqlite")``: options ``path`` (a file that driver and executors all see, or a folder of ``*.db``), ``dbtable``, ``numPartitions`` (8 a file) and ``maxRows``.
 
@@ -162,6 +192,9 @@ class SqliteSource(DataSource):
     def reader(self, schema: StructType) -> SqliteReader:
         return SqliteReader(schema, {k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema: StructType) -> SqliteStream:
+        return SqliteStream(schema, {k.lower(): v for k, v in self.options.items()})
+
 
 def read_sqlite(spark: SparkSession, path: str, table: str, schema: str | None = None, partitions: int = 8, most: int | None = None):
     """A table of a SQLite file as a DataFrame (see :class:`SqliteSource`)."""
@@ -170,3 +203,10 @@ def read_sqlite(spark: SparkSession, path: str, table: str, schema: str | None =
     reader = spark.read.format("sqlite").option("path", path).option("dbtable", table).option("numPartitions", partitions)
     reader = reader.option("maxRows", most) if most is not None else reader
     return (reader.schema(schema) if schema else reader).load()
+
+
+def poll_sqlite(spark: SparkSession, path: str, table: str, schema: str | None = None, partitions: int = 8):
+    """A SQLite file's growing table as a stream (see :class:`SqliteStream`)."""
+    spark.dataSource.register(SqliteSource)
+    reader = spark.readStream.format("sqlite").option("path", path).option("dbtable", table).option("numPartitions", partitions)
+    return (reader.schema(schema) if schema else reader).load()

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+import logging
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.commits import CommitLog, Conflict
+
 
 def alerts_once(events: DataFrame, at: str, *keys: str, late: str = "1 day") -> DataFrame:
     """One row for each event key; state older than ``late`` behind the newest event is dropped."""
@@ -42,19 +48,85 @@ def changes(samples: DataFrame, key: str, value: str, at: str, threshold: float
     return rows.groupBy(key).applyInPandasWithState(run, out, "seconds double, value double", "append", GroupStateTimeout.NoTimeout)
 
 
-def poll(stream: DataFrame, handle: Callable[[DataFrame, int], None], beats: str, progress: str, every: str = "5 minutes", once: bool = False) -> StreamingQuery:
-    """``handle`` each batch of a source that is asked ``every`` so often (or ``once``), then note ``batch, at, rows`` at the path ``beats``.
+class Heartbeats(StreamingQueryListener):
+    """What the polled queries of a session did last, as records in a commit log that other sessions read.
 
-    The query resumes from ``progress``; a batch that fails is handled again, so
-    ``handle`` must be able to repeat one (as :func:`claim` is).
+    A record has ``source`` (the query's name), ``state`` (started, checked, idle, stopped),
+    ``at`` (ISO), ``batch``, ``rows`` and ``error``. Spark tells the listener on the driver; no
+    job is run for it.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
-        handle(batch, number)
-        batch.agg(F.lit(number).alias("batch"), F.current_timestamp().alias("at"), F.count("*").alias("rows")).write.mode("append").parquet(beats)
+    def __init__(self, log: CommitLog) -> None:
+        self.log = log
+        self.names: dict[str, str] = {}
+
+    def _beat(self, run: object, state: str, at: str, **more: object) -> None:
+        record = {"source": self.names.get(str(run)), "state": state, "at": at} | more
+        while True:  # any next number will do
+            try:
+                return self.log.commit(self.log.latest() + 1, record)
+            except Conflict:
+                continue
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.runId)] = event.name
+        self._beat(event.runId, "started", event.timestamp)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._beat(p.runId, "checked", p.timestamp, batch=p.batchId, rows=p.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self._beat(event.runId, "idle", event.timestamp)
+
+    def onQueryTerminated(self, event) -> None:
+        now = datetime.datetime.now(datetime.UTC).isoformat()
+        self._beat(event.runId, "stopped", now, error=(event.exception or "")[:2000] or None)
 
-    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", progress)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+
+def last_beats(log: CommitLog) -> dict[str, dict]:
+    """Of each source the last record, with ``checked_at`` of its last check, ``rows`` of all and ``error`` of the last stop."""
+    out: dict[str, dict] = {}
+    for n in log.numbers():
+        r = log.read(n)
+        held = out.setdefault(r["source"], {"checked_at": None, "rows": 0, "error": None})
+        held |= {"state": r["state"], "at": r["at"]}
+        if r["state"] == "checked":
+            held |= {"checked_at": r["at"], "rows": held["rows"] + r["rows"]}
+        if r["state"] == "stopped":
+            held["error"] = r["error"]
+    return out
+
+
+def poll(stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None], progress: str, every: str = "5 minutes", once: bool = False) -> StreamingQuery:
+    """``handle`` each batch of a source that is asked ``every`` so often, or ``once``.
+
+    The query resumes from ``progress``; a batch that fails is handled again, so
+    ``handle`` must be able to repeat one (as :func:`claim` is). :class:`Heartbeats` on the
+    session tells that it lives.
+    """
+    writer = stream.writeStream.queryName(name).foreachBatch(handle).option("checkpointLocation", progress)
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=every)).start()
+
+
+def keep_polling(start: Callable[[], StreamingQuery], stop: threading.Event, wait: float = 60.0, cycles: int | None = None) -> int:
+    """A failure doesn't end the loop: ``start`` again ``wait`` seconds after the query ends, until ``stop`` is set; how many starts there were."""
+    n = 0
+    while not stop.is_set() and (cycles is None or n < cycles):
+        n += 1
+        query = None
+        try:
+            query = start()
+            while not query.awaitTermination(1) and not stop.is_set():
+                pass
+        except StreamingQueryException as failed:
+            logging.getLogger(__name__).warning("polled query failed: %s", failed)
+        finally:
+            if query is not None and query.isActive:
+                query.stop()
+        if cycles is None or n < cycles:
+            stop.wait(wait)
+    return n
 
 
 def claim(orders: DataFrame, claims: DataFrame, now: int, batch: str, lease: int = 600, most: int | None = None) -> DataFrame:
