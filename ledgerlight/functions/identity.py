@@ -15,7 +15,8 @@ def parse_reference(name: Column, brands: Sequence[str]) -> Column:
     """``brand, model, colour, caliber`` out of a free text such as ``BRAND BV1274S 005 54-21``.
 
     The brand is a known one that the text holds, the model the first word with letters
-    and digits, the colour the word after it.
+    and digits, the colour the word after it; NULL where there is none. For a handful of
+    brands: a catalogue's are joined by ``operators.references``.
     """
     caliber = bound(normalize_caliber(name), plausible_caliber)
     return bound(F.struct(tokens(name).alias("words"), caliber.alias("caliber")), lambda x: _parsed(x["words"], x["caliber"], brands))
@@ -24,12 +25,13 @@ def parse_reference(name: Column, brands: Sequence[str]) -> Column:
 def _parsed(words: Column, caliber: Column, brands: Sequence[str]) -> Column:
     brand = F.lit(None).cast("string")
     for b in sorted(brands, key=len):
-        brand = F.when(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(f" {b.upper()} "), F.lit(b.upper())).otherwise(brand)
+        spelt = F.concat(F.lit(" "), F.array_join(tokens(F.lit(b)), " "), F.lit(" "))
+        brand = F.when(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")).contains(spelt), F.lit(b.upper())).otherwise(brand)
 
     def rest(model: Column) -> Column:
         after = F.try_element_at(words, (F.array_position(words, model) + 1).cast("int"))
         colour = F.when(after.rlike("^[0-9A-Z]{1,6}$") & after.rlike("[0-9]"), after)
-        return F.struct(brand.alias("brand"), model_key(model).alias("model"), colour.alias("colour"), caliber.alias("caliber"))
+        return F.struct(brand.alias("brand"), F.nullif(model_key(model), F.lit("")).alias("model"), colour.alias("colour"), caliber.alias("caliber"))
 
     return bound(F.try_element_at(F.filter(words, lambda w: w.rlike("[0-9]") & w.rlike("[A-Z]")), F.lit(1)), rest)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, identity, money
+from ..operators.references import references, search_plan
 from .registry import Tables, query
 
 
@@ -100,6 +101,42 @@ def _identity(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", identity.classify(read(ours), read(other))["match"].alias("match"))
 
 
+CODES = "SELECT p_partkey AS id, p_partkey % 6 AS k, p_brand AS brand, 'M' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') || 'X' AS model FROM part"
+
+
+@query(
+    "F13_references",
+    f"""WITH c AS ({CODES}) SELECT id, CASE WHEN k < 3 THEN brand END AS brand, CASE WHEN k < 4 THEN model WHEN k = 4 THEN 'UNKNOWN WORDS' END AS model, CASE WHEN k IN (0, 1, 3) THEN '005' WHEN k = 4 THEN '12' END AS colour, CASE k WHEN 0 THEN '54-21' WHEN 3 THEN '55' END AS caliber, k = 5 AS ambiguous FROM c""",
+)
+def _references(t: Tables) -> DataFrame:
+    """as many models as there are parts; brands with signs, models spelt apart, said twice, or beside another code."""
+    k, code = F.col("p_partkey") % 6, F.concat(F.lit("M"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"))
+    model, number = F.concat(code, F.lit("X")), F.regexp_extract("p_brand", "[0-9]+", 0)
+    name = (
+        F.when(k == 0, F.concat(F.lit("Brand "), number, F.lit(" "), model, F.lit(" 005 54-21")))
+        .when(k == 1, F.concat(F.lit("brând-"), number, F.lit(" "), F.lower(code), F.lit("-x/005 negro")))
+        .when(k == 2, F.concat("p_brand", F.lit(" Colección "), model, F.lit(" rojo")))
+        .when(k == 3, F.concat(model, F.lit(" "), model, F.lit(" 005 55")))
+        .when(k == 4, F.lit("unknown words 12")).otherwise(F.concat(model, F.lit(" M999999X 005")))
+    )
+    names = t.part.select(F.col("p_partkey").alias("id"), name.alias("name"))
+    return references(names, t.part.select(F.col("p_brand").alias("brand")), t.part.select(model.alias("model")))
+
+
+PLAN = f"""WITH c AS ({CODES}), s AS (SELECT id, upper(brand) AS b, model AS m, upper(replace(brand, '#', '')) AS colour FROM c)
+SELECT id, CAST(n AS INTEGER) AS step, level, query FROM (SELECT id, 0 AS n, 'ean' AS level, lpad(CAST(id AS VARCHAR), 13, '0') AS query FROM s UNION ALL SELECT id, 1, 'ean', CAST(id AS VARCHAR) FROM s WHERE id % 2 = 0
+UNION ALL SELECT id, 1 + CAST(id % 2 = 0 AS INTEGER), 'brand_model_color', b || ' ' || m || ' ' || colour FROM s UNION ALL SELECT id, 2 + CAST(id % 2 = 0 AS INTEGER), 'model_color', m || ' ' || colour FROM s
+UNION ALL SELECT id, 4 + CAST(id % 2 = 0 AS INTEGER), 'normalized_variants', m || colour FROM s UNION ALL SELECT id, 5 + CAST(id % 2 = 0 AS INTEGER), 'normalized_variants', m || '-' || colour FROM s)"""
+
+
+@query("F13_search_plan", PLAN)
+def _search_plan(t: Tables) -> DataFrame:
+    """the searches for each product, in order."""
+    model = F.concat(F.lit("M"), F.lpad(F.col("p_partkey").cast("string"), 6, "0"), F.lit("x"))
+    other = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string"))
+    return search_plan(t.part.select(F.col("p_partkey").alias("id"), F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("ean"), other.alias("original_ean"), F.col("p_brand").alias("brand"), model.alias("model"), F.replace("p_brand", F.lit("#"), F.lit("")).alias("color")))
+
+
 def lookup_of_all(parts: DataFrame) -> DataFrame:
     """every part against all others; a level counts only if another part has its keys."""
     rows = parts.select(F.col("p_partkey").alias("id"), "p_name", "p_brand", "p_size")
