@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, money
 from ..operators import keyed
+from ..operators.product_pages import page_products
 from ..sources import sheets, tables
 from ..sources.commits import CommitLog
 from ..sources.keyed_table import KeyedTable
@@ -252,6 +253,38 @@ def _products(t: Tables) -> DataFrame:
     return web.product_nodes(_pages(t)).withColumn("variant", F.col("variant").cast("int"))
 
 
+@query(
+    "N5_page_facts",
+    """WITH p AS (SELECT p_partkey AS page_id, p_partkey % 9 AS k, p_name AS name, p_brand AS brand, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS price, CAST(CAST(p_retailprice + 10 AS DECIMAL(18,2)) AS DOUBLE) AS more FROM part)
+SELECT page_id, CAST(CASE WHEN k IN (3, 4) THEN 2 WHEN k = 8 THEN 0 ELSE 1 END AS INTEGER) AS products, CASE WHEN k < 8 THEN name END AS title, CASE WHEN k = 4 THEN brand END AS brand, CASE WHEN k < 8 AND k <> 2 THEN price END AS price, CASE WHEN k < 8 THEN 'EUR' END AS currency,
+  CASE WHEN k = 7 THEN more END AS previous_price, CASE WHEN k = 7 THEN true END AS includes_tax, CASE WHEN k IN (2, 4, 7, 8) THEN 'unknown' WHEN k = 6 THEN 'unavailable' ELSE 'available' END AS availability, CASE WHEN k = 0 THEN 'ES' END AS market, k = 5 AS ambiguous FROM p""",
+)
+def _page_facts(t: Tables) -> DataFrame:
+    """Graphs in lists, blocks beside others, variants of the page's address, offers with conditions, list prices."""
+    k, price = F.col("p_partkey") % 9, F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    more = (F.col("p_retailprice") + 10).cast("decimal(18,2)").cast("string")
+    url = F.concat(F.lit("https://s.example/p/"), F.col("p_partkey").cast("string"))
+    join = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    offer = lambda p, rest="": join('{"@type":"Offer","price":"', p, '","priceCurrency":"eur"', rest, "}")
+    product = lambda offers, rest="": join('{"@type":"Product","name":"', F.col("p_name"), '"', rest, ',"offers":', offers, "}")
+    stock = ',"availability":"https://schema.org/InStock"'
+    plain = product(offer(price, stock))
+    script = lambda ld, quote='"': join(f"<script type={quote}application/ld+json{quote}>", ld, "</script>")
+    html = (
+        F.when(k == 0, join(script(F.lit('{"@type":"BreadcrumbList"}'), "'"), script(product(offer(price, stock + ',"eligibleRegion":"ES"')), "'")))
+        .when(k == 1, script(join('[{"@graph":[{"@type":"WebPage"},{"@graph":', plain, "}]}]")))
+        .when(k == 2, script(product(join('{"@type":"AggregateOffer","priceCurrency":"EUR","lowPrice":"', price, '"}'))))
+        .when(k == 3, script(join("[", product(offer(more), ',"url":"/p/0"'), ",", product(offer(price, stock), join(',"url":"', url, '"')), "]")))
+        .when(k == 4, script(join('{"@type":"ProductGroup","brand":{"name":"', F.col("p_brand"), '"},"name":"', F.col("p_name"), '","offers":', offer(price), ',"hasVariant":[{"url":"', url, '"},{"url":"/p/0"}]}')))
+        .when(k == 5, script(product(join("[", offer(price, stock), ",", offer(more), "]"))))
+        .when(k == 6, script(product(join("[", offer(more, ',"eligibleQuantity":2'), ",", offer(price, ',"availability":"SoldOut"'), "]"))))
+        .when(k == 7, script(product(join('{"priceCurrency":"EUR","priceSpecification":[{"priceType":"https://schema.org/ListPrice","price":', more, '},{"price":"', price, '","valueAddedTaxIncluded":true}]}'))))
+        .otherwise(F.lit("<script type='application/ld+json'>{not json</script>"))
+    )
+    found = page_products(t.part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html")))
+    return found.select("page_id", F.col("products").cast("int").alias("products"), "title", "brand", "price", "currency", "previous_price", "includes_tax", "availability", "market", "ambiguous")
+
+
 @query(
     "X33_identified_offers",
     """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_partkey % 4 = 3 THEN 'rejected' WHEN l_partkey % 4 = 2 THEN 'probable' ELSE 'exact' END AS match, CASE WHEN l_partkey % 4 < 2 THEN l_quantity * 1.5 END AS price_eur FROM lineitem""",

@@ -47,9 +47,12 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_text_table(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """Every column as trimmed text, NULL as empty; a ragged row is an error."""
+    """Every column as trimmed text, NULL as empty; quoted cells may hold line ends and quotes; a ragged row is an error.
+
+    A file is one task, as a line end inside a cell can't be told from the middle of it.
+    """
     sep = separator or sniff_separator(spark, path)
-    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="FAILFAST", encoding="UTF-8")
+    raw = spark.read.csv(path, sep=sep, header=True, inferSchema=False, mode="FAILFAST", encoding="UTF-8", multiLine=True, quote='"', escape='"')
     names = [c.lstrip("﻿").strip() for c in raw.columns]
     if len({n.lower() for n in names}) < len(names) or "" in names:
         raise ValueError("blank or repeated header")
@@ -128,7 +131,7 @@ def robots_rules(df: DataFrame, column: str, agent: str = "*", *keys: str) -> Da
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``), or on this machine where it is one alone; it goes when the driver's JVM ends."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    if not shared and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     path = f"{(shared or f'file:///tmp/checkpoints/{os.getuid()}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -145,8 +148,9 @@ def read_groups(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, *partition_by: str) -> None:
-    """K1, K2: semicolons, a header, one folder for each partition."""
-    df.write.mode("overwrite").partitionBy(*partition_by).csv(path, sep=";", header=True, lineSep="\r\n") if partition_by else df.write.mode("overwrite").csv(path, sep=";", header=True)
+    """K1, K2: semicolons, a header, quotes doubled inside cells, one folder for each partition."""
+    writer = df.write.mode("overwrite").option("sep", ";").option("header", True).option("escape", '"').option("lineSep", "\r\n")
+    (writer.partitionBy(*partition_by) if partition_by else writer).csv(path)
 
 
 def limited(df: DataFrame, most: int) -> tuple[DataFrame, bool]:

@@ -91,6 +91,14 @@ def test_text_table_roundtrip(spark, tmp_path):
     assert (tmp_path / "out" / "ean=7").exists()
 
 
+def test_cells_with_line_ends_quotes_and_separators(spark, tmp_path):
+    cells = ["a\nb", "c\r\nd", 'say "x"; y', "plain", "back\\slash", '"', ""]
+    rows = spark.createDataFrame([(str(i), c) for i, c in enumerate(cells)], "codigo string, texto string").repartition(3)
+    tables.write_csv(rows, str(tmp_path / "out"))
+    got = {r.codigo: r.texto for r in tables.read_text_table(spark, str(tmp_path / "out")).collect()}
+    assert {k: v.replace("\r\n", "\n") for k, v in got.items()} == {str(i): c.replace("\r\n", "\n") for i, c in enumerate(cells)}
+
+
 def test_parse_codes_and_observations(spark, tmp_path):
     df = spark.createDataFrame([("036000291452, 036000291452; abc\n12",)], "t string")
     got = sorted(tuple(r) for r in tables.parse_codes(df, "t").collect())
