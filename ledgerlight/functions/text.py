@@ -26,6 +26,27 @@ _SEVERAL = {sign: plain for span in ((0xA0, 0x24F), (0x2120, 0x2122), (0xFB00, 0
 ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
 
 
+def _letters(first: int, last: int) -> dict[str, str]:
+    """Signs of a range that are one sign and combining marks, with that sign."""
+    out = {}
+    for sign in map(chr, range(first, last + 1)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", sign) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != sign:
+            out[sign] = plain
+    return out
+
+
+#: Letters of all scripts without marks, but for the syllables that are put together of letters (Hangul) and surrogates.
+_BARE = _letters(0xA0, 0xABFF) | _letters(0xF900, 0xFFFF)
+
+
+def bare_letters(c: Column) -> Column:
+    """Lower case without marks; letters without an ASCII form stay (``ł``, Greek, Cyrillic)."""
+    for sign, plain in (_SEVERAL | {"ß": "ss", "ς": "σ"}).items():
+        c = F.replace(c, F.lit(sign), F.lit(plain))
+    return F.regexp_replace(F.translate(F.lower(c), "".join(_BARE), "".join(_BARE.values())), r"\p{Mn}", "")
+
+
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """An expression that uses a value more than once and computes it once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -113,9 +134,15 @@ def like_literal(c: Column, query: str) -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Folded lower case; a run of digits stands behind its length without leading zeros, so that 10 follows 9."""
-    parts = F.regexp_extract_all(F.lower(ascii_fold(F.coalesce(c, F.lit("")))), F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), _counted(F.ltrim(p, F.lit("0")))).otherwise(p)), "")
+    """A key in natural order: texts without marks and case, numbers by their value, in turn.
+
+    A text ends in a sign below all others, so that one comes before what it begins; a
+    number stands behind its length without leading zeros, so that 10 follows 9.
+    """
+    parts = F.regexp_extract_all(bare_letters(F.coalesce(c, F.lit(""))), F.lit("([^0-9]*)([0-9]*)"), 0)
+    text = lambda p: F.regexp_replace(p, "[0-9]+$", "")
+    keyed = F.transform(parts, lambda p: F.concat(text(p), F.when(p.rlike("[0-9]$"), F.concat(F.lit("\x01"), _counted(F.ltrim(F.regexp_extract(p, "([0-9]+)$", 1), F.lit("0"))))).otherwise("")))
+    return F.array_join(keyed, "")
 
 
 def _counted(digits: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import keyed
 from ..operators.ranks import numbered
+from ..operators.exports import export_names
 from .registry import Tables, query
 
 VIEWS = ("frontal", "lateral", "perspectiva")
@@ -123,6 +124,26 @@ def _inverse(t: Tables) -> DataFrame:
     return t.part.groupBy(key.alias("image_key")).agg(keyed.unique_or_null("p_partkey").alias("product"), F.count("*").alias("candidates"))
 
 
+EXPORT = """WITH RECURSIVE f AS (SELECT l_partkey % 97 AS order_id, lpad(CAST(l_partkey AS VARCHAR), 13, '0') AS ean, CASE l_linenumber % 3 WHEN 0 THEN 'a.jpg' WHEN 1 THEN 'a__c1.jpg' ELSE 'b' END AS name, 'c' || CAST(l_suppkey % 3 AS VARCHAR) AS checksum, l_orderkey * 10 + l_linenumber AS place FROM lineitem),
+o AS (SELECT order_id, ean, name, checksum, min(place) AS place FROM f GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY ean ORDER BY place) AS k FROM o),
+w AS (SELECT ean, 0 AS k, CAST(MAP {} AS MAP(VARCHAR, VARCHAR)) AS given, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS checksum, CAST(NULL AS VARCHAR) AS path FROM (SELECT DISTINCT ean FROM n)
+UNION ALL SELECT ean, k, map_concat(given, MAP {path: checksum}), name, checksum, path FROM (SELECT n.ean, n.k, w.given, n.name, n.checksum, list_filter([n.name, replace(n.name, '.jpg', '') || '__' || n.checksum || CASE WHEN n.name LIKE '%.jpg' THEN '.jpg' ELSE '' END, replace(n.name, '.jpg', '') || '__' || n.checksum || '-1' || CASE WHEN n.name LIKE '%.jpg' THEN '.jpg' ELSE '' END],
+  lambda p: coalesce(w.given[p], n.checksum) = n.checksum)[1] AS path FROM w JOIN n ON n.ean = w.ean AND n.k = w.k + 1))
+SELECT ean, name, checksum, ean || '/' || path AS path FROM w WHERE k > 0"""
+
+
+@query("X22_collision_free", EXPORT)
+def _collisions(t: Tables) -> DataFrame:
+    """Names that several images of a product have, and one that another's name with its checksum runs into."""
+    n = F.col("l_linenumber") % 3
+    name = F.when(n == 0, "a.jpg").when(n == 1, "a__c1.jpg").otherwise("b")
+    checksum = F.concat(F.lit("c"), (F.col("l_suppkey") % 3).cast("string"))
+    files = t.lineitem.select(
+        (F.col("l_partkey") % 97).alias("order_id"), F.lpad(F.col("l_partkey").cast("string"), 13, "0").alias("ean"), name.alias("name"), checksum.alias("checksum"), F.lit(1).cast("long").alias("size"), F.lit("frontal").alias("view"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("place")
+    )
+    return export_names(files, most_files=1 << 40, most_bytes=1 << 60).select("ean", "name", "checksum", "path")
+
+
 @query(
     "T4_catalog_page",
     f"WITH {IMAGES} SELECT ean, count(*) AS images FROM images GROUP BY ean ORDER BY images DESC, ean LIMIT 25 OFFSET 50",
