@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import keyed
+from ..operators import keyed, monitoring
 from .catalog import IMAGES, images
 from .registry import Tables, query
 from .views import OFFERS, PRODUCTS, offers, products
@@ -114,6 +114,22 @@ def _policy(t: Tables) -> DataFrame:
     return rows.select("page_id", "host", F.coalesce("rule", F.lit(4)).alias("vat"), (F.col("rule").isNotNull() & (F.col("page_id") % 7 == 0)).alias("contradiction"))
 
 
+@query(
+    "X32_market_evidence",
+    """WITH p AS (SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'ES' WHEN 1 THEN 'PT' ELSE '' END AS market, p_partkey % 13 = 0 AS clash, CASE WHEN p_size % 2 = 0 AND p_size % 5 > 0 AND p_size % 7 > 0 THEN CASE WHEN p_partkey % 4 < 2 THEN 'ES' ELSE 'FR' END ELSE '' END AS set FROM part),
+q AS (SELECT *, clash OR (market <> '' AND set <> '' AND market <> set) AS review FROM p)
+SELECT page_id, CASE WHEN market <> '' THEN market ELSE set END AS sales_market, CASE WHEN review THEN 'contradictorio' WHEN market <> '' THEN 'ficha' WHEN set <> '' THEN 'configuración' ELSE 'sin evidencia' END AS market_reason, review AS market_review FROM q""",
+)
+def _markets(t: Tables) -> DataFrame:
+    """The market of a page's price by the page, by its shop's verified settings, or by nothing."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pages = t.part.select(
+        k.alias("page_id"), F.when(k % 3 == 0, "ES").when(k % 3 == 1, " PT").alias("market"), F.lit("ficha").alias("market_source"), F.when(k % 13 == 0, True).alias("market_conflict"), F.when(k % 4 < 2, "ES").otherwise("FR").alias("configured_market"),
+        (n % 2 == 0).alias("market_verified"), F.when(n % 5 > 0, "https://s.example").otherwise(" ").alias("evidence_url"), F.when(n % 7 > 0, "note").alias("market_note"),
+    )
+    return monitoring.resolved_markets(pages).select("page_id", "sales_market", "market_reason", "market_review")
+
+
 @query(
     "A30_catalog_audit",
     "SELECT p_type, p_size > 25 AS large, p_brand LIKE '%1%' AS ones, CAST(count(*) AS BIGINT) AS items, min(p_retailprice) AS least, max(p_retailprice) AS most FROM part GROUP BY ALL",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import gate, keyed, series
+from ..operators import gate, keyed, monitoring, series
 from ..sources.keyed_table import KeyedTable
 from ..sources.tables import scratch
 from .registry import Tables, query
@@ -178,6 +178,26 @@ def _edges(t: Tables) -> DataFrame:
     return t.events.withColumn("previous", was).withColumn("kind", kind).where("kind is not null").select("event_id", "user_id", "kind")
 
 
+@query(
+    "R4_sample_alerts",
+    f"""WITH {EPOCH}, s AS (SELECT event_id, user_id, event_type, secs, CASE WHEN event_id % 3 = 0 THEN 'unavailable' ELSE 'available' END AS availability, value AS price, event_id % 5 > 0 AS tax, CASE WHEN event_id % 7 = 0 THEN 'no price' END AS gap, event_id % 11 = 0 AS conflict, CASE WHEN user_id % 6 > 0 THEN 20.0 + user_id % 40 END AS own, event_id % 4 > 0 AND event_id % 7 > 0 AS eligible FROM e),
+p AS (SELECT *, lag(availability) OVER w AS a0, lag(price) OVER w AS p0, coalesce(lag(tax AND gap IS NULL) OVER w, false) AS ok0, lag(conflict) OVER w AS c0, lag(own) OVER w AS o0 FROM s WINDOW w AS (PARTITION BY user_id, event_type ORDER BY secs, event_id))
+SELECT event_id, 'availability' AS kind, a0 AS old_value, availability AS new_value FROM p WHERE a0 <> availability
+UNION ALL SELECT event_id, CASE WHEN price > p0 THEN 'price_up' ELSE 'price_down' END, 'price', 'price' FROM p WHERE tax AND gap IS NULL AND ok0 AND p0 <> 0 AND abs((price - p0) / p0 * 100) >= 5
+UNION ALL SELECT event_id, 'undercut', 'price', 'price' FROM p WHERE eligible AND price < own AND NOT coalesce(ok0 AND a0 = 'available' AND NOT c0 AND p0 < o0, false)""",
+)
+def _sample_alerts(t: Tables) -> DataFrame:
+    """Availability, moves and undercuts at their edges."""
+    i = F.col("event_id")
+    samples = _events(t).select(
+        "event_id", "user_id", "event_type", "at", F.when(i % 3 == 0, "unavailable").otherwise("available").alias("availability"), F.col("value").alias("price"), (i % 5 > 0).alias("includes_tax"), F.when(i % 7 == 0, "no price").alias("gap"), (i % 11 == 0).alias("stock_conflict"),
+        F.when(F.col("user_id") % 6 > 0, F.lit(20.0) + F.col("user_id") % 40).alias("own_price"), ((i % 4 > 0) & (i % 7 > 0)).alias("eligible"),
+    )
+    alerts = monitoring.sample_alerts(samples.withColumn("moment", F.struct("at", "event_id")), ["user_id", "event_type"], "moment")
+    shown = lambda c: F.when(F.col("kind") == "availability", F.col(c)).otherwise("price").alias(c)
+    return alerts.select("moment.event_id", "kind", shown("old_value"), shown("new_value"))
+
+
 @query(
     "R9_window_counts",
     "SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS started, CAST(count(*) AS BIGINT) AS attempts FROM events WHERE event_type = 'error' GROUP BY ALL",
