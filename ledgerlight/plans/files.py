@@ -35,9 +35,9 @@ def _scan(t: Tables) -> DataFrame:
 def _sqlite(t: Tables) -> DataFrame:
     """Tables of SQLite files, written by the tasks that hold the rows; filters and columns go into SQLite."""
     folder = tables.scratch(t.spark, "sqlite")
-    if not folder.startswith("file:"):
-        raise ValueError("SQLite files need a folder that is mounted everywhere")
     local = folder.removeprefix("file://").removeprefix("file:")
+    if "://" in local:
+        raise ValueError("SQLite files need a folder that is mounted everywhere")
 
     def write(batches):
         os.makedirs(local, exist_ok=True)
