@@ -3,7 +3,7 @@
 Vectors are unit length. A k-means codebook deals them to coarse lists; what is
 left of a vector beside its list's centre is coded subspace by subspace, and the
 distance to its code is kept. Codebooks are fitted on a bounded sample
-(``SAMPLE_ROWS``); every vector is in the index.
+(``SAMPLE_ROWS``, or ``PER_LIST`` for each list); every vector is in the index.
 
 A link needs a Euclidean distance of at most ``d = sqrt(2 - 2 cos)``. A query
 probes a list if its distance to the hyperplane between that list's centre and its
@@ -36,12 +36,16 @@ from pyspark.sql import functions as F
 from .components import components
 from .storage import Workspace, bound_batches, lean
 
-#: Vectors that the codebooks are fitted on at most, and rounds of k-means.
-SAMPLE_ROWS, ROUNDS = 8192, 12
+#: Vectors that the codebooks are fitted on: so many, or so many for each list where that is more; rounds of k-means.
+SAMPLE_ROWS, PER_LIST, ROUNDS = 8192, 64, 12
+#: Vectors that are held against all centres at once.
+TOGETHER = 2048
 #: Codewords of a subspace, and dimensions that share one.
 CODEWORDS, SUBSPACE = 256, 8
 #: Bytes of one side of a cell as doubles; a list for each such number of vectors, at most so many lists.
 BLOCK_BYTES, MOST_LISTS = 8 << 20, 4096
+#: Vectors of a list at least, however long they are.
+LEAST_BLOCK = 256
 #: Queries that are looked up at once.
 QUERIES = 128
 #: Slack of the distance bounds for rounding; the cosine itself is exact.
@@ -67,7 +71,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
         return distinct
     centres = distinct[rng.choice(len(distinct), k, replace=False)].copy()
     for _ in range(ROUNDS):
-        near = np.argmin(_squares(x, centres), 1)
+        near = _nearest(x, centres)
         counts = np.bincount(near, minlength=k)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -80,10 +84,14 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmin(_squares(x[i : i + TOGETHER], centres), 1) for i in range(0, max(len(x), 1), TOGETHER)])
+
+
 def fit(sample: np.ndarray, lists: int, cosine: float) -> Books:
     rng = np.random.default_rng(11)
     centres = kmeans(sample, lists, rng)
-    rest = sample - centres[np.argmin(_squares(sample, centres), 1)]
+    rest = sample - centres[_nearest(sample, centres)]
     dims = sample.shape[1]
     step = SUBSPACE if dims % SUBSPACE == 0 else next(s for s in range(min(SUBSPACE, dims), 0, -1) if dims % s == 0)
     words = np.zeros((dims // step, CODEWORDS, step))
@@ -110,7 +118,9 @@ def probes(books: Books, x: np.ndarray) -> np.ndarray:
     """Which lists can hold a vector within reach of each query: a boolean matrix."""
     d = _squares(x, books.centres)
     near = np.argmin(d, 1)
-    gaps = np.sqrt(_squares(books.centres, books.centres))[near]
+    # distances from the lists that these queries are nearest to, not between all lists
+    own, at = np.unique(near, return_inverse=True)
+    gaps = np.sqrt(_squares(books.centres[own], books.centres))[at]
     beyond = (d - d[np.arange(len(x)), near][:, None]) / (2 * np.maximum(gaps, 1e-12))
     beyond[np.arange(len(x)), near] = 0
     return beyond <= books.reach
@@ -268,9 +278,14 @@ _PACK = "lo int, hi int, second boolean, n int, node binary, copies binary, raw
 def _linked(entries: DataFrame, dims: int, n: int, cosine: float, work: Workspace, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``node, copies_linked`` sums, and ``node, other`` links that span the components."""
     spark = entries.sparkSession
-    block = max(256, block_bytes // (8 * dims))
-    sample = entries.orderBy("key").limit(SAMPLE_ROWS).select("raw").toArrow().column("raw").to_pylist()
-    shared = spark.sparkContext.broadcast(fit(_units(sample, dims), min(MOST_LISTS, max(1, -(-n // block))), cosine))
+    block = max(LEAST_BLOCK, block_bytes // (8 * dims))
+    lists = min(MOST_LISTS, max(1, -(-n // block)))
+    rows = max(SAMPLE_ROWS, PER_LIST * lists)
+    # digests are spread evenly: those below a bound are a few more than are taken, and the only ones put in order
+    bound = int(min(1.0, (1.2 * rows + 1000) / max(n, 1)) * (1 << 32))
+    low = entries.where(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("long") < bound)
+    sample = low.orderBy("key").limit(rows).select("raw").toArrow().column("raw").to_pylist()
+    shared = spark.sparkContext.broadcast(fit(_units(sample, dims), lists, cosine))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each batch, the members that one pair of lists has on one side, as one row."""

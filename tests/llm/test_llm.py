@@ -94,6 +94,26 @@ def test_probes_spare_lists_where_there_are_clusters():
     assert asked.sum(1).mean() < 8
 
 
+def test_many_lists_give_the_links_of_brute_force(spark, monkeypatch):
+    """Over 500 lists, each fitted on several vectors; a batch asks only for the lists near its own vectors."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(300, 16)), 15, 0) + rng.normal(size=(4500, 16)) * 0.25
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(vectors, "PER_LIST", 4)
+    monkeypatch.setattr(vectors, "LEAST_BLOCK", 8)
+    fitted = []
+    monkeypatch.setattr(vectors, "fit", lambda sample, lists, cosine, f=vectors.fit: fitted.append((len(sample), lists)) or f(sample, lists, cosine))
+    got = vectors.near_duplicates(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(4500), "embedding": x.tolist()})), block_bytes=8 * 16 * 8).toPandas().sort_values("vec_id")
+    assert fitted[0][1] >= 500 and fitted[0][0] == 4 * fitted[0][1]
+    assert np.array_equal(got.n_links, (u @ u.T >= 0.9).sum(1) - 1)
+    books = vectors.fit(u[::3], 500, 0.9)
+    asked = vectors.probes(books, u[:200])
+    near = np.array([np.argmin(((v - books.centres) ** 2).sum(1)) for v in u])
+    linked = u[:200] @ u.T >= 0.9
+    assert all(asked[q, near[v]] for q, v in zip(*np.nonzero(linked), strict=True))
+
+
 def test_a_dense_group_of_vectors_takes_little_memory():
     rng = np.random.default_rng(7)
     x = rng.normal(size=32) + rng.normal(size=(5000, 32)) * 0.01
