@@ -18,6 +18,12 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame
     return _first(df, keys, [F.col(c).desc_nulls_last() for c in order])
 
 
+def newest(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """A10 as an aggregate: tasks keep one row of a key before rows are dealt by it. The order must end in a unique column that isn't NULL."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")).select(*keys, "__row.*")
+
+
 def distinct_on(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """The first row of each key."""
     return _first(df, keys, [F.col(c).asc_nulls_last() for c in order])

@@ -52,12 +52,14 @@ def monitoring_grid(t: Tables) -> DataFrame:
     """
     watched = products(t).where("brand = 'Brand#9'").select("ean", "own_price")
     shops = t.supplier.where("s_acctbal > 5000").select(F.col("s_suppkey").alias("competitor_id"))
-    last = keyed.latest_per_key(offers(t), ["ean", "competitor_id"], "captured_at", "id")
+    # the scope comes first: only offers of watched products at active shops are compared
+    scoped = offers(t).join(watched.select("ean"), "ean", "left_semi").join(shops, "competitor_id", "left_semi")
+    last = keyed.newest(scoped, ["ean", "competitor_id"], "captured_at", "id")
     status = (
         F.when(F.col("id").isNull(), "not_located").when(~F.col("exact"), "review").when(F.col("vat").isNull(), "vat_unknown").when(~F.col("available"), "no_stock")
         .when(F.col("captured_at") < F.lit("2000-01-01").cast("timestamp_ntz"), "expired").otherwise("current")
     )
-    grid = watched.crossJoin(F.broadcast(shops)).join(last, ["ean", "competitor_id"], "left").withColumn("status", status)
+    grid = watched.crossJoin(shops).join(last, ["ean", "competitor_id"], "left").withColumn("status", status)
     best = F.min(F.when(F.col("status") == "current", F.col("price"))).over(Window.partitionBy("ean"))
     return grid.select("ean", "competitor_id", "id", "price", "status", best.alias("best_price"))
 

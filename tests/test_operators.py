@@ -73,6 +73,15 @@ def test_latest_then_filter(spark):
     assert keyed.latest_per_key(rows, ["ean"], "at").where("available").count() == 0
 
 
+def test_newest_is_the_latest_per_key(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("ab"), rng.randrange(3), rng.randrange(4), i, rng.choice([None, 1.5])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, j int, at int, id int, v double").repartition(3)
+    by = lambda found: sorted(map(tuple, found.select(*df.columns).collect()), key=str)
+    assert by(keyed.newest(df, ["k", "j"], "at", "id")) == by(keyed.latest_per_key(df, ["k", "j"], "at", "id"))
+    assert keyed.newest(df.limit(0), ["k"], "at").columns == ["k", "j", "at", "id", "v"]
+
+
 def test_upsert_keeps_what_a_blank_would_erase(spark):
     old = spark.createDataFrame([(1, "x", 5), (2, "y", 1)], "id int, name string, seen int")
     new = spark.createDataFrame([(1, " ", 3), (3, "z", 9)], "id int, name string, seen int")
