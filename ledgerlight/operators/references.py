@@ -28,7 +28,7 @@ def _joined(words: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(words, start + 1, end - start), "")
 
 
-def _spans(words: Column, longest: int, first_only: bool) -> Column:
+def _spans(words: Column, longest: int | Column, first_only: bool) -> Column:
     """Stretches of words with at most ``longest`` characters together: ``start, end, text``."""
     n = F.size(words)
 
@@ -70,39 +70,21 @@ def _read(words: Column, m: Column) -> Column:
     )
 
 
-def references(names: DataFrame, brands: DataFrame, models: DataFrame) -> DataFrame:
-    """``id, brand, model, colour, caliber, ambiguous`` of ``names`` (id, name) by known ``brands`` (brand) and ``models`` (model).
+def _bare_words(name: Column) -> list[Column]:
+    """A text's ``caliber`` and its ``words`` without it."""
+    folded = ascii_fold(F.coalesce(name, F.lit("")))
+    caliber = plausible_caliber(normalize_caliber(folded))
+    bare = F.when(caliber.isNotNull(), F.regexp_replace(folded, r"(?<![0-9])[0-9]{2}\s*[xX/\-\s]\s*[0-9]{2}(?![0-9])", " ")).otherwise(folded)
+    return [caliber.alias("caliber"), tokens(F.regexp_replace(bare, "(?<=[0-9])/(?=[0-9])", "")).alias("words")]
 
-    The longest known brand that the text begins with is taken off, whatever signs it is
-    written with. Known models are looked for in all stretches of the words left, spelt
-    together or apart; the words with digits behind one are its colour, a lens size behind
-    these its calibre. Two models or colours, or another code of the model's kind beside
-    it, make the reference ambiguous. Without a known model the last word is the colour
-    and those before it are the model. What isn't told is NULL.
 
-    Dictionaries are joined by key, so the plan doesn't grow with them; a text makes as
-    many stretches as words times the longest key's characters at most. Repeated ids
-    must not occur; a NULL name tells nothing.
-    """
-    b = brands.select("brand", brand_key(F.col("brand")).alias("key")).where("key <> ''").groupBy("key").agg(F.min("brand").alias("brand"))
-    m = models.select("model", model_key(F.col("model")).alias("key")).where("key <> ''").groupBy("key").agg(F.min("model").alias("model"))
-    raw = F.coalesce(F.col("name"), F.lit(""))
-    caliber = plausible_caliber(normalize_caliber(ascii_fold(raw)))
-    bare = F.when(F.col("caliber").isNotNull(), F.regexp_replace(ascii_fold(raw), r"(?<![0-9])[0-9]{2}\s*[xX/\-\s]\s*[0-9]{2}(?![0-9])", " ")).otherwise(ascii_fold(raw))
-    texts = names.select("id", "name").withColumn("caliber", caliber)
-    texts = texts.select("id", "caliber", tokens(F.regexp_replace(bare, "(?<=[0-9])/(?=[0-9])", "")).alias("words"))
+def _after_brand(words: Column, width: Column) -> Column:
+    rest = F.slice(words, (F.coalesce(width, F.lit(0)) + 1).cast("int"), F.size(words) + 1)
+    return bound(rest, lambda w: F.when(F.coalesce(F.try_element_at(w, F.lit(1)).isin(*COLLECTION), F.lit(False)), F.slice(w, 2, F.size(w) + 1)).otherwise(w))
 
-    # a brand's alias may be shorter than its key
-    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(b) + 2, True)).alias("s")).select("id", "s.end", brand_key(F.col("s.text")).alias("key"))
-    branded = spans.join(b, "key").groupBy("id").agg(F.max_by("brand", "end").alias("brand"), F.max("end").alias("width"))
-    rest = F.slice("words", (F.coalesce("width", F.lit(0)) + 1).cast("int"), F.size("words") + 1)
-    rest = bound(rest, lambda w: F.when(F.coalesce(F.try_element_at(w, F.lit(1)).isin(*COLLECTION), F.lit(False)), F.slice(w, 2, F.size(w) + 1)).otherwise(w))
-    texts = texts.join(branded, "id", "left").select("id", "caliber", "brand", rest.alias("words"))
 
-    # a model's key may have lost a letter
-    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(m) + 1, False)).alias("s")).select("id", "s.start", "s.end", model_key(F.col("s.text")).alias("key"))
-    hits = spans.join(m, "key").groupBy("id").agg(F.collect_list(F.struct("key", "model", "start", "end")).alias("hits"))  # a text's own stretches
-    rows = texts.join(hits, "id", "left")
+def _told(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The reference of each of ``rows`` (words without the brand, brand, caliber, and the ``hits`` of models in the words), beside the columns ``kept``."""
     read = F.transform(F.coalesce("hits", F.array().cast("array<struct<key:string,model:string,start:int,end:int>>")), lambda h: _read(F.col("words"), h))
     rows = rows.withColumn("read", read)
     line = F.array_join("words", " ")
@@ -124,7 +106,52 @@ def references(names: DataFrame, brands: DataFrame, models: DataFrame) -> DataFr
     model = F.when(told, F.col("best.model")).when(F.col("n") >= 2, F.array_join(F.slice("words", 1, F.greatest(F.col("n") - 1, F.lit(0))), " ")).otherwise(F.try_element_at("words", F.lit(1)))
     colour = F.when(told, F.col("best.colour")).when(F.col("n") >= 2, F.try_element_at("words", F.lit(-1)))
     clear = lambda c: F.when(~F.col("ambiguous"), F.nullif(c, F.lit("")))
-    return rows.select("id", "brand", clear(model).alias("model"), clear(colour).alias("colour"), F.coalesce("caliber", F.when(~F.col("ambiguous"), F.col("best.lens"))).alias("caliber"), "ambiguous")
+    return rows.select(*kept, "brand", clear(model).alias("model"), clear(colour).alias("colour"), F.coalesce("caliber", F.when(~F.col("ambiguous"), F.col("best.lens"))).alias("caliber"), "ambiguous")
+
+
+def own_references(texts: DataFrame, kept: list[str]) -> DataFrame:
+    """F13 where each of ``texts`` (name, own_brand, own_model) has a dictionary of one brand and one model, its own: no join is needed.
+
+    Gives the columns ``kept`` and ``brand, model, colour, caliber, ambiguous``.
+    """
+    keys = {"own_brand_key": brand_key(F.col("own_brand")), "own_model_key": model_key(F.col("own_model"))}
+    rows = texts.select(*kept, "own_brand", "own_model", *_bare_words(F.col("name"))).withColumns(keys)
+    # a brand's alias may be shorter than its key, a model's key may have lost a letter
+    named = F.filter(_spans(F.col("words"), F.length("own_brand_key") + 2, True), lambda s: (F.col("own_brand_key") != "") & (brand_key(s["text"]) == F.col("own_brand_key")))
+    rows = rows.withColumn("width", F.array_max(F.transform(named, lambda s: s["end"])))
+    rows = rows.withColumns({"brand": F.when(F.col("width").isNotNull(), F.col("own_brand")), "words": _after_brand(F.col("words"), F.col("width"))})
+    found = F.filter(_spans(F.col("words"), F.length("own_model_key") + 1, False), lambda s: (F.col("own_model_key") != "") & (model_key(s["text"]) == F.col("own_model_key")))
+    hits = F.transform(found, lambda s: F.struct(F.col("own_model_key").alias("key"), F.col("own_model").alias("model"), s["start"].alias("start"), s["end"].alias("end")))
+    return _told(rows.withColumn("hits", hits), kept)
+
+
+def references(names: DataFrame, brands: DataFrame, models: DataFrame) -> DataFrame:
+    """``id, brand, model, colour, caliber, ambiguous`` of ``names`` (id, name) by known ``brands`` (brand) and ``models`` (model).
+
+    The longest known brand that the text begins with is taken off, whatever signs it is
+    written with. Known models are looked for in all stretches of the words left, spelt
+    together or apart; the words with digits behind one are its colour, a lens size behind
+    these its calibre. Two models or colours, or another code of the model's kind beside
+    it, make the reference ambiguous. Without a known model the last word is the colour
+    and those before it are the model. What isn't told is NULL.
+
+    Dictionaries are joined by key, so the plan doesn't grow with them; a text makes as
+    many stretches as words times the longest key's characters at most. Repeated ids
+    must not occur; a NULL name tells nothing.
+    """
+    b = brands.select("brand", brand_key(F.col("brand")).alias("key")).where("key <> ''").groupBy("key").agg(F.min("brand").alias("brand"))
+    m = models.select("model", model_key(F.col("model")).alias("key")).where("key <> ''").groupBy("key").agg(F.min("model").alias("model"))
+    texts = names.select("id", *_bare_words(F.col("name")))
+
+    # a brand's alias may be shorter than its key
+    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(b) + 2, True)).alias("s")).select("id", "s.end", brand_key(F.col("s.text")).alias("key"))
+    branded = spans.join(b, "key").groupBy("id").agg(F.max_by("brand", "end").alias("brand"), F.max("end").alias("width"))
+    texts = texts.join(branded, "id", "left").select("id", "caliber", "brand", _after_brand(F.col("words"), F.col("width")).alias("words"))
+
+    # a model's key may have lost a letter
+    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(m) + 1, False)).alias("s")).select("id", "s.start", "s.end", model_key(F.col("s.text")).alias("key"))
+    hits = spans.join(m, "key").groupBy("id").agg(F.collect_list(F.struct("key", "model", "start", "end")).alias("hits"))  # a text's own stretches
+    return _told(texts.join(hits, "id", "left"), ["id"])
 
 
 def search_plan(products: DataFrame) -> DataFrame:
