@@ -49,18 +49,18 @@ def _published(rows: DataFrame) -> DataFrame:
     """A row for each id with a page: keys of what its title and identifiers tell, each read with the product's own brand and model as dictionary."""
     page, product = F.col("page"), F.col("product")
     told = F.concat(F.array(_text(page["title"])), F.filter(F.coalesce(page["identifiers"], F.array().cast("array<string>")), lambda t: t.isNotNull()))
-    texts = rows.where(page.isNotNull()).select("id", product["brand"].alias("own_brand"), product["model"].alias("own_model"), F.posexplode(told).alias("n", "name"))
-    refs = own_references(texts, ["id", "n", "name", "own_model"])
+    texts = rows.where(page.isNotNull()).select("id", product["brand"].alias("own_brand"), product["model"].alias("own_model"), F.posexplode(told).alias("place", "name"))
+    refs = own_references(texts, ["id", "place", "name", "own_model"])
     model, colour = model_key(F.col("model")), identity_key(F.col("colour"))
     own = model == model_key(F.col("own_model"))
     numbered = F.col("model").rlike("[0-9]")
-    counts = (F.col("n") == 0) | own | ((colour != "") & numbered & F.col("model").rlike("[A-Za-z]") & caliber_of_code(F.col("name")).isNull())
+    counts = (F.col("place") == 0) | own | ((colour != "") & numbered & F.col("model").rlike("[A-Za-z]") & caliber_of_code(F.col("name")).isNull())
     return refs.groupBy("id").agg(  # a page's own few texts
         F.collect_set(F.when(counts & (model != "") & (own | numbered), model)).alias("models"),
         F.collect_set(F.when(counts & F.col("colour").rlike("[0-9]"), colour)).alias("colors"),
         F.collect_set(F.nullif(brand_key(F.col("brand")), F.lit(""))).alias("brands"),
         F.collect_set(lens_or_caliber(F.col("caliber"))).alias("calibers"),
-        F.array_sort(F.collect_list(F.when(F.col("ambiguous"), F.struct("n", "name")))).alias("doubtful"),
+        F.array_sort(F.collect_list(F.when(F.col("ambiguous"), F.struct("place", "name")))).alias("doubtful"),
     )
 
 
@@ -111,7 +111,7 @@ def compare(candidates: DataFrame) -> DataFrame:
     ])
     invalid = _given(F.when((k["published"] != "") & k["ean"].isNull(), "EAN publicado no válido: no se aplica la excepción de calibre"))
     source = lambda n: F.when(n == 0, "título").otherwise(F.concat(F.lit("identificador "), n.cast("string")))
-    unclear = F.concat(F.array(F.lit("Identificación ambigua: requiere revisión")), F.transform(told["doubtful"], lambda d: F.concat(F.lit("Varias referencias en "), source(d["n"]), F.lit(": "), d["name"])))
+    unclear = F.concat(F.array(F.lit("Identificación ambigua: requiere revisión")), F.transform(told["doubtful"], lambda d: F.concat(F.lit("Varias referencias en "), source(d["place"]), F.lit(": "), d["name"])))
     other = F.array(F.concat(F.lit("EAN publicado distinto: "), k["ean"], F.lit("; revisión manual obligatoria")))
     rows = rows.withColumn("_r", F.struct(invalid.alias("invalid"), fields.alias("fields"), unclear.alias("unclear")))
     r = F.col("_r")

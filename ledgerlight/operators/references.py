@@ -15,13 +15,19 @@ COLLECTION = ("COLECCION", "COLLECTION")
 
 
 def brand_key(c: Column) -> Column:
-    def known(key: Column) -> Column:
-        out = key
-        for alias, name in BRAND_ALIASES.items():
-            out = F.when(key == alias, name).otherwise(out)
-        return out
+    return bound(identity_key(c), _brand_of)
 
-    return bound(identity_key(c), known)
+
+def _brand_of(key: Column) -> Column:
+    out = key
+    for alias, name in BRAND_ALIASES.items():
+        out = F.when(key == alias, name).otherwise(out)
+    return out
+
+
+def _model_of(key: Column) -> Column:
+    """``model_key`` of what has capital letters and digits only, as joined words have."""
+    return F.when((F.length(key) == 7) & key.rlike("^FT[0-9]{4}S$"), F.substring(key, 1, 6)).otherwise(key)
 
 
 def _joined(words: Column, start: Column, end: Column) -> Column:
@@ -47,7 +53,7 @@ def _longest(entries: DataFrame) -> int:
 
 def _read(words: Column, m: Column) -> Column:
     """What stands behind a model in the text: ``key, model, colour, lens``, and whether another reference follows at once (``other``) or the same one again (``again``)."""
-    following = model_key(_joined(words, m["end"], m["end"] + m["end"] - m["start"]))
+    following = _model_of(_joined(words, m["end"], m["end"] + m["end"] - m["start"]))
     prefix = F.regexp_extract(m["key"], "^[A-Z]+(?=[0-9])", 0)
     code = (prefix != "") & F.regexp_like(following, F.concat(F.lit("^"), prefix, F.lit("[0-9]+[A-Z]*$")))
     at = lambda i: F.coalesce(F.try_element_at(words, (i + 1).cast("int")), F.lit(""))
@@ -84,11 +90,11 @@ def _after_brand(words: Column, width: Column) -> Column:
 
 
 def _told(rows: DataFrame, kept: list[str]) -> DataFrame:
-    """The reference of each of ``rows`` (words without the brand, brand, caliber, and the ``hits`` of models in the words), beside the columns ``kept``."""
+    """The reference of each of ``rows`` (words without the brand, brand, caliber, and the ``hits`` of models in the words), beside the columns ``kept`` (none named as one made here: read, rb, ft, clash, best, n)."""
     read = F.transform(F.coalesce("hits", F.array().cast("array<struct<key:string,model:string,start:int,end:int>>")), lambda h: _read(F.col("words"), h))
     rows = rows.withColumn("read", read)
     line = F.array_join("words", " ")
-    codes = lambda kind: F.transform(F.regexp_extract_all(line, F.lit(rf"\b{kind}\s*[0-9]+[A-Z]*\b"), 0), model_key)
+    codes = lambda kind: F.transform(F.regexp_extract_all(line, F.lit(rf"\b{kind}\s*[0-9]+[A-Z]*\b"), 0), lambda c: _model_of(F.replace(c, F.lit(" "), F.lit(""))))
     rows = rows.withColumns({"rb": codes("RB"), "ft": codes("FT")})
 
     def clashes(kind: str) -> Column:
@@ -98,7 +104,7 @@ def _told(rows: DataFrame, kept: list[str]) -> DataFrame:
 
     clash = clashes("rb") | clashes("ft")
     rows = rows.withColumn("clash", clash | F.exists("read", lambda r: r["other"])).withColumn("read", F.filter("read", lambda r: ~r["again"] & ~r["other"]))
-    kinds = F.size(F.array_distinct(F.transform("read", lambda r: F.struct(r["key"], identity_key(r["colour"])))))
+    kinds = F.size(F.array_distinct(F.transform("read", lambda r: F.struct(r["key"], F.replace(r["colour"], F.lit(" "), F.lit(""))))))
     # the longest model first, then the first in the text
     best = F.array_sort("read", lambda x, y: F.when(F.length(x["key"]) != F.length(y["key"]), F.length(y["key"]) - F.length(x["key"])).otherwise(x["start"] - y["start"]))
     rows = rows.withColumns({"ambiguous": F.col("clash") | (kinds > 1), "best": F.try_element_at(best, F.lit(1)), "n": F.size("words")})
@@ -117,10 +123,10 @@ def own_references(texts: DataFrame, kept: list[str]) -> DataFrame:
     keys = {"own_brand_key": brand_key(F.col("own_brand")), "own_model_key": model_key(F.col("own_model"))}
     rows = texts.select(*kept, "own_brand", "own_model", *_bare_words(F.col("name"))).withColumns(keys)
     # a brand's alias may be shorter than its key, a model's key may have lost a letter
-    named = F.filter(_spans(F.col("words"), F.length("own_brand_key") + 2, True), lambda s: (F.col("own_brand_key") != "") & (brand_key(s["text"]) == F.col("own_brand_key")))
+    named = F.filter(_spans(F.col("words"), F.length("own_brand_key") + 2, True), lambda s: (F.col("own_brand_key") != "") & (_brand_of(s["text"]) == F.col("own_brand_key")))
     rows = rows.withColumn("width", F.array_max(F.transform(named, lambda s: s["end"])))
     rows = rows.withColumns({"brand": F.when(F.col("width").isNotNull(), F.col("own_brand")), "words": _after_brand(F.col("words"), F.col("width"))})
-    found = F.filter(_spans(F.col("words"), F.length("own_model_key") + 1, False), lambda s: (F.col("own_model_key") != "") & (model_key(s["text"]) == F.col("own_model_key")))
+    found = F.filter(_spans(F.col("words"), F.length("own_model_key") + 1, False), lambda s: (F.col("own_model_key") != "") & (_model_of(s["text"]) == F.col("own_model_key")))
     hits = F.transform(found, lambda s: F.struct(F.col("own_model_key").alias("key"), F.col("own_model").alias("model"), s["start"].alias("start"), s["end"].alias("end")))
     return _told(rows.withColumn("hits", hits), kept)
 
@@ -144,12 +150,12 @@ def references(names: DataFrame, brands: DataFrame, models: DataFrame) -> DataFr
     texts = names.select("id", *_bare_words(F.col("name")))
 
     # a brand's alias may be shorter than its key
-    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(b) + 2, True)).alias("s")).select("id", "s.end", brand_key(F.col("s.text")).alias("key"))
+    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(b) + 2, True)).alias("s")).select("id", "s.end", _brand_of(F.col("s.text")).alias("key"))
     branded = spans.join(b, "key").groupBy("id").agg(F.max_by("brand", "end").alias("brand"), F.max("end").alias("width"))
     texts = texts.join(branded, "id", "left").select("id", "caliber", "brand", _after_brand(F.col("words"), F.col("width")).alias("words"))
 
     # a model's key may have lost a letter
-    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(m) + 1, False)).alias("s")).select("id", "s.start", "s.end", model_key(F.col("s.text")).alias("key"))
+    spans = texts.select("id", F.explode(_spans(F.col("words"), _longest(m) + 1, False)).alias("s")).select("id", "s.start", "s.end", _model_of(F.col("s.text")).alias("key"))
     hits = spans.join(m, "key").groupBy("id").agg(F.collect_list(F.struct("key", "model", "start", "end")).alias("hits"))  # a text's own stretches
     return _told(texts.join(hits, "id", "left"), ["id"])
 

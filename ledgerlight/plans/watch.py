@@ -92,22 +92,6 @@ def _classes(t: Tables) -> DataFrame:
     return classes.join(counts, F.col("class") == F.col("status"), "left").select("class", F.coalesce("n", F.lit(0)).alias("pairs"))
 
 
-@query(
-    "X3_all_checks",
-    f"""WITH {OFFERS} SELECT id, concat_ws(',', CASE WHEN NOT exact THEN 'identity' END, CASE WHEN NOT available THEN 'stock' END, CASE WHEN vat IS NULL THEN 'vat' END, CASE WHEN price > 20000 THEN 'price' END) AS reasons, exact AND available AND vat IS NOT NULL AND price <= 20000 AS confirmed FROM offers""",
-)
-def _checks(t: Tables) -> DataFrame:
-    return checked(offers(t))
-
-
-def checked(rows: DataFrame) -> DataFrame:
-    """Every check is made, reasons are gathered, all must hold."""
-    failed = F.array_compact(
-        F.array(F.when(~F.col("exact"), "identity"), F.when(~F.col("available"), "stock"), F.when(F.col("vat").isNull(), "vat"), F.when(F.col("price") > 20000, "price"))
-    )
-    return rows.select("id", F.array_join(failed, ",").alias("reasons"), (F.size(failed) == 0).alias("confirmed"))
-
-
 EPOCH = "e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS secs, event_type, value, props FROM events)"
 
 
