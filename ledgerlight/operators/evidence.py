@@ -45,6 +45,11 @@ def _sorted_set(values: Column) -> Column:
     return F.array_sort(F.array_distinct(values))
 
 
+def _staged(rows: DataFrame, made: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """Columns of their own, made once for all that use them: fields of a struct would be put into each use again."""
+    return rows.withColumns({f"_{name}": c for name, c in made.items()}), {name: F.col(f"_{name}") for name in made}
+
+
 def _published(rows: DataFrame) -> DataFrame:
     """A row for each id with a page: keys of what its title and identifiers tell, each read with the product's own brand and model as dictionary."""
     page, product = F.col("page"), F.col("product")
@@ -85,25 +90,21 @@ def compare(candidates: DataFrame) -> DataFrame:
     in_title = (brand_words != "") & F.concat(F.lit(" "), title_words, F.lit(" ")).contains(F.concat(F.lit(" "), brand_words, F.lit(" ")))
     with_ = lambda found, *more: _sorted_set(F.concat(found, _given(*more)))
     published = F.trim(_text(page["ean_published"]))
-    rows = rows.withColumn("_k", F.struct(
-        own_brand.alias("brand"), own_model.alias("model"), own_color.alias("color"), normalize_gtin(product["ean"]).alias("own_ean"), normalize_gtin(published).alias("ean"), published.alias("published"),
-        with_(told["brands"], F.when(_text(page["brand"]) != "", brand_key(page["brand"])), F.when(in_title, own_brand)).alias("brands"),
-        with_(told["models"], F.when(_text(page["model"]) != "", model_key(page["model"]))).alias("models"),
-        with_(told["colors"], F.when(page["color"].rlike("[0-9]"), identity_key(page["color"]))).alias("colors"),
-        with_(told["calibers"], lens_or_caliber(page["caliber"])).alias("calibers"),
-        lens_or_caliber(product["caliber"]).alias("own_caliber"), lens_or_caliber(page["caliber"]).alias("told_caliber"),
-    ))
-    k = F.col("_k")
+    rows, k = _staged(rows, {
+        "brand": own_brand, "model": own_model, "color": own_color, "own_ean": normalize_gtin(product["ean"]), "ean": normalize_gtin(published), "published": published,
+        "brands": with_(told["brands"], F.when(_text(page["brand"]) != "", brand_key(page["brand"])), F.when(in_title, own_brand)),
+        "models": with_(told["models"], F.when(_text(page["model"]) != "", model_key(page["model"]))),
+        "colors": with_(told["colors"], F.when(page["color"].rlike("[0-9]"), identity_key(page["color"]))),
+        "calibers": with_(told["calibers"], lens_or_caliber(page["caliber"])), "own_caliber": lens_or_caliber(product["caliber"]), "told_caliber": lens_or_caliber(page["caliber"]),
+    })
     names = (("Marca", k["brand"], k["brands"]), ("Modelo", k["model"], k["models"]), ("Color", k["color"], k["colors"]))
     differs = lambda expected, found: (F.size(found) > 0) & (found != F.array(expected))
     verified = _true(k["ean"] == k["own_ean"])
     seen = F.coalesce(k["told_caliber"], F.try_element_at(k["calibers"], F.lit(1)))
-    rows = rows.withColumn("_v", F.struct(
-        verified.alias("verified"), (k["ean"].isNotNull() & ~verified).alias("other_ean"), F.greatest(*[differs(e, f) for _, e, f in names]).alias("contradicts"),
-        (F.size(told["doubtful"]) > 0).alias("doubtful"), seen.alias("caliber"), compare_calibers(k["own_caliber"], seen).alias("caliber_state"),
-        F.exists(k["calibers"], lambda a: F.exists(k["calibers"], lambda b: compare_calibers(a, b) == "different")).alias("calibers_differ"),
-    ))
-    v = F.col("_v")
+    rows, v = _staged(rows, {
+        "verified": verified, "other_ean": k["ean"].isNotNull() & ~verified, "contradicts": F.greatest(*[differs(e, f) for _, e, f in names]), "doubtful": F.size(told["doubtful"]) > 0, "caliber": seen,
+        "caliber_state": compare_calibers(k["own_caliber"], seen), "calibers_differ": F.exists(k["calibers"], lambda a: F.exists(k["calibers"], lambda b: compare_calibers(a, b) == "different")),
+    })
     fields = _given(*[
         F.when(differs(e, f), F.concat(F.lit(f"Distinto {name.lower()}: catálogo "), _or_unknown(e), F.lit(", ficha "), _listed(f)))
         .when(~v["verified"] & ((e == "") | (F.size(f) == 0)), F.concat(F.lit(f"{name} no confirmado: catálogo "), _or_unknown(e), F.lit(", ficha "), _or_unknown(_listed(f))))
@@ -113,8 +114,7 @@ def compare(candidates: DataFrame) -> DataFrame:
     source = lambda n: F.when(n == 0, "título").otherwise(F.concat(F.lit("identificador "), n.cast("string")))
     unclear = F.concat(F.array(F.lit("Identificación ambigua: requiere revisión")), F.transform(told["doubtful"], lambda d: F.concat(F.lit("Varias referencias en "), source(d["place"]), F.lit(": "), d["name"])))
     other = F.array(F.concat(F.lit("EAN publicado distinto: "), k["ean"], F.lit("; revisión manual obligatoria")))
-    rows = rows.withColumn("_r", F.struct(invalid.alias("invalid"), fields.alias("fields"), unclear.alias("unclear")))
-    r = F.col("_r")
+    rows, r = _staged(rows, {"invalid": invalid, "fields": fields, "unclear": unclear})
     ambiguous = _true(page["ambiguous"]) | v["doubtful"]
     early = ambiguous & (~_true(page["offer_binding_unresolved"]) | v["doubtful"])
     open_ = F.concat(r["invalid"], r["fields"])
@@ -132,8 +132,8 @@ def compare(candidates: DataFrame) -> DataFrame:
         F.when(v["verified"] & (v["caliber_state"] != "equal"), F.concat(F.lit("Calibre informativo por EAN publicado idéntico: catálogo "), _or_unknown(k["own_caliber"]), F.lit(", ficha "), _or_unknown(v["caliber"]), F.lit(" ("), v["caliber_state"], F.lit(")"))),
         F.when(v["calibers_differ"] & v["verified"], "Calibre informativo: medidas publicadas contradictorias"),
     )
-    rows = rows.withColumn("_j", verdict)
-    j = F.col("_j")
+    rows, j = _staged(rows, {"judged": verdict})
+    j = j["judged"]
     match = F.struct(
         j["status"].alias("status"), j["basis"].alias("basis"), j["reasons"].alias("reasons"), observations.alias("observations"), _text(k["ean"]).alias("ean"), v["verified"].alias("verified_ean"),
         k["brands"].alias("brands"), k["models"].alias("models"), k["colors"].alias("colors"), k["calibers"].alias("calibers"), v["caliber_state"].alias("caliber_comparison"),

@@ -52,7 +52,7 @@ def _found(t: Tables) -> DataFrame:
         F.when(k < 10, F.col("url")).alias("url"), null.alias("source_url"), title.alias("title"), F.when(k == 9, "Other").alias("brand"), null.alias("model"), F.when(k == 5, "777").alias("color"), null.alias("caliber"),
         F.when(k.isin(1, 7), F.col("product.ean")).when(k == 2, F.col("other")).when(k == 3, "123").alias("ean_published"), F.when(k == 7, F.array(F.concat("product.model", F.lit(" 006")))).alias("identifiers"), (k == 8).alias("ambiguous"), (k == 8).alias("offer_binding_unresolved"),
     )
-    told_by = F.to_json(F.struct(F.col("url").alias("url"), F.when(q == 8, evidence.SEARCH_CARD_METHODS[0]).otherwise("page").alias("method"), F.when(q == 9, "probable").otherwise("exact").alias("state"), page.alias("page")))
+    told_by = F.struct(F.col("url").alias("url"), F.when(q == 8, evidence.SEARCH_CARD_METHODS[0]).otherwise("page").alias("method"), F.when(q == 9, "probable").otherwise("exact").alias("state"), page.alias("page"))
     config = F.struct(
         site.alias("domain"), (s % 7 != 0).alias("terms_reviewed"), F.lit("revisado").alias("terms_note"), F.when(s % 5 == 0, "blocked").otherwise("robots_allowed").alias("access_status"), F.when(s % 11 == 1, "known").otherwise("auto").alias("search_mode"),
         F.when(s % 4 == 0, "site_search").otherwise("sitemap,site_search").alias("locate_strategy"), (s % 3 != 0).alias("search_verified"), F.lit("get").alias("search_preferred"), F.lit("").alias("search_alternatives"),
@@ -60,7 +60,7 @@ def _found(t: Tables) -> DataFrame:
     rows = rows.withColumn("url", url)
     return rows.select(
         "id", F.col("l_orderkey").alias("run_id"), s.alias("competitor_id"), F.col("product.ean").alias("ean"), "url", _state().alias("state"),
-        F.when(m == 0, "sitemap").when(m == 1, "get").otherwise("other").alias("method"), "product", config.alias("config"), F.from_json(told_by, evidence.EVIDENCE).alias("evidence"),
+        F.when(m == 0, "sitemap").when(m == 1, "get").otherwise("other").alias("method"), "product", config.alias("config"), told_by.alias("evidence"),
         F.when(q > 10, "HTTP 200").otherwise("HTTP 404").alias("result"), ((F.col("l_tax") > 0.07) & (F.col("l_discount") == 0)).alias("bad"),
     )
 

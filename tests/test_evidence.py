@@ -236,6 +236,8 @@ def test_all_checks_hold(spark):
     said = ev.audit_rows(ev.reevaluate(ev.decide(frame)), F.lit("b1"), " who ").first()
     assert said.note == "who" and '"metodo_autorizado":true' in said.reasons
     assert ev.decide(frame.limit(0)).count() == 0
+    stored = frame.withColumn("evidence", F.from_json(F.to_json("evidence"), ev.EVIDENCE))
+    assert ev.decide(stored).first().confirm and not ev.decide(frame.withColumn("evidence", F.from_json(F.lit("{no"), ev.EVIDENCE))).first().confirm
 
 
 def test_stored_facts(spark):
