@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.streaming import alerts
-from ledgerlight.streaming.leases import CLAIMS, Lease, Rules, decide, lease_stream
+from ledgerlight.streaming.leases import CLAIMS, Lease, Leases, Rules, decide, lease_stream
 
 CLAIM = "order_id long, status string, batch_id string, claimed_until long, attempts int"
 
@@ -94,3 +94,36 @@ def test_stream_goes_on_with_its_leases_after_a_restart(spark, tmp_path):
         assert len(told()) == 7 and query.exception() is None
     finally:
         query.stop()
+
+
+class Store:
+    """One value and its timers, with the calls that were made."""
+
+    def __init__(self):
+        self.value, self.updates, self.timers = None, 0, []
+
+    getValueState = lambda self, *_: self
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    registerTimer = lambda self, at: self.timers.append(at)
+    getCurrentProcessingTimeInMs = lambda self: self.now
+
+    def update(self, value):
+        self.value, self.updates = value, self.updates + 1
+
+
+def test_a_bucket_asks_its_store_once_a_batch():
+    store, leases = Store(), Leases(Rules(lease=100, most=2), forget=1000)
+    leases.init(store)
+    store.now = 0
+    rows = [{"order_id": i, "kind": "order", "batch": None} for i in range(256)]
+    assert [r.batch for r in leases.handleInputRows((0,), rows + rows, store)] == [f"{i}-1" for i in range(256)]
+    assert (store.updates, store.timers) == (1, [100])
+    store.now = 50
+    assert not list(leases.handleInputRows((0,), [{"order_id": 3, "kind": "sent", "batch": "3-1"}, *rows[:9]], store))
+    assert (store.updates, store.timers) == (2, [100])
+    store.now = 100  # 3 was sent, all others are claimed again
+    assert [r.order_id for r in leases.handleExpiredTimer((0,), store, None)] == [i for i in range(256) if i != 3]
+    store.now = 1050  # each order is forgotten by its own last change
+    assert [(r.order_id, r.attempt) for r in leases.handleInputRows((0,), [rows[3]], store)] == [(3, 1)]
+    assert {r.action for r in leases.handleExpiredTimer((0,), store, None)} == {"exhausted"}
