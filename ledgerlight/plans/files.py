@@ -291,8 +291,8 @@ def _page_facts(t: Tables) -> DataFrame:
 )
 def _identified(t: Tables) -> DataFrame:
     """A feed's rows become offers only as far as their identity holds; others keep no price."""
-    code = F.concat(F.lit("BV"), F.lpad(F.col("l_partkey").cast("string"), 5, "0"), F.lit("S"))
-    told = F.when(F.col("l_partkey") % 4 == 3, "ACME BV99999S/005").when(F.col("l_partkey") % 4 == 2, F.concat(F.lit("acme "), F.lower(code))).otherwise(F.concat(F.lit("acme "), F.lower(code), F.lit("-005")))
+    code, foreign = web.own_and_foreign_code(F.col("l_partkey"))
+    told = F.when(F.col("l_partkey") % 4 == 3, F.concat(F.lit("ACME "), foreign, F.lit("/005"))).when(F.col("l_partkey") % 4 == 2, F.concat(F.lit("acme "), F.lower(code))).otherwise(F.concat(F.lit("acme "), F.lower(code), F.lit("-005")))
     read = lambda c: identity.parse_reference(c, ["Acme"])
     match = identity.classify(read(F.concat(F.lit("Acme "), code, F.lit(" 005"))), read(told))["match"]
     rows = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), match.alias("match"), "l_quantity")
