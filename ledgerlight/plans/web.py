@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, identity, money
+from ..operators.grid import dealt
 from ..operators.references import references, search_plan
 from .registry import Tables, query
 
@@ -125,7 +126,7 @@ def _references(t: Tables) -> DataFrame:
         .when(k == 3, F.concat(model, F.lit(" "), model, F.lit(" 005 55")))
         .when(k == 4, F.lit("unknown words 12")).otherwise(F.concat(model, F.lit(" M999999X 005")))
     )
-    names = t.part.select(F.col("p_partkey").alias("id"), name.alias("name"))
+    names = dealt(t.part, "p_partkey").select(F.col("p_partkey").alias("id"), name.alias("name"))
     return references(names, t.part.select(F.col("p_brand").alias("brand")), t.part.select(model.alias("model")))
 
 

@@ -35,3 +35,8 @@ def test_lookup_of_ids_with_several_rows(spark):
     parts = spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int")
     found = web.lookup_of_all(parts)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 2, 0), (2, 1, 0), (3, 1, 1), (3, 2, 1), (4, 7, 1), (7, 4, 1)]
+
+
+def test_a_small_tables_pages_are_read_by_all_cores(spark, data):
+    for name in ("N5_product_pages", "N5_page_facts", "F13_references"):
+        assert [line for line in _plan(plans.QUERIES[name](spark, data)) if "REPARTITION_BY_NUM" in line], name
