@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity, money
 from ..operators import keyed
+from ..operators.grid import dealt
 from ..operators.product_pages import page_products
 from ..sources import sheets, tables
 from ..sources.commits import CommitLog
@@ -238,7 +239,7 @@ def _pages(t: Tables) -> DataFrame:
     )
     k = F.col("p_partkey") % 6
     html = F.when(k == 0, F.concat(script(flat), F.lit("<p>En stock"))).when(k == 1, script(graph)).when(k == 2, F.concat(script(group), F.lit("<p>Sold out"))).when(k == 3, script(many)).when(k == 4, meta).otherwise(F.concat(F.lit("<html><h1>"), name, F.lit("</h1>{not json")))
-    return t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return dealt(t.part, "p_partkey").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
 
 
 @query(
@@ -281,7 +282,7 @@ def _page_facts(t: Tables) -> DataFrame:
         .when(k == 7, script(product(join('{"priceCurrency":"EUR","priceSpecification":[{"priceType":"https://schema.org/ListPrice","price":', more, '},{"price":"', price, '","valueAddedTaxIncluded":true}]}'))))
         .otherwise(F.lit("<script type='application/ld+json'>{not json</script>"))
     )
-    found = page_products(t.part.select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html")))
+    found = page_products(dealt(t.part, "p_partkey").select(F.col("p_partkey").alias("page_id"), url.alias("url"), html.alias("html")))
     return found.select("page_id", F.col("products").cast("int").alias("products"), "title", "brand", "price", "currency", "previous_price", "includes_tax", "availability", "market", "ambiguous")
 
 
