@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
-from ..operators.matching import conditioned_degrees
+from ..operators.matching import sole_partners
 from .registry import Tables, query
 
 #: Kinds of movements (fixed values); the first two have a document.
@@ -26,25 +26,20 @@ def reconcile(movements: DataFrame, documents: DataFrame) -> DataFrame:
     anything more ``ambigua``. ``related`` counts related rows of the other side;
     ``document`` is the confirmed one.
     """
-    m = movements.select("id", *AMOUNT, *REFERENCES, F.col("kind").isin(*MATCHED_KINDS).alias("matched"))
-    matched = m.where("matched").drop("matched")
-    d = documents.select("id", *AMOUNT, *REFERENCES)
+    matched = F.col("kind").isin(*MATCHED_KINDS)
+    names = ("id", *AMOUNT, *REFERENCES)
+    m = movements.select(F.lit(True).alias("movement"), F.coalesce(matched, F.lit(False)).alias("matched"), *names)
+    rows = m.unionByName(documents.select(F.lit(False).alias("movement"), F.lit(True).alias("matched"), *names))
     # how many rows of each side an amount has; the pairs would be their product
-    sides = matched.select(*AMOUNT, F.lit(1).alias("m"), F.lit(0).alias("d")).unionByName(d.select(*AMOUNT, F.lit(0).alias("m"), F.lit(1).alias("d")))
-    sizes = sides.groupBy(*AMOUNT).agg(F.sum("m").alias("n_movements"), F.sum("d").alias("n_documents"))
-    from_documents = conditioned_degrees(d, matched, AMOUNT, REFERENCES, F.struct(F.col("id")))
-    from_movements = conditioned_degrees(matched, from_documents.withColumnsRenamed({"edges": "n", "other": "back"}), AMOUNT, REFERENCES, F.struct("id", "n"))
-    sure = from_movements.where("edges = 1 AND other.n = 1").select(F.col("id").alias("movement"), F.col("other.id").alias("document"))
-    single = (F.col("n_movements") == 1) & (F.col("n_documents") == 1)
-
-    def reviewed(rows: DataFrame, side: str, found: Column, related: Column) -> DataFrame:
-        status = F.when(found, "confirmada").when(F.coalesce(related, F.lit(0)) == 0, "sin_coincidencia").when(single, "candidata").otherwise("ambigua")
-        return rows.select(F.lit(side).alias("side"), "id", status.alias("status"), "document", F.coalesce(related, F.lit(0)).cast("long").alias("related"))
-
-    ours = m.join(sizes, list(AMOUNT), "left").join(sure, m["id"] == sure["movement"], "left")
-    related = F.when(F.col("matched"), F.col("n_documents")).otherwise(0)
-    theirs = d.join(sizes, list(AMOUNT), "left").join(sure, d["id"] == sure["document"], "left")
-    return reviewed(ours, "movement", F.col("document").isNotNull(), related).unionByName(reviewed(theirs, "document", F.col("document").isNotNull(), F.col("n_movements")))
+    sizes = rows.where("matched").groupBy(*AMOUNT).agg(F.count_if("movement").alias("n_movements"), F.count_if(~F.col("movement")).alias("n_documents"))
+    related = F.when(F.col("matched"), F.coalesce(F.when(F.col("movement"), F.col("n_documents")).otherwise(F.col("n_movements")), F.lit(0))).otherwise(0)
+    single = F.coalesce((F.col("n_movements") == 1) & (F.col("n_documents") == 1), F.lit(False))
+    references = [F.when(F.col("matched"), F.col(c)).alias(c) for c in REFERENCES]
+    sized = rows.join(sizes, list(AMOUNT), "left").select("movement", "id", *AMOUNT, *references, related.alias("related"), single.alias("single"))
+    found = sole_partners(sized, AMOUNT, REFERENCES, "movement", "id", "related", "single")
+    status = F.when(F.col("partner").isNotNull(), "confirmada").when(F.col("related") == 0, "sin_coincidencia").when(F.col("single"), "candidata").otherwise("ambigua")
+    document = F.when(F.col("movement") | F.col("partner").isNull(), F.col("partner")).otherwise(F.col("id"))
+    return found.select(F.when(F.col("movement"), "movement").otherwise("document").alias("side"), "id", status.alias("status"), document.alias("document"), F.col("related").cast("long").alias("related"))
 
 
 def _amount(credit: str, debit: str) -> tuple[Column, Column]:
