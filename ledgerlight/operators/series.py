@@ -39,12 +39,24 @@ def with_anchor(df: DataFrame, keys: Sequence[str], at: str, since: Column) -> D
 
 
 def change_points(df: DataFrame, keys: Sequence[str], content: Sequence[str], *order: str) -> DataFrame:
-    """Runs of equal content as one row with ``first_at``, ``last_ok_at`` and ``checks``."""
+    """Runs of equal content as one row with ``first_at``, ``last_ok_at`` and ``checks``.
+
+    Rows are sorted once; then only the ends of runs stay, and each first row looks at
+    the last one behind it. Runs are nearly as many as rows, so no table of them is held.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    now = F.struct(*content)
-    new = F.coalesce((~now.eqNullSafe(F.lag(now).over(w))).cast("int"), F.lit(1))
-    runs = df.withColumn("__run", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "__run", *content).agg(F.min(order[0]).alias("first_at"), F.max(order[0]).alias("last_ok_at"), F.count("*").alias("checks")).drop("__run")
+    now, at = F.struct(*content), order[0]
+    marked = df.select(
+        *dict.fromkeys([*keys, *content, *order]), F.row_number().over(w).alias("__place"), F.min(at).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__least"),
+        (~now.eqNullSafe(F.lag(now).over(w))).alias("__first"), (~now.eqNullSafe(F.lead(now).over(w))).alias("__last"),
+    )
+    edges = marked.where("__first OR __last")
+    last_at = F.when(F.col("__last"), F.col(at)).otherwise(F.lead(at).over(w))
+    checks = F.when(F.col("__last"), 1).otherwise(F.lead("__place").over(w) - F.col("__place") + 1).cast("long")
+    runs = edges.withColumns({"last_ok_at": last_at, "checks": checks}).where("__first")
+    # rows without a time come first: a run that begins there has the key's first time, if any
+    first_at = F.coalesce(F.col(at), F.when(F.col("last_ok_at").isNotNull(), F.col("__least")))
+    return runs.select(*keys, *content, first_at.alias("first_at"), "last_ok_at", "checks")
 
 
 def spread(df: DataFrame, keys: Sequence[str], batch: int, spacing: int, *order: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Plans whose tasks hold what a shuffle deals them, not what a file has."""
 
+import itertools
+import random
+from datetime import datetime
+
 from ledgerlight import plans
-from ledgerlight.operators import references
+from ledgerlight.operators import references, series
 from ledgerlight.plans import web
 
 
@@ -40,3 +44,24 @@ def test_lookup_of_ids_with_several_rows(spark):
 def test_a_small_tables_pages_are_read_by_all_cores(spark, data):
     for name in ("N5_product_pages", "N5_page_facts", "F13_references"):
         assert [line for line in _plan(plans.QUERIES[name](spark, data)) if "REPARTITION_BY_NUM" in line], name
+
+
+def test_history_holds_no_table_of_runs(spark, data):
+    steps = [line.split("(")[0] for line in _plan(plans.QUERIES["R6_change_only_history"](spark, data))]
+    assert not [line for line in steps if "Aggregate" in line]
+    assert len([line for line in steps if "Sort" in line]) == len([line for line in steps if "Exchange" in line]) == 1
+
+
+def test_history_against_the_loop(spark):
+    rng = random.Random(4)
+    at = lambda: rng.choice([None, *[datetime(2001, 1, day) for day in range(1, 9)]])
+    rows = [(rng.randrange(5), n, at(), rng.choice([True, False, None]), rng.choice("ab")) for n in range(150)]
+    rows += [(9, 200, None, True, "a"), (9, 201, None, True, "a"), (None, 202, datetime(2001, 1, 1), None, None), (None, 203, None, None, None)]
+    want = []
+    for key, of in itertools.groupby(sorted(rows, key=lambda r: (str(r[0]), r[2] or datetime.min, r[1])), key=lambda r: r[0]):
+        for content, run in itertools.groupby(of, key=lambda r: r[3:]):
+            run = list(run)
+            times = [r[2] for r in run if r[2]]
+            want.append((key, *content, min(times, default=None), max(times, default=None), len(run)))
+    got = series.change_points(spark.createDataFrame(rows, "k int, id int, at timestamp_ntz, x boolean, y string"), ["k"], ["x", "y"], "at", "id")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
