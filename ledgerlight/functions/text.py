@@ -24,6 +24,8 @@ _ONE = {sign: plain for sign, plain in _decomposed(0xA0, 0xFFFF).items() if len(
 #: Of the signs for several letters those of Latin text: digraphs, ligatures, trade marks.
 _SEVERAL = {sign: plain for span in ((0xA0, 0x24F), (0x2120, 0x2122), (0xFB00, 0xFB06)) for sign, plain in _decomposed(*span).items() if len(plain) > 1}
 ACCENTED, PLAIN = "".join(_ONE), "".join(_ONE.values())
+#: What ``ascii_fold`` makes of each sign that isn't removed.
+FOLDED = _ONE | _SEVERAL | dict.fromkeys("□×", "x")
 
 
 def _letters(first: int, last: int) -> dict[str, str]:

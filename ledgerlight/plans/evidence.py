@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import with_check_digit
 from ..operators import evidence
+from ..operators.grid import tasks
 from .registry import Tables, query
 
 # Every line is a candidate page of its part at its supplier; eleven kinds of pages, competitors and answers by the line's own numbers.
@@ -29,10 +30,14 @@ decided AS (SELECT *, refused IS NULL AND q <> 7 AND k < 2 AND q NOT IN (8, 9) A
 
 
 def _lines(t: Tables) -> DataFrame:
-    """Lines by order, number, part and supplier; of repeated ones the smallest."""
-    key = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = t.lineitem.groupBy(*key).agg(F.min(F.struct("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")).alias("line"))
-    return rows.select(F.concat_ws("-", *key).alias("id"), *key, "line.*")
+    """Lines by order, number, part and supplier; of repeated ones the smallest.
+
+    They are dealt and sorted by part, so a task reads alike pages of a part one after the
+    other, and in as many tasks as asked for: reading makes more work than their few MB tell.
+    """
+    key = ("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey")
+    rows = t.lineitem.repartition(tasks(t.spark), "l_partkey").groupBy(*key).agg(F.min(F.struct("l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")).alias("line"))
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), *key, "line.*")
 
 
 def _found(t: Tables) -> DataFrame:

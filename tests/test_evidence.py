@@ -3,12 +3,15 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_references import KEY, MODEL, by_loop
 
+from ledgerlight import plans
 from ledgerlight.functions import urls
 from ledgerlight.operators import evidence as ev
+from ledgerlight.operators import page_identity
 
 BRAND = lambda s: {"TIFFANY": "TIFFANYCO"}.get(KEY(s or ""), KEY(s or ""))
 PRODUCT = "struct<ean string, brand string, model string, color string, caliber string>"
@@ -256,3 +259,19 @@ def test_addresses(spark):
     bad = [None, "", "s.es", "http://s.es", "https://s.es.com", "https://xs.es", "https://s.es:80", "https://a@s.es", "https://1.2.3.4", "https://s.es/a b", "https://s.es/" + "a" * 500, "https://[::1]/", "ftp://s.es"]
     got = spark.createDataFrame([(u,) for u in good + bad], "u string").select(urls.page_allowed(F.col("u"), F.lit("s.es")).alias("ok")).collect()
     assert [r.ok for r in got] == [True] * len(good) + [False] * len(bad)
+
+
+def test_identity_is_judged_where_rows_are(spark, data):
+    """Pages aren't taken apart and put together again: lines are dealt once, by part."""
+    plan = plans.QUERIES["F14_page_identity"](spark, data)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [line for line in plan if "Generate" in line or "collect_set" in line]
+    assert ["REPARTITION_BY_NUM" in line for line in plan if " Exchange" in line] == [True]
+
+
+def test_rows_that_are_the_same_in_all_columns():
+    rng = random.Random(2)
+    rows = [tuple(rng.choice([None, "a", "b", f"x{i % 40}"]) for _ in range(12)) for i in range(400)] * 2
+    first, kind = page_identity._alike([pa.array(c, pa.string()) for c in zip(*rows)])
+    assert [rows[first[k]] for k in kind] == rows and len(first) == len(set(rows))
+    first, kind = page_identity._alike([pa.array([], pa.string())])
+    assert len(first) == len(kind) == 0
