@@ -17,10 +17,10 @@ from ..functions.text import FOLDED
 from .references import BRAND_ALIASES, COLLECTION
 
 MATCH = """status string, basis string, reasons array<string>, observations array<string>, ean string, verified_ean boolean,
-brands array<string>, models array<string>, colors array<string>, calibers array<string>, caliber_comparison string"""
+brands array<string>, models array<string>, colors array<string>, calibers array<string>, caliber_comparison string, own_brand string, own_model string, own_color string"""
 _TYPE = pa.struct([
     *[(n, pa.string()) for n in ("status", "basis")], *[(n, pa.list_(pa.string())) for n in ("reasons", "observations")], ("ean", pa.string()), ("verified_ean", pa.bool_()),
-    *[(n, pa.list_(pa.string())) for n in ("brands", "models", "colors", "calibers")], ("caliber_comparison", pa.string()),
+    *[(n, pa.list_(pa.string())) for n in ("brands", "models", "colors", "calibers")], *[(n, pa.string()) for n in ("caliber_comparison", "own_brand", "own_model", "own_color")],
 ])
 
 #: Texts of which a task remembers what they tell, and the longest (in characters) of which it does.
@@ -256,7 +256,7 @@ def judge(product: tuple, page: tuple) -> tuple:
         observations.append(f"Calibre informativo por EAN publicado idéntico: catálogo {_or_unknown(own_caliber)}, ficha {_or_unknown(seen)} ({state})")
     if verified and any(_compared(a, b) == "different" for a in calibers for b in calibers):
         observations.append("Calibre informativo: medidas publicadas contradictorias")
-    return status, basis, reasons, observations, ean or "", verified, brands, models, colors, calibers, state
+    return status, basis, reasons, observations, ean or "", verified, brands, models, colors, calibers, state, _key(brand), own_model, own_color
 
 
 def _alike(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:

@@ -275,3 +275,10 @@ def test_rows_that_are_the_same_in_all_columns():
     assert [rows[first[k]] for k in kind] == rows and len(first) == len(set(rows))
     first, kind = page_identity._alike([pa.array([], pa.string())])
     assert len(first) == len(kind) == 0
+
+
+def test_pages_are_judged_before_their_facts_come(spark, data):
+    for name in ("X3_all_checks", "X8_reevaluation"):
+        plan = plans.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString().splitlines()
+        first = lambda what: next(n for n, line in enumerate(plan) if what in line)  # noqa: B023, E731
+        assert first("Join ") < first("ArrowEvalPython"), name  # from the last step down to the scans
